@@ -70,16 +70,16 @@ def assay(spark, sf):
         F.col("l_partkey").alias("peptide_id"), F.col("l_returnflag").alias("bait"),
         F.col("l_linestatus").alias("copy"),
     ).agg(
-        (F.avg("l_extendedprice") / 1000).alias("raw"),
-        ((F.avg(F.col("l_extendedprice") * (1 - 10 * F.col("l_discount")))) / 1000).alias("bas"),
+        (F.avg("l_extendedprice") / 1009).alias("raw"),
+        ((F.avg(F.col("l_extendedprice") * (1 - 10 * F.col("l_discount")))) / 1009).alias("bas"),
         (F.avg("l_quantity") / 25).alias("call_index"),
     ).withColumn("dataset", F.col("peptide_id") % 2)
 
 
 ASSAY_SQL = """assay AS (
   SELECT l_partkey AS peptide_id, l_returnflag AS bait, l_linestatus AS copy,
-         avg(l_extendedprice) / 1000 AS raw,
-         avg(l_extendedprice * (1 - 10 * l_discount)) / 1000 AS bas,
+         avg(l_extendedprice) / 1009 AS raw,
+         avg(l_extendedprice * (1 - 10 * l_discount)) / 1009 AS bas,
          avg(l_quantity) / 25 AS call_index, l_partkey % 2 AS dataset
   FROM lineitem GROUP BY 1, 2, 3)"""
 

@@ -2,14 +2,16 @@
 
 from importlib import import_module
 
+from motifspark.session import tune
+
 QUERIES = {}
 ORACLES = {}
-AREAS = ("scan",)
+AREAS = ("scan", "sequences", "assay", "spots")
 
 
 def register(name, sql=None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf: fn(tune(spark), sf)
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -25,6 +25,12 @@ def local_session(cores="*", shuffle_partitions=8, app="motifspark"):
     return spark
 
 
+def tune(spark):
+    """Long scoring expressions make methods the JIT skips; below this size Spark splits them instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def scratch_path(spark, name):
     """A fresh path below the folder all executors share; a local folder only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
