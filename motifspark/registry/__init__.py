@@ -6,7 +6,7 @@ from motifspark.session import tune
 
 QUERIES = {}
 ORACLES = {}
-AREAS = ("scan", "sequences", "assay", "spots")
+AREAS = ("scan", "sequences", "assay", "spots", "training")
 
 
 def register(name, sql=None):
@@ -34,3 +34,14 @@ def r6(column):
 
 def q6(expr):
     return f"(round({expr}, 6) + 0.0)"
+
+
+def r9(column):
+    """For values within a few units of zero, where six digits would meet exact ties."""
+    from pyspark.sql import functions as F
+
+    return F.round(column, 9) + F.lit(0.0)
+
+
+def q9(expr):
+    return f"(round({expr}, 9) + 0.0)"
