@@ -6,7 +6,7 @@ from motifspark.session import tune
 
 QUERIES = {}
 ORACLES = {}
-AREAS = ("scan", "sequences", "assay", "spots", "training")
+AREAS = ("scan", "sequences", "assay", "spots", "training", "scoring")
 
 
 def register(name, sql=None):
