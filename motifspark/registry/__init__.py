@@ -6,7 +6,7 @@ from motifspark.session import tune
 
 QUERIES = {}
 ORACLES = {}
-AREAS = ("scan", "sequences", "assay", "spots", "training", "scoring")
+AREAS = ("scan", "sequences", "assay", "spots", "training", "scoring", "specificity")
 
 
 def register(name, sql=None):
