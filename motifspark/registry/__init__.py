@@ -6,7 +6,8 @@ from motifspark.session import tune
 
 QUERIES = {}
 ORACLES = {}
-AREAS = ("scan", "sequences", "assay", "spots", "training", "scoring", "specificity")
+AREAS = ("scan", "sequences", "assay", "spots", "training", "scoring", "specificity", "thresholds", "assembly", "homology",
+         "consolidation")
 
 
 def register(name, sql=None):
