@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from motifspark import constants as K
 from motifspark.functions import sequence as S
 from motifspark.functions.classical import classical_score
+from motifspark.sources.tables import fan_out
 
 
 def substitution_scores(text=K.BLOSUM62, normalize=True):
@@ -42,8 +43,11 @@ def best_match(pairs, motif="motif", target="target", weights=None, scores=None,
     }).withColumn("_table", table)
 
     def at(i):
-        terms = [F.col("_table")[F.col(f"_m{j}") + F.col("_letters")[i + (j - 1)]] * F.lit(float(w[j - 1]))
-                 for j in range(1, n + 1) if w[j - 1]]
+        terms = []
+        for j in range(1, n + 1):
+            term = F.get(F.col("_table"), F.col(f"_m{j}") + F.get(F.col("_letters"), i + (j - 1)))
+            if w[j - 1]:
+                terms.append(term if w[j - 1] == 1 else term * F.lit(float(w[j - 1])))
         total = sum(terms[1:], terms[0]) / float(sum(w))
         return F.struct(F.round(total, 9).alias("s"), (-i).alias("p"))
 
@@ -66,7 +70,7 @@ def motif_homolog_pairs(hits, homologs):
 def attach_targets(pairs, proteins):
     """The homolog's sequence. It comes last, so that long texts are shuffled once and not per motif."""
     seqs = proteins.select(F.col("protein_id").alias("homolog_id"), F.col("seq").alias("target"))
-    return pairs.join(seqs, "homolog_id", "left")
+    return fan_out(pairs, "homolog_id").join(seqs, "homolog_id", "left")
 
 
 def score_motifs(df, scorer, motif="match", rules=None):
@@ -92,3 +96,9 @@ def best_homolog(scored, by="similarity", keys=("protein_id", "rank", "taxid")):
     """Highest value among homologs whose motif satisfies the rules; among all if none does; first j on ties."""
     w = Window.partitionBy(*keys).orderBy(F.col("valid").desc(), F.round(by, 9).desc_nulls_last(), "j")
     return scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def classical_of_best(best, motif="match"):
+    """Classical score of the chosen homolog motif, whether or not it satisfies the rules."""
+    text = best.withColumn("_text", S.substitute_uncertain(F.nullif(F.col(motif), F.lit(""))))
+    return text.withColumn("best_score", classical_score(F.col("_text"))).drop("_text")

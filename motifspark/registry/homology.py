@@ -9,7 +9,7 @@ from motifspark.operators import topology as O
 from motifspark.registry import q6, q9, r6, r9, register
 from motifspark.registry.sql import HITS, classical_sql
 
-SIM = "[" + ",".join(repr(v) for v in M.score_table(M.substitution_scores())) + "]::DOUBLE[]"
+SIM = "([" + ",".join(repr(v) for v in M.score_table(M.substitution_scores())) + "]::DOUBLE[])"
 
 PAIRS = f"""{HITS},
 hom AS (SELECT a.protein_id, b.lang AS taxid, b.protein_id AS homolog_id,
@@ -84,12 +84,8 @@ def h04(spark, sf):
 SELECT protein_id, rank, taxid, homolog_id, CASE WHEN m2 IS NULL THEN NULL WHEN isinf({classical_sql("m2")}) THEN 9999 ELSE {q9(classical_sql("m2"))} END AS score
 FROM sub2, cls""")
 def h05(spark, sf):
-    from motifspark.functions.classical import classical_score
-    from motifspark.functions.sequence import substitute_uncertain
-
-    best = M.best_homolog(scored(spark, sf))
-    score = classical_score(substitute_uncertain(F.col("match")))
-    return best.select(*KEY, r9(F.when(score == float("inf"), 9999.0).otherwise(score)).alias("score"))
+    best = M.classical_of_best(M.best_homolog(scored(spark, sf)))
+    return best.select(*KEY, r9(F.when(F.col("best_score") == float("inf"), 9999.0).otherwise(F.col("best_score"))).alias("score"))
 
 
 PLACED = f"""{HITS}, {fx.DOMAIN_SQL},

@@ -14,3 +14,10 @@ def read_parquet(spark, path, key=None, columns=None):
     if columns:
         df = df.select(*columns)
     return spread(df, key) if key else df
+
+
+def fan_out(df, *keys):
+    """Hash-partition rows that are cheap to move but costly to process, past any size-based coalescing."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
