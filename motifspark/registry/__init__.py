@@ -7,7 +7,7 @@ from motifspark.session import tune
 QUERIES = {}
 ORACLES = {}
 AREAS = ("scan", "sequences", "assay", "spots", "training", "scoring", "specificity", "thresholds", "assembly", "homology",
-         "consolidation", "search", "files")
+         "consolidation", "search", "files", "programs")
 
 
 def register(name, sql=None):

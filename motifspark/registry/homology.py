@@ -30,7 +30,7 @@ matched AS (SELECT p.*, coalesce(match, '') AS match, coalesce(s, 0) AS similari
   FROM pairs p LEFT JOIN bestm b ON b.motif = p.motif AND b.homolog_id = p.homolog_id),
 ready AS (SELECT *, substr(match, 8, 1) IN ('F','Y') AND substr(match, 10, 1) IN ('D','E','S','T')
     AND match <> '' AND contains('AVILMFYWSTHNQCGP', substr(match, 11, 1)) AS valid, replace(replace(match, 'U', 'C'), 'X', 'G') AS sub FROM matched),
-scm AS (SELECT r.*, CASE WHEN valid THEN {classical_sql("sub")} END AS score FROM ready r, cls),
+scm AS (SELECT r.*, CASE WHEN valid THEN {classical_sql("sub")} END AS score FROM ready r, ctab),
 bh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY protein_id, rank, taxid ORDER BY valid DESC, round(similarity, 9) DESC, j) AS k FROM scm) WHERE k = 1)"""
 
 
@@ -82,7 +82,7 @@ def h04(spark, sf):
 
 @register("h05_best_homolog_classical", f"""WITH {PAIRS}, sub2 AS (SELECT *, nullif(sub, '') AS m2 FROM bh)
 SELECT protein_id, rank, taxid, homolog_id, CASE WHEN m2 IS NULL THEN NULL WHEN isinf({classical_sql("m2")}) THEN 9999 ELSE {q9(classical_sql("m2"))} END AS score
-FROM sub2, cls""")
+FROM sub2, ctab""")
 def h05(spark, sf):
     best = M.classical_of_best(M.best_homolog(scored(spark, sf)))
     return best.select(*KEY, r9(F.when(F.col("best_score") == float("inf"), 9999.0).otherwise(F.col("best_score"))).alias("score"))

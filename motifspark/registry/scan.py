@@ -66,7 +66,7 @@ def g05(spark, sf):
 @register("k01_classical_single", f"""
 WITH {fx.PEPTIDE_SQL}, cut AS (SELECT peptide_id, substr(translate(seq, 'BJO', 'STY'), 1, CAST(13 + peptide_id % 3 AS BIGINT)) AS motif
   FROM peptide), {CLASSICAL}
-SELECT peptide_id, motif, {q6(classical_sql("motif"))} AS score FROM cut, cls""")
+SELECT peptide_id, motif, {q6(classical_sql("motif"))} AS score FROM cut, ctab""")
 def k01(spark, sf):
     cut = fx.peptides(spark, sf).select(
         "peptide_id", F.substring(S.plain(F.col("seq")), F.lit(1), (F.col("peptide_id") % 3 + 13).cast("int")).alias("motif")
@@ -77,7 +77,7 @@ def k01(spark, sf):
 @register("k02_classical_many", f"""
 WITH {fx.PEPTIDE_SQL}, {CLASSICAL}
 SELECT peptide_id, CASE WHEN isinf({classical_sql("seq")}) THEN NULL ELSE {q6(classical_sql("seq"))} END AS score,
-  isinf({classical_sql("seq")}) AS unknown FROM peptide, cls""")
+  isinf({classical_sql("seq")}) AS unknown FROM peptide, ctab""")
 def k02(spark, sf):
     score = classical_score(F.col("seq"))
     return fx.peptides(spark, sf).select(
@@ -87,7 +87,7 @@ def k02(spark, sf):
 
 @register("k03_classical_top_k", f"""
 WITH {WINDOWS}, {CLASSICAL},
-scored AS (SELECT protein_id, pos, motif, {classical_sql("motif")} AS score FROM wnd, cls),
+scored AS (SELECT protein_id, pos, motif, {classical_sql("motif")} AS score FROM wnd, ctab),
 top AS (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY round(score, 9), pos) AS rank FROM scored),
 grid AS (SELECT protein_id, unnest([1, 2, 3]) AS rank FROM protein)
 SELECT g.protein_id, g.rank, coalesce(t.motif, '') AS motif,

@@ -16,7 +16,7 @@ chunk AS (SELECT protein_id, c, substr(s, c * 256 + 1, 270) AS t
 wnd AS (SELECT protein_id, c * 256 + i AS pos, substr(t, i, 15) AS motif
         FROM (SELECT protein_id, c, t, unnest(range(1, least(length(t) - 14, 256) + 1)) AS i FROM chunk))"""
 
-CLASSICAL = "cls AS (SELECT " + ", ".join(
+CLASSICAL = "ctab AS (SELECT " + ", ".join(
     [f"{sql_list(K.TRACT_CHARGES, 0.0)}::DOUBLE[] AS tract"]
     + [f"{sql_list(col, 1e300)}::DOUBLE[] AS c{pos}" for pos, col in sorted(core_matrix().items())]
 ) + ")"
@@ -41,5 +41,5 @@ cand AS (
 hit AS (
   SELECT protein_id, ord, motif, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY round(score, 9), ord) AS rank
-    FROM (SELECT protein_id, ord, motif, {classical_sql("motif")} AS score FROM cand, cls))
+    FROM (SELECT protein_id, ord, motif, {classical_sql("motif")} AS score FROM cand, ctab))
   WHERE rank <= 3)"""

@@ -10,7 +10,7 @@ from motifspark.registry.specificity import p_sql
 from motifspark.registry.sql import CLASSICAL, classical_sql
 
 ROWS = f"""{fx.PEPTIDE_SQL}, {CLASSICAL}, pl AS (SELECT peptide_id, signal, passes, translate(seq, 'BJO', 'STY') AS motif FROM peptide),
-sp AS (SELECT peptide_id, signal, passes, -{classical_sql("motif")} AS score FROM pl, cls)"""
+sp AS (SELECT peptide_id, signal, passes, -{classical_sql("motif")} AS score FROM pl, ctab)"""
 
 
 def rows(spark, sf):
