@@ -1,13 +1,18 @@
 """Motifs in homologous proteins: best gapless match, scores, and the best homolog per motif and species."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from motifspark import constants as K
 from motifspark.functions import sequence as S
 from motifspark.functions.classical import classical_score
 from motifspark.sources.tables import fan_out
 
+MATCH = StructType([StructField("start", IntegerType()), StructField("similarity", DoubleType())])
+
 
 def substitution_scores(text=K.BLOSUM62, normalize=True):
     """``{(motif residue, target residue): score}`` from a lower-triangle table, divided by the target's maximum."""
@@ -26,40 +31,49 @@ def score_table(scores):
     return [scores.get((chr(65 + i), chr(65 + j)), 0.0) for i in range(26) for j in range(26)]
 
 
+def _align(table, weights, n):
+    """Arrow-batched alignment of one motif with one target: windows are sums of shifted table rows."""
+    w = np.asarray(weights, dtype=float)
+    rows = np.asarray(table, dtype=float).reshape(26, 26)
+
+    @F.pandas_udf(MATCH)
+    def align(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
+        starts, best = [], []
+        for m, t in zip(motif, target):
+            if not m or not t or len(m) != n or len(t) < n:
+                starts.append(0)
+                best.append(0.0)
+                continue
+            ms = np.frombuffer(m.encode("ascii"), dtype=np.uint8) - 65
+            ts = np.frombuffer(t.encode("ascii"), dtype=np.uint8) - 65
+            size = len(ts) - n + 1
+            total = np.zeros(size)
+            for j in range(n):
+                total += rows[ms[j]][ts[j:j + size]] * w[j]
+            total = np.round(total / w.sum(), 9)
+            at = int(np.argmax(total))
+            starts.append(at + 1)
+            best.append(float(total[at]))
+        return pd.DataFrame({"start": starts, "similarity": best})
+
+    return align
+
+
 def best_match(pairs, motif="motif", target="target", weights=None, scores=None, n=K.MOTIF_LENGTH):
     """Slide each motif along its target; adds the first best window, its similarity and identity.
 
     One row in, one row out: the windows of a target never leave its row, so nothing is shuffled for them.
     """
-    w = list(weights or [1.0] * n)
-    table = F.split(F.lit(",".join(repr(v) for v in score_table(scores or substitution_scores()))), ",").cast("array<double>")
-    m = F.translate(F.col(motif), "U", "C")
-    t = F.translate(F.col(target), "U", "C")
-    usable = (F.length(m) == n) & (F.length(t) >= n)
-    prepared = pairs.withColumns({
-        "_t": F.when(usable, t),
-        "_letters": F.when(usable, F.transform(S.residues(t), lambda c: F.ascii(c) - 65)),
-        **{f"_m{j}": (S.letter_index(S.residue_at(m, j)) * 26) for j in range(1, n + 1)},
-    }).withColumn("_table", table)
-
-    def at(i):
-        terms = []
-        for j in range(1, n + 1):
-            term = F.get(F.col("_table"), F.col(f"_m{j}") + F.get(F.col("_letters"), i + (j - 1)))
-            if w[j - 1]:
-                terms.append(term if w[j - 1] == 1 else term * F.lit(float(w[j - 1])))
-        total = sum(terms[1:], terms[0]) / float(sum(w))
-        return F.struct(F.round(total, 9).alias("s"), (-i).alias("p"))
-
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("_letters") - n), at))
-    found = prepared.withColumn("_best", F.when(F.col("_letters").isNotNull(), best)).withColumn(
-        "match", F.coalesce(F.substring(F.col("_t"), 1 - F.col("_best.p"), F.lit(n)), F.lit(""))
+    align = _align(score_table(scores or substitution_scores()), list(weights or [1.0] * n), n)
+    m, t = F.translate(F.col(motif), "U", "C"), F.translate(F.col(target), "U", "C")
+    found = pairs.withColumns({"_t": t, "_best": align(m, t)}).withColumn(
+        "match", F.when(F.col("_best.start") > 0, F.substring(F.col("_t"), F.col("_best.start"), F.lit(n))).otherwise("")
     )
     same = sum((F.when(S.residue_at(F.col("match"), j) == S.residue_at(m, j), 1).otherwise(0) for j in range(1, n + 1)), F.lit(0))
     return found.withColumns({
-        "similarity": F.coalesce(F.col("_best.s"), F.lit(0.0)),
-        "identity": F.when(F.col("_best").isNull(), 0.0).otherwise(same / float(n)),
-    }).drop("_t", "_letters", "_table", "_best", *[f"_m{j}" for j in range(1, n + 1)])
+        "similarity": F.col("_best.similarity"),
+        "identity": F.when(F.col("_best.start") == 0, 0.0).otherwise(same / float(n)),
+    }).drop("_t", "_best")
 
 
 def motif_homolog_pairs(hits, homologs):

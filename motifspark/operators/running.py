@@ -29,15 +29,16 @@ def _edges(df, value):
     ).scalar()
 
 
-def running_totals(df, keys, value, sums, descending=False):
+def running_totals(df, keys, value, sums, descending=False, edges_of=None):
     """One row per (keys, value): each total at the value, and ``cum_`` up to and including it.
 
-    ``sums`` maps a name to an aggregate input column. Rows without a value take no part.
+    ``sums`` maps a name to an aggregate input column. Rows without a value take no part. ``edges_of`` may name a
+    smaller table with the same spread of values to place the slices by.
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     per = known.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    edges = _edges(known, F.col(value).cast("double"))
+    edges = _edges(known if edges_of is None else edges_of, F.col(value).cast("double"))
     cut = per.withColumn("_edges", edges).withColumn("_slice", _slice_of(F.col(value).cast("double"), F.col("_edges"))).drop("_edges")
     order = F.col(value).desc() if descending else F.col(value)
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)

@@ -37,13 +37,35 @@ def rules(spark, n=K.MOTIF_LENGTH):
     )
 
 
-def _classes(aa):
-    by_letter = {}
-    for name, members in K.CHEMICAL_CLASSES.items():
-        for m in members:
-            by_letter.setdefault(m, []).append(name)
-    text = ",".join("|".join(by_letter.get(chr(65 + i), [])) for i in range(26))
-    return F.split(F.split(F.lit(text), ",")[S.letter_index(aa)], r"\|")
+CLASS_NAMES = list(K.CHEMICAL_CLASSES)
+
+
+def _class_numbers(aa):
+    """Array of the numbers of the classes a residue belongs to."""
+    member = {a: [i for i, c in enumerate(CLASS_NAMES) if a in K.CHEMICAL_CLASSES[c]] for a in K.RESIDUES_PHOSPHO}
+    out = F.array(S.letter_table({a: m[0] for a, m in member.items()}, -1)[S.letter_index(aa)].cast("int"))
+    for a, m in member.items():
+        if len(m) > 1:
+            out = F.when(aa == a, F.array(*[F.lit(i) for i in m])).otherwise(out)
+    return out
+
+
+def _positions():
+    return F.explode(F.array(*[F.lit(i) for i in range(1, K.MOTIF_LENGTH + 1)]))
+
+
+def _numbered_members(peptides):
+    """(rule number, seq, signal, passes): rules count from 0, class by class."""
+    at = peptides.select("seq", "signal", "passes", _positions().alias("_i"))
+    found = at.select("seq", "signal", "passes", "_i", F.explode(_class_numbers(F.substring(F.col("seq"), F.col("_i"), F.lit(1)))).alias("_c"))
+    return found.filter("_c >= 0").select((F.col("_c") * K.MOTIF_LENGTH + F.col("_i") - 1).alias("rule"), "seq", "signal", "passes")
+
+
+def _rule_names(rule):
+    """Class and position of a rule number; the number past the last stands for all rows."""
+    n, last = K.MOTIF_LENGTH, len(CLASS_NAMES) * K.MOTIF_LENGTH
+    names = F.array(*[F.lit(c) for c in CLASS_NAMES], F.lit("All"))
+    return {"rule_class": names[(rule / n).cast("int")], "rule_pos": F.when(rule == last, 0).otherwise(rule % n + 1).cast("int")}
 
 
 def _lookup(mapping, aa):
@@ -54,33 +76,48 @@ def _lookup(mapping, aa):
 
 def memberships(peptides):
     """One row per peptide and rule it belongs to; W belongs to two classes."""
-    at = peptides.select("seq", "signal", "passes", F.posexplode(S.residues(F.col("seq"))).alias("_i", "_aa"))
-    return at.select(F.explode(_classes(F.col("_aa"))).alias("rule_class"), (F.col("_i") + 1).alias("rule_pos"),
-                     "seq", "signal", "passes")
+    names = _rule_names(F.col("rule"))
+    return _numbered_members(peptides).select(*[v.alias(k) for k, v in names.items()], "seq", "signal", "passes")
 
 
 def member_counts(peptides, min_members=K.MIN_MEMBERS):
     """Members per rule; rules with too few train on all rows instead."""
     n = memberships(peptides).groupBy(*RULE).agg(F.count("*").alias("n_members"))
-    every = rules(peptides.sparkSession, K.MOTIF_LENGTH)
-    out = every.join(n, RULE, "left").withColumn("n_members", F.coalesce("n_members", F.lit(0)))
+    return _with_fallback(peptides.sparkSession, n, min_members)
+
+
+def _with_fallback(spark, counts, min_members):
+    out = rules(spark, K.MOTIF_LENGTH).join(counts, RULE, "left").withColumn("n_members", F.coalesce("n_members", F.lit(0)))
     return out.withColumn("all_rows", F.col("n_members") < min_members)
 
 
 def statistics(peptides, ignore_failed=True):
-    """Counts and rank sums per (rule, pos, aa); rule ('All', 0) holds every peptide. At most 136 x 15 x 23 rows."""
-    p = peptides.withColumn("signal", F.greatest("signal", F.lit(0.0)))
-    every = p.select(F.lit("All").alias("rule_class"), F.lit(0).alias("rule_pos"), "seq", "signal", "passes")
-    members = memberships(p).unionByName(every)
+    """Counts and rank sums per (rule, pos, aa); rule ('All', 0) holds every peptide. At most 136 x 15 x 23 rows.
+
+    Rule, position and residue are one integer while the rows are many; the names come back on the small result.
+    """
+    n = K.MOTIF_LENGTH
+    p = peptides.select("seq", F.greatest("signal", F.lit(0.0)).alias("signal"), "passes")
+    every = p.select(F.lit(len(CLASS_NAMES) * n).alias("rule"), "seq", "signal", "passes")
+    members = _numbered_members(p).unionByName(every)
     ranked = F.col("passes") if ignore_failed else F.lit(True)
-    t = running_totals(members.filter(ranked), RULE, "signal", {"ties": F.lit(1)})
-    ranks = t.select(*RULE, "signal", "ties", (F.col("cum_ties") - (F.col("ties") - 1) / 2).alias("rank"))
-    scored = members.join(ranks, [*RULE, "signal"], "left").withColumn("rank", F.when(ranked, F.col("rank")))
-    cells = scored.select(*RULE, "passes", "rank", "ties", F.posexplode(S.residues(F.col("seq"))).alias("_i", "aa"))
-    return cells.groupBy(*RULE, (F.col("_i") + 1).alias("pos"), "aa").agg(
-        F.count_if("passes").alias("n_pass"), F.count_if(~F.col("passes")).alias("n_fail"),
-        F.count("rank").alias("n_ranked"), F.sum("rank").alias("rank_sum"),
-        F.sum(F.when(F.col("rank").isNotNull(), F.col("ties") * F.col("ties") - 1)).alias("tie_sum"),
+    t = running_totals(members.filter(ranked), ["rule"], "signal", {"ties": F.lit(1)}, edges_of=p.filter(ranked))
+    ranks = t.select("rule", "signal", "ties", (F.col("cum_ties") - (F.col("ties") - 1) / 2).alias("rank"))
+    used = members.filter(ranked).join(ranks, ["rule", "signal"])
+    if ignore_failed:
+        rest = members.filter(~ranked).select("rule", "signal", "seq", "passes", F.lit(None).cast("long").alias("ties"), F.lit(None).cast("double").alias("rank"))
+        used = used.select("rule", "signal", "seq", "passes", "ties", "rank").unionByName(rest)
+    cells = used.select("rule", "passes", "rank", "ties", "seq", _positions().alias("_i"))
+    code = (F.col("rule") * n + F.col("_i") - 1) * 26 + S.letter_index(F.substring(F.col("seq"), F.col("_i"), F.lit(1)))
+    one = F.when(F.col("passes"), 1).otherwise(0)
+    summed = cells.select(code.alias("code"), one.alias("_p"), "rank", (F.col("ties") * F.col("ties") - 1).alias("_t")).groupBy("code").agg(
+        F.sum("_p").alias("n_pass"), F.sum(1 - F.col("_p")).alias("n_fail"), F.count("rank").alias("n_ranked"),
+        F.sum("rank").alias("rank_sum"), F.sum("_t").alias("tie_sum"),
+    )
+    names = _rule_names((F.col("code") / (26 * n)).cast("int"))
+    return summed.select(
+        *[v.alias(k) for k, v in names.items()], ((F.col("code") / 26).cast("int") % n + 1).alias("pos"),
+        F.char(F.col("code") % 26 + 65).alias("aa"), "n_pass", "n_fail", "n_ranked", "rank_sum", "tie_sum",
     )
 
 
@@ -228,11 +265,16 @@ class Training:
     def __init__(self, peptides, **params):
         self.params = {**DEFAULTS, **params}
         peptides = materialize(peptides.select("seq", "signal", "passes"), "training-peptides")
-        self.counts = materialize(member_counts(peptides, self.params["min_members"]), "rule-members")
         self.stats = materialize(statistics(peptides, self.params["ignore_failed"]), "rule-statistics")
         self._contrasts = None
         self._baseline = None
 
+    @property
+    def counts(self):
+        """Members per rule, from the statistics: every member is counted once at position 1."""
+        n = self.stats.filter("pos = 1").groupBy(*RULE).agg(F.sum(F.col("n_pass") + F.col("n_fail")).alias("n_members"))
+        return _with_fallback(self.stats.sparkSession, n, self.params["min_members"])
+
     @property
     def contrasts(self):
         if self._contrasts is None:

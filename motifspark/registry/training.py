@@ -43,14 +43,14 @@ def m03(spark, sf):
 
 @register("m04_rank_biserial", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, n_pass AS n_with, p - n_pass AS n_without, {q6('r_alone')} AS r_alone FROM con WHERE n_pass > 5")
 def m04(spark, sf):
-    x = T.contrasts(T.statistics(fx.peptides(spark, sf))).filter("n_ranked > 5")
+    x = T.Training(fx.peptides(spark, sf)).contrasts.filter("n_ranked > 5")
     return x.select(*RULE, "pos", "aa", F.col("n_ranked").alias("n_with"), (F.col("all_ranked") - F.col("n_ranked")).alias("n_without"),
                     r6(F.col("r_alone")).alias("r_alone"))
 
 
 @register("m05_group_retry", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, gp AS group_size, {q6('r_group')} AS r_group FROM con WHERE n_pass BETWEEN 1 AND 5")
 def m05(spark, sf):
-    x = T.contrasts(T.statistics(fx.peptides(spark, sf))).filter("n_ranked between 1 and 5")
+    x = T.Training(fx.peptides(spark, sf)).contrasts.filter("n_ranked between 1 and 5")
     return x.select(*RULE, "pos", "aa", F.col("g_ranked").alias("group_size"), r6(F.col("r_group")).alias("r_group"))
 
 
@@ -63,7 +63,7 @@ def m06(spark, sf):
 
 @register("m07_yule_q", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, n_pass, n_fail, {q6('q')} AS q, {q6('qg')} AS q_group FROM con")
 def m07(spark, sf):
-    x = T.contrasts(T.statistics(fx.peptides(spark, sf)))
+    x = T.Training(fx.peptides(spark, sf)).contrasts
     return x.select(*RULE, "pos", "aa", "n_pass", "n_fail", r6(F.col("q_alone")).alias("q"), r6(F.col("q_group")).alias("q_group"))
 
 
