@@ -41,16 +41,17 @@ def peptides(spark, sf):
     """Ten measured 15-mers per protein, spread over its whole text."""
     letters = texts(spark, sf).select(
         "doc_id", F.translate(_letters(F.col("text")), "ZUX", "QCG").alias("letters")
-    ).filter(F.length("letters") >= 15)
+    )
     events = table(spark, sf, "events").select("event_id", F.expr("event_id div 10").alias("doc_id"), "value")
-    start = (F.col("event_id") * 7919) % (F.length("letters") - 14) + 1
+    # Too short texts are dropped by the length of what was cut, which keeps the letters off the file scan.
+    start = (F.col("event_id") * 7919) % F.greatest(F.length("letters") - 14, F.lit(1)) + 1
     return events.join(letters, "doc_id").select(
         F.col("event_id").alias("peptide_id"),
         F.col("doc_id").alias("protein_id"),
         F.substring("letters", start, 15).alias("seq"),
         F.col("value").alias("signal"),
         (F.col("value") >= 50).alias("passes"),
-    )
+    ).filter(F.length("seq") == 15)
 
 
 PEPTIDE_SQL = """letters AS (
@@ -105,8 +106,8 @@ SPOT_SQL = """spot AS (
 
 def tm_ranges(spark, sf):
     """Two-helix pattern repeated over every protein: begin/end from residue 30 on, every 60 residues."""
-    p = proteins(spark, sf).select("protein_id", F.length("seq").alias("n")).filter("n >= 50")
-    k = F.explode(F.sequence(F.lit(0), ((F.col("n") - 50) / 60).cast("int"))).alias("k")
+    p = proteins(spark, sf).select("protein_id", F.length("seq").alias("n"))
+    k = F.explode(F.when(F.col("n") >= 50, F.sequence(F.lit(0), ((F.col("n") - 50) / 60).cast("int")))).alias("k")
     return p.select("protein_id", k).select(
         "protein_id", (F.col("k") * 60 + 30).alias("begin"), (F.col("k") * 60 + 50).alias("end")
     )
@@ -119,9 +120,10 @@ TM_SQL = """tm AS (
 
 def domains(spark, sf):
     """Topological domains of 40 residues that tile every protein."""
-    p = proteins(spark, sf).select("protein_id", F.length("seq").alias("n")).filter("n >= 1")
+    p = proteins(spark, sf).select("protein_id", F.length("seq").alias("n"))
     kind = (F.col("protein_id") + F.col("k")) % 3
-    return p.select("protein_id", "n", F.explode(F.sequence(F.lit(0), F.expr("cast((n - 1) div 40 as int)"))).alias("k")).select(
+    tiles = F.when(F.col("n") >= 1, F.sequence(F.lit(0), F.expr("cast((n - 1) div 40 as int)")))
+    return p.select("protein_id", "n", F.explode(tiles).alias("k")).select(
         F.col("protein_id").alias("accession"),
         F.col("k").alias("ord"),
         F.when(kind == 1, "transmembrane region").otherwise("topological domain").alias("type"),
