@@ -4,29 +4,32 @@ Rows are first combined per distinct value. The value range is cut at approximat
 inside each slice, and the (few) slice totals are added on top. A value shared by many rows is one row here.
 """
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+
+def _slices(spark):
+    """Number of slices, as a square: twice the shuffle partitions of the session, between 64 and 4096."""
+    wanted = min(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64), 4096)
+    return math.isqrt(wanted - 1) + 1
 
 
-def _slice_of(value, edges):
-    """Number of edges below the value, found in two steps of about sqrt(len(edges)) comparisons."""
-    step = 16
+def _slice_of(value, edges, step):
+    """Number of edges below the value, found in two rounds of about ``step`` comparisons."""
     coarse = F.size(F.filter(edges["coarse"], lambda e: e < value))
     fine = F.slice(edges["fine"], coarse * step + 1, step)
     return coarse * step + F.size(F.filter(fine, lambda e: e < value))
 
 
-def _edges(df, value):
-    points = [i / SLICES for i in range(1, SLICES)]
-    fine = F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(4096))
-    coarse = [i / SLICES for i in range(16, SLICES, 16)]
-    picked = df.agg(F.sort_array(fine).alias("fine"))
-    index = F.array(*[F.lit(round(c * SLICES)) for c in coarse])
-    return picked.select(
-        F.struct("fine", F.transform(index, lambda i: F.get(F.col("fine"), i - 1)).alias("coarse")).alias("e")
-    ).scalar()
+def _edges(df, value, step):
+    """Approximate quantiles that cut the values into step * step slices; every step-th one is also coarse."""
+    n = step * step
+    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    picked = df.select(value.alias("_v")).agg(F.sort_array(F.expr(f"percentile_approx(_v, array({shares}), {10 * n})")).alias("fine"))
+    coarse = F.transform(F.sequence(F.lit(step), F.lit(n - step), F.lit(step)), lambda i: F.get(F.col("fine"), i - 1))
+    return picked.select(F.struct("fine", coarse.alias("coarse")).alias("e")).scalar()
 
 
 def running_totals(df, keys, value, sums, descending=False, edges_of=None):
@@ -38,8 +41,9 @@ def running_totals(df, keys, value, sums, descending=False, edges_of=None):
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     per = known.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    edges = _edges(known if edges_of is None else edges_of, F.col(value).cast("double"))
-    cut = per.withColumn("_edges", edges).withColumn("_slice", _slice_of(F.col(value).cast("double"), F.col("_edges"))).drop("_edges")
+    step = _slices(df.sparkSession)
+    edges = _edges(known if edges_of is None else edges_of, F.col(value).cast("double"), step)
+    cut = per.withColumn("_edges", edges).withColumn("_slice", _slice_of(F.col(value).cast("double"), F.col("_edges"), step)).drop("_edges")
     order = F.col(value).desc() if descending else F.col(value)
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
     out = cut.select("*", *[F.sum(n).over(inside).alias(f"_in_{n}") for n in sums])
