@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from motifspark import fixtures as fx
 from motifspark.operators import consolidate as J
-from motifspark.registry import q6, r6, register
+from motifspark.registry import r6, register
 
 HOST = ["host_call", "binding", "accessible", "refseq"]
 SPECIES = ("click", "error", "purchase", "view")

@@ -2,11 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from motifspark import constants as K
 from motifspark import fixtures as fx
-from motifspark.functions.classical import core_matrix
-from motifspark.functions.sequence import plain
-from motifspark.operators import assay as A
 from motifspark.operators import training as T
 from motifspark.registry import q6, q9, r6, r9, register
 from motifspark.registry.training import WEIGHTS

@@ -1,7 +1,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from motifspark import constants as K
 from motifspark import fixtures as fx
 from motifspark.operators import homology as M
 from motifspark.operators import scan

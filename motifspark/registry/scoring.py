@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from motifspark import constants as K
 from motifspark import fixtures as fx
 from motifspark.functions import sequence as S
 from motifspark.operators import conditional as C

@@ -1,11 +1,10 @@
 from pyspark.sql import functions as F
 
-from motifspark import fixtures as fx
 from motifspark.functions import sequence as S
 from motifspark.operators import specificity as X
 from motifspark.operators.search import Search, best_for_r2
 from motifspark.registry import q9, r9, register
-from motifspark.registry.scoring import KINDS, SCORES, best_sql, peptides_plain, sweep_sql, weighted_model
+from motifspark.registry.scoring import SCORES, best_sql, peptides_plain, sweep_sql, weighted_model
 from motifspark.registry.specificity import CONTROL_ID, MATRIX, PLUS, rows
 from motifspark.session import materialize
 

@@ -6,10 +6,9 @@ from motifspark.functions import sequence as S
 from motifspark.operators import assay as A
 from motifspark.operators import conditional as C
 from motifspark.operators import specificity as X
-from motifspark.operators import thresholds as H
 from motifspark.registry import q6, q9, r6, r9, register
-from motifspark.registry.assay import B, CTRL, MULT, N, PAIRS, calls_of, pairs_of
-from motifspark.registry.scoring import METRIC_SQL, best_sql, sweep_sql
+from motifspark.registry.assay import B, MULT, N, PAIRS, calls_of, pairs_of
+from motifspark.registry.scoring import best_sql, sweep_sql
 from motifspark.registry.training_sql import ALPHA_ROWS, EQUIV_ROWS
 from motifspark.session import materialize
 
