@@ -1,6 +1,6 @@
 """Session settings and the shared scratch folder."""
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -32,14 +32,24 @@ def tune(spark):
 
 
 def scratch_path(spark, name):
-    """A fresh path below the folder all executors share; a local folder only where none is configured."""
+    """A fresh path below the folder all executors share, in `spark.checkpoint.dir`.
+
+    Where that is unset, a local master gets one temporary folder per process; any other master is refused, since its
+    executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "motifspark")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_scratch():
+    return tempfile.mkdtemp(prefix="motifspark-")
+
+
 def materialize(df, name):
     """Cut the lineage with a written table, so that a lost executor re-reads instead of recomputing."""
     path = scratch_path(df.sparkSession, name)

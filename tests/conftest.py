@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,8 +14,6 @@ def spark():
     from motifspark.session import local_session, tune
 
     session = tune(local_session(8))
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="motifspark-"))
     yield session
     session.stop()
 
