@@ -1,5 +1,6 @@
 """The queries of this subpackage and the SQL they are checked against."""
 
+from motifspark.llm import fm_decontaminate as fm
 from motifspark.llm import ngram_jaccard as jaccard
 from motifspark.llm.text import read
 
@@ -45,3 +46,32 @@ FROM documents d LEFT JOIN classes c USING (doc_id) LEFT JOIN roots USING (class
 @query("op1_ngram_jaccard", OP1_SQL)
 def op1(spark, sf):
     return jaccard.components_of(read(spark, sf, "documents"))
+
+
+WORDS7 = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS7} AS ws FROM documents
+), b AS (SELECT item_id, {WORDS7} AS ws FROM benchmark
+), p AS (
+  SELECT item_id, k, array_to_string(ws[i:i+k-1], ' ') AS ph
+  FROM (SELECT item_id, ws, least(len(ws), 10) AS k, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)
+), g AS (
+  SELECT doc_id, i, k, array_to_string(ws[i:i+k-1], ' ') AS ph
+  FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k)
+), o AS (SELECT DISTINCT doc_id, i, g.k, item_id FROM g JOIN p ON g.k = p.k AND g.ph = p.ph
+), h AS (
+  SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS w FROM o) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s
+  FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM o) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op7_fm_decontaminate", OP7_SQL)
+def op7(spark, sf):
+    return fm.digest(fm.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark")))
