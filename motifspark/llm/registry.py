@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL they are checked against."""
 
 from motifspark.llm import fm_decontaminate as fm
+from motifspark.llm import hilbert_shards, language_id, license_scan
 from motifspark.llm import ngram_jaccard as jaccard
 from motifspark.llm.text import read
 
@@ -75,3 +76,41 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 @query("op7_fm_decontaminate", OP7_SQL)
 def op7(spark, sf):
     return fm.digest(fm.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark")))
+
+
+def canonical_sql(text):
+    line = f"concat(' ', trim(regexp_replace(regexp_replace(lower(l), '{license_scan.COPYRIGHT}', ''), '{license_scan.PUNCTUATION}', ' ', 'g')), ' ')"
+    for one, other in license_scan.SPELLINGS:
+        line = f"replace({line}, ' {one} ', ' {other} ')"
+    return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda l: trim({line})), lambda l: l <> '')"
+
+
+LICENSES_SQL = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, _, text in license_scan.KNOWN)
+
+OP2_SQL = f"""
+WITH k AS (
+  SELECT sha256(array_to_string({canonical_sql("text")}, ' ')) AS digest, min(license) AS license
+  FROM (VALUES {LICENSES_SQL}) AS v(license, text) GROUP BY 1
+), d AS (SELECT doc_id, {canonical_sql("text")} AS ls FROM documents
+), n AS (
+  SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM (SELECT doc_id, unnest(ls) AS l FROM d) JOIN k ON k.digest = sha256(l) GROUP BY doc_id
+)
+SELECT d.doc_id, sha256(array_to_string(ls, ' ')) AS digest, license, coalesce(n_notices, 0) AS n_notices, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN k ON len(ls) > 0 AND k.digest = sha256(array_to_string(ls, ' ')) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op2_license_scan", OP2_SQL)
+def op2(spark, sf):
+    return license_scan.scan(read(spark, sf, "documents"))
+
+
+@query("op4_language_id")
+def op4(spark, sf):
+    return language_id.identify(read(spark, sf, "documents"))
+
+
+@query("op8_hilbert_shards")
+def op8(spark, sf):
+    return hilbert_shards.shard(read(spark, sf, "documents"))
