@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL they are checked against."""
 
 from motifspark.llm import fm_decontaminate as fm
-from motifspark.llm import hilbert_shards, language_id, license_scan
+from motifspark.llm import hilbert_shards, language_id, license_scan, media_columns, warc_zip
 from motifspark.llm import ngram_jaccard as jaccard
 from motifspark.llm.text import read
 
@@ -114,3 +114,22 @@ def op4(spark, sf):
 @query("op8_hilbert_shards")
 def op8(spark, sf):
     return hilbert_shards.shard(read(spark, sf, "documents"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS h FROM pages
+), f AS (SELECT *, CASE WHEN octet_length(b) >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, octet_length(b) AS payload_bytes, h AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op10_warc_zip", OP10_SQL)
+def op10(spark, sf):
+    return warc_zip.round_trip(read(spark, sf, "pages"))
+
+
+@query("op6_media_columns")
+def op6(spark, sf):
+    return media_columns.documents_as_media(read(spark, sf, "documents"))
