@@ -1,28 +1,36 @@
 """Exact set-similarity join on word shingles by universe partition.
 
 The universe of shingles is cut into slots by hash, one cutting per band of set sizes. Two linked sets of sizes a >= b
-differ in at most (a + b) / 7 shingles, which is at most b // 3. A set walks its non-empty slots in an order that all
-sets of the band share and emits them until they weigh n // 3 + 1. A slot weighs 1 if it is indexed by its content alone,
-2 if it is also indexed by its content less one shingle each (only where it holds two or more). The set of a pair that
-stops first has more weight than the pair has differences, so in one of its slots the other set differs by less than the
-weight and meets it there. The order is by cost: slots whose contents collide most come last and are mostly never
-emitted, and where many are costly the cheapest slots get the one-deletion neighbourhood instead.
+differ in at most (a + b) / 7 shingles, which is at most b // 3. A set walks its filled slots in a fixed order and emits
+them as keys until they weigh n // 3 + 1. Weights are allocated by cost. A slot whose content is found in many sets
+weighs 0 and is passed over, so that common passages and lines are no keys. Others weigh 1 and are indexed by their
+content. Where the sets of a band would run out of weight, its first slots weigh 2 and are indexed by their content less
+one shingle each as well. The set of a pair that stops first has more weight than the pair has differences, so in one of
+its slots the other set differs by less than the weight and meets it there under a key that is common to neither. Sets
+that run out of slots first are few; they meet each other by single shingles.
+
+Rows that share a key are compared by a parity sketch, whose Hamming distance is never above the number of differences,
+and what passes is verified on the texts.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from motifspark.llm.graph import components
 from motifspark.llm.text import as_batch, binary, mix, raw_column, shingle_set
 from motifspark.session import materialize
 
-#: Bands up to 4 ** 8 shingles have a cost order, which bounds the table sent to the tasks at 44,000 entries; longer texts use the order of their slots.
-ORDERED_BANDS = 8
-#: A slot is costly from so many times its band's median.
-COSTLY = 16
+#: A slot content weighs nothing from so many sets on; the most frequent `COMMON` contents at most are known to the tasks.
+COSTLY = 32
+COMMON = 200_000
 #: Members that are verified with one copy of their pivot's text.
 STAR = 64
+#: Keys per Arrow batch, and pairs up to which documents are picked by a broadcast instead of a shuffle of their texts.
 ROWS = 400_000
+PICKED = 500_000
+#: Bits of the largest sketch.
+SKETCH = 1 << 17
 
 
 def band_of(n):
@@ -39,11 +47,9 @@ def bands(n):
     return [own] + [own + 1] * (4 * n >= 3 * 4 ** (own + 1))
 
 
-def fill(shingles, band, rank=None):
-    """Shingles sorted by slot position: (position of each filled slot, its first shingle, scrambled shingles in that order)."""
+def fill(shingles, band):
+    """Shingles sorted by slot: (each filled slot, its first shingle, scrambled shingles in that order)."""
     place = ((shingles >> np.uint64(32)) * np.uint64(slots(band)) >> np.uint64(32)).astype(np.int64)
-    if rank is not None:
-        place = rank[place]
     order = np.argsort(place, kind="stable")
     place, scrambled = place[order], mix(shingles + np.uint64(band + 1))[order]
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -55,28 +61,50 @@ def contents(total, position, band):
     return mix(total + (position.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band))
 
 
-def signature(shingles, plan):
-    """Keys of one set. `plan` maps a band to (position of each slot, how many positions have deletions too)."""
+def is_in(keys, table):
+    """Which keys are in the sorted `table`."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
+def signature(shingles, common, doubled):
+    """Keys of one set. `common`: sorted contents that weigh nothing; `doubled`: first slots of a band that weigh 2."""
     n = len(shingles)
     out = []
     for band in bands(n):
-        rank, doubled = plan.get(band, (None, 0))
-        position, first, scrambled = fill(shingles, band, rank)
+        slot, first, scrambled = fill(shingles, band)
         total = np.add.reduceat(scrambled, first)
-        size = np.diff(first, append=n)
-        weight = 1 + ((position < doubled) & (size > 1))
+        exact = contents(total, slot, band)
+        free = ~is_in(exact, common)
+        weight = free.astype(np.int64)
+        wide = slot < doubled.get(band, 0)
+        if wide.any():
+            size = np.diff(first, append=n)
+            of = np.repeat(np.arange(len(first)), size)
+            less = np.flatnonzero(wide[of] & (size[of] > 1))
+            fewer = contents(total[of[less]] - scrambled[less], slot[of[less]], band)
+            usable = ~is_in(fewer, common)
+            spoilt = np.zeros(len(first), bool)
+            spoilt[of[less[~usable]]] = True
+            weight[wide & (size > 1) & free & ~spoilt] = 2
         reach = np.cumsum(weight)
         stop = int(np.searchsorted(reach, n // 3 + 1)) + 1
-        out.append(contents(total[:stop], position[:stop], band))
-        if doubled and (weight[:stop] == 2).any():
-            of = np.repeat(np.arange(len(first)), size)
-            less = np.flatnonzero((weight[of] == 2) & (of < stop))
-            out.append(contents(total[of[less]] - scrambled[less], position[of[less]], band))
-        if reach[-1] < n // 3 + 1:  # too few slots filled: two such sets may miss each other above, so each shingle is a key
+        out.append(exact[:stop][free[:stop]])
+        if wide.any():
+            out.append(fewer[usable & (of[less] < stop)])
+        if reach[-1] < n // 3 + 1:
             out.append(mix(shingles * np.uint64(3) + np.uint64(band)))
     return np.unique(np.concatenate(out))
 
 
+def sketch(shingles, band):
+    """Parity of the shingles in each of the band's bins, 64 bins in a long."""
+    bins = int(np.clip(4 ** (band + 1), 256, SKETCH))
+    odd = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def identity(shingles):
     """128 bits that stand for a set."""
     return int(mix(shingles).sum(dtype=np.uint64)), int(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -97,59 +125,59 @@ def distinct_sets(batch):
 
 
 def survey(batches):
-    """Set sizes and identities (`band` -1), and how often contents collide in each slot of a band (`band` >= 0)."""
+    """Sizes, identities and sketches of sets (`band` -1), and slot contents that occur more than once in a batch (`band` >= 0)."""
     for batch in batches:
-        ids = batch.column(0)
         sets = [shingle_set(raw) for raw in raw_column(batch, "text")]
         who = [identity(s) for s in sets]
-        fill_in = np.zeros(len(sets), np.int64)
-        yield as_batch(band=fill_in.astype(np.int32) - 1, doc_id=ids, n=np.array([len(s) for s in sets], np.int64),
-                       sig_a=signed([a for a, _ in who]), sig_b=signed([b for _, b in who]))
-        keys = {}
+        own = [sketch(s, band_of(len(s))) if len(s) else None for s in sets]
+        above = [sketch(s, bands(len(s))[1]) if len(s) and len(bands(len(s))) > 1 else None for s in sets]
+        longs = pa.list_(pa.int64())
+        yield as_batch(band=np.full(len(sets), -1, np.int32), doc_id=batch.column(0), n=np.array([len(s) for s in sets], np.int64),
+                       sig_a=signed([a for a, _ in who]), sig_b=signed([b for _, b in who]), own=pa.array(own, longs), above=pa.array(above, longs))
+        found = {}
         for s in {w: s for w, s in zip(who, sets) if len(s)}.values():
-            band = band_of(len(s))
-            if band < ORDERED_BANDS:
-                position, first, scrambled = fill(s, band)
-                keys.setdefault(band, []).append((position, np.add.reduceat(scrambled, first)))
-        for band, parts in keys.items():
-            position, total = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((total, position))
-            position, total = position[order], total[order]
-            same = np.flatnonzero((position[1:] == position[:-1]) & (total[1:] == total[:-1]))
-            slot, hits = np.unique(position[same], return_counts=True)
-            zero = np.zeros(len(slot), np.int64)
-            yield as_batch(band=zero.astype(np.int32) + band, doc_id=slot, n=hits.astype(np.int64), sig_a=zero, sig_b=zero)
-
-
-def allocate(costs):
-    """Cost order and number of one-deletion slots of each band, from rows (band, slot, collisions)."""
-    plan = {}
-    for band in sorted({c[0] for c in costs}):
+            for band in bands(len(s)):
+                slot, first, scrambled = fill(s, band)
+                found.setdefault(band, []).append(contents(np.add.reduceat(scrambled, first), slot, band))
+        for band, parts in found.items():
+            key, count = np.unique(np.concatenate(parts), return_counts=True)
+            key, count = signed(key[count > 1]), count[count > 1]
+            none = pa.nulls(len(key), longs)
+            zero = np.zeros(len(key), np.int64)
+            yield as_batch(band=np.full(len(key), band, np.int32), doc_id=key, n=count.astype(np.int64), sig_a=zero, sig_b=zero, own=none, above=none)
+
+
+def allocate(costs, sizes):
+    """Sorted common contents and the number of doubled slots of each band.
+
+    `costs`: (band, content, sets that hold it); `sizes`: (band, sets, shingles). The slots that a band's largest sets
+    fill, less the share that common contents take, fall short of the weight needed by what doubled slots must add.
+    """
+    taken = {}
+    for band, _, n in costs:
+        taken[band] = taken.get(band, 0) + n
+    doubled = {}
+    for band, count, total in sizes:
         m = slots(band)
-        cost = np.zeros(m, np.int64)
-        for _, slot, hits in (c for c in costs if c[0] == band):
-            cost[slot] = hits
-        order = np.argsort(cost, kind="stable")
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
-        cheap = int((cost <= COSTLY * (np.median(cost) + 1)).sum())
-        filled = 0.86  # share of slots that the largest sets of a band fill: 1 - exp(-2)
-        missing = 4 ** (band + 1) / 3 + 1 - filled * cheap
-        plan[band] = rank, int(np.clip(1.3 * missing / filled, 0, cheap))
-    return plan
-
-
-def emit(plan):
+        filled = count * m * (1 - np.exp(-total / count / m))
+        left = 0.86 * m * max(0.0, 1 - taken.get(band, 0) / filled)  # 0.86: 1 - exp(-2)
+        doubled[band] = int(np.clip(1.3 * (4 ** (band + 1) / 3 + 1 - left) / 0.86, 0, m))
+    return np.sort(np.array([c[1] for c in costs], np.int64).view(np.uint64)), {b: d for b, d in doubled.items() if d}
+
+
+def emit(broadcast):
     def run(batches):
+        common, doubled = broadcast.value
         for batch in batches:
-            ids, keys, held = batch.column(0).to_pylist(), [], []
+            ids, keys, held, size = batch.column(0).to_pylist(), [], [], 0
             for row, shingles in distinct_sets(batch):
                 if ids[row] is not None:
-                    keys.append(signature(shingles, plan))
+                    keys.append(signature(shingles, common, doubled))
                     held.append(ids[row])
-                if keys and (row % 256 == 0 and sum(map(len, keys)) > ROWS):
+                    size += len(keys[-1])
+                if size > ROWS:
                     yield rows_of(keys, held)
-                    keys, held = [], []
+                    keys, held, size = [], [], 0
             if keys:
                 yield rows_of(keys, held)
 
@@ -177,24 +205,26 @@ def compare(batches):
 
 
 def verify(docs, pairs):
-    """Pairs (a, p) with the exact sizes of intersection and union, kept where 100 * shared >= 75 * union.
+    """Links (a, b) of pairs (a, p) with the exact sizes of intersection and union, where 100 * shared >= 75 * union.
 
     Members go to their pivot in pieces of about `STAR`, so that a pivot with many members is spread and its text is sent
-    once per piece. Both sides of a pair are texts, which are smaller than their shingles.
+    once per piece. Texts are sent, which are smaller than their shingles.
     """
     pieces = pairs.groupBy("p").agg(F.ceil(F.count("*") / STAR).alias("pieces"))
-    pairs = pairs.join(pieces, "p").select("a", "p", F.pmod(F.hash("a"), F.col("pieces")).cast("int").alias("salt"))
-    wanted = pairs.select("a", "p", "salt", F.col("a").alias("doc_id")).union(
-        pairs.select(F.lit(None).cast("long"), "p", "salt", F.col("p")).distinct())
-    texts = docs.select("doc_id", "text").where("text is not null")
-    rows = wanted.join(texts, "doc_id").select("p", "salt", "a", binary("text")).dropDuplicates(["p", "salt", "a"])
+    cut = pairs.join(pieces, "p").select("a", "p", F.pmod(F.hash("a"), F.col("pieces")).cast("int").alias("salt"))
+    wanted = cut.select("a", "p", "salt", F.col("a").alias("doc_id")).union(cut.select(F.lit(None).cast("long"), "p", "salt", F.col("p")).distinct())
+    if pairs.count() <= PICKED:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("doc_id", binary()).where("text is not null")
+    rows = texts.join(wanted, "doc_id").select("p", "salt", "a", "text")
     rows = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("a").asc_nulls_first())
     return rows.mapInArrow(compare, "a long, b long, shared long, union long").where("100 * shared >= 75 * union")
 
 
-def buckets(docs, plan):
+def buckets(docs, allocation):
     """Rows (key, doc_id, pivot) of the keys that two or more rows share; pivot is the smallest of them."""
-    rows = docs.select("doc_id", binary()).mapInArrow(emit(plan), "key long, doc_id long").repartition("key")
+    known = docs.sparkSession.sparkContext.broadcast(allocation)
+    rows = docs.select("doc_id", binary()).mapInArrow(emit(known), "key long, doc_id long").repartition("key")
     ends = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
     return rows.join(ends.select("key", "pivot"), "key")
 
@@ -207,6 +237,14 @@ def sized(pairs, classes):
     return pairs.select(F.greatest("ca", "cp").alias("a"), F.least("ca", "cp").alias("p")).distinct()
 
 
+def near(pairs, sketches):
+    """Pairs (a, p) of classes whose sketches allow a link: Hamming distance at most (a + b) / 7."""
+    x, y = (sketches.select(F.col("class").alias(c), F.struct("n", "band", "own", "above").alias(v)) for c, v in (("a", "x"), ("p", "y")))
+    bits = F.expr("""aggregate(zip_with(
+        if(x.band < y.band, x.above, x.own), if(y.band < x.band, y.above, y.own), (i, j) -> bit_count(i ^ j)), 0, (s, d) -> s + d)""")
+    return pairs.join(x, "a").join(y, "p").where(F.expr("x.n + y.n") >= 7 * bits).select("a", "p")
+
+
 def linked(docs, all_links=False):
     """(one row per input row: doc_id, n_shingles, class_id, component_id; links a, b, shared, union between classes).
 
@@ -220,16 +258,24 @@ def linked(docs, all_links=False):
     other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = materialize(docs.select("doc_id", binary()).mapInArrow(survey, "band int, doc_id long, n long, sig_a long, sig_b long"), "survey")
+    seen = docs.select("doc_id", binary()).mapInArrow(
+        survey, "band int, doc_id long, n long, sig_a long, sig_b long, own array<long>, above array<long>")
+    seen = materialize(seen, "survey")
     rows = seen.where("band = -1")
-    costs = seen.where("band >= 0").groupBy("band", "doc_id").agg(F.sum("n").alias("n")).collect()
-    named = rows.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("class"))
-    rows = rows.select("doc_id", "n", "sig_a", "sig_b").join(named, ["n", "sig_a", "sig_b"], "left")
-    rows = materialize(rows.select("doc_id", "n", "class"), "classes")
-    classes = rows.where("class is not null and doc_id is not null").dropDuplicates(["doc_id"])
-
-    members = materialize(buckets(docs, allocate([tuple(c) for c in costs])), "buckets")
-    stars = materialize(sized(members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("p")).distinct(), classes), "stars")
+    band = F.floor((F.length(F.bin("n")) - 1) / 2).cast("int")
+    sizes = rows.where("n > 0").groupBy(band.alias("band")).agg(F.count("*"), F.sum("n")).collect()
+    costs = seen.where("band >= 0").groupBy("band", "doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= COSTLY)
+    costs = costs.orderBy(F.desc("n"), "doc_id").limit(COMMON).collect()
+    signs = ["n", "sig_a", "sig_b"]
+    named = rows.where("n > 0").groupBy(*signs).agg(F.min("doc_id").alias("class"))
+    named = materialize(rows.select("doc_id", *signs).join(named, signs, "left").select("doc_id", "n", "class"), "classes")
+    classes = named.where("class is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    sketches = rows.where("n > 0").withColumn("band", band).withColumnRenamed("doc_id", "class")
+    sketches = sketches.join(named.where("doc_id = class").select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+
+    members = materialize(buckets(docs, allocate([tuple(c) for c in costs], [tuple(c) for c in sizes])), "buckets")
+    stars = members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("p")).distinct()
+    stars = materialize(near(sized(stars, classes), sketches), "stars")
     links = materialize(verify(docs, stars), "links")
     grown = components(links)
 
@@ -246,10 +292,10 @@ def linked(docs, all_links=False):
     apart = F.lit(True) if all_links else F.expr("x.root <> y.root")
     left = one.join(two, F.expr("x.key = y.key and x.class <> y.class and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)") & apart)
     left = left.select(F.expr("greatest(x.class, y.class)").alias("a"), F.expr("least(x.class, y.class)").alias("p")).distinct()
-    left = materialize(left.join(stars, ["a", "p"], "left_anti"), "left")
+    left = materialize(near(left, sketches).join(stars, ["a", "p"], "left_anti"), "left")
     links = links.union(materialize(verify(docs, left), "more"))
     roots = components(links).withColumnRenamed("node", "class")
-    out = rows.join(roots, "class", "left").select(
+    out = named.join(roots, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class_id"),
         F.coalesce("root", "class", "doc_id").alias("component_id"))
     return out, links

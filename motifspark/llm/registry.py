@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL they are checked against."""
 
 from motifspark.llm import fm_decontaminate as fm
-from motifspark.llm import hilbert_shards, language_id, license_scan, media_columns, warc_zip
+from motifspark.llm import hilbert_shards, language_id, license_scan, media_columns, secret_scan, sentencepiece_array, warc_zip
 from motifspark.llm import ngram_jaccard as jaccard
 from motifspark.llm.text import read
 
@@ -133,3 +133,14 @@ def op10(spark, sf):
 @query("op6_media_columns")
 def op6(spark, sf):
     return media_columns.documents_as_media(read(spark, sf, "documents"))
+
+
+@query("op5_secret_scan")
+def op5(spark, sf):
+    docs = read(spark, sf, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
+
+
+@query("op9_sentencepiece_array")
+def op9(spark, sf):
+    return sentencepiece_array.encode(read(spark, sf, "documents"))
