@@ -7,10 +7,12 @@ weighs 0 and is passed over, so that common passages and lines are no keys. Othe
 content. Where the sets of a band would run out of weight, its first slots weigh 2 and are indexed by their content less
 one shingle each as well. The set of a pair that stops first has more weight than the pair has differences, so in one of
 its slots the other set differs by less than the weight and meets it there under a key that is common to neither. Sets
-that run out of slots first are few; they meet each other by single shingles.
+that run out of slots, such as those of a large group of near copies, emit what they have and walk again with a higher
+limit for what is common, under keys of that limit; the last walk has none. Sets that run out even then meet by single
+shingles.
 
 Rows that share a key are compared by a parity sketch, whose Hamming distance is never above the number of differences,
-and what passes is verified on the texts.
+and what passes is verified on the texts. Large buckets are compared in blocks that emit only what passes.
 """
 
 import numpy as np
@@ -18,12 +20,17 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from motifspark.llm.graph import components
-from motifspark.llm.text import as_batch, binary, mix, raw_column, shingle_set
+from motifspark.llm.text import MIX, as_batch, binary, mix, raw_column, shingle_set
 from motifspark.session import materialize
 
-#: A slot content weighs nothing from so many sets on; the most frequent `COMMON` contents at most are known to the tasks.
-COSTLY = 32
+#: From so many sets on a slot content weighs nothing in each walk; the most frequent `COMMON` contents at most are known to the tasks.
+LIMITS = (32, 256, 2048, 16384, 1 << 62)
 COMMON = 200_000
+#: Rows of a bucket up to which its pairs are joined, and rows of a block of larger ones.
+SMALL = 12
+BLOCK = 2000
+#: Rows of an Arrow batch that are held as sets at a time.
+SLICE = 1024
 #: Members that are verified with one copy of their pivot's text.
 STAR = 64
 #: Keys per Arrow batch, and pairs up to which documents are picked by a broadcast instead of a shuffle of their texts.
@@ -61,46 +68,56 @@ def contents(total, position, band):
     return mix(total + (position.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band))
 
 
-def is_in(keys, table):
-    """Which keys are in the sorted `table`."""
-    if not len(table):
-        return np.zeros(len(keys), bool)
-    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+def count_of(keys, common):
+    """How many sets hold each key, 0 where that is not known."""
+    known, count = common
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, count[at], 0)
 
 
 def signature(shingles, common, doubled):
-    """Keys of one set. `common`: sorted contents that weigh nothing; `doubled`: first slots of a band that weigh 2."""
+    """Keys of one set. `common`: sorted contents and how many sets hold them; `doubled`: first slots of a band that weigh 2."""
     n = len(shingles)
+    need = n // 3 + 1
     out = []
     for band in bands(n):
         slot, first, scrambled = fill(shingles, band)
         total = np.add.reduceat(scrambled, first)
         exact = contents(total, slot, band)
-        free = ~is_in(exact, common)
-        weight = free.astype(np.int64)
+        held = count_of(exact, common)
         wide = slot < doubled.get(band, 0)
         if wide.any():
             size = np.diff(first, append=n)
             of = np.repeat(np.arange(len(first)), size)
             less = np.flatnonzero(wide[of] & (size[of] > 1))
             fewer = contents(total[of[less]] - scrambled[less], slot[of[less]], band)
-            usable = ~is_in(fewer, common)
-            spoilt = np.zeros(len(first), bool)
-            spoilt[of[less[~usable]]] = True
-            weight[wide & (size > 1) & free & ~spoilt] = 2
-        reach = np.cumsum(weight)
-        stop = int(np.searchsorted(reach, n // 3 + 1)) + 1
-        out.append(exact[:stop][free[:stop]])
-        if wide.any():
-            out.append(fewer[usable & (of[less] < stop)])
-        if reach[-1] < n // 3 + 1:
+            fewer_held = count_of(fewer, common)
+        for walk, limit in enumerate(LIMITS):
+            tag = np.uint64(walk) * MIX
+            free = held < limit
+            weight = free.astype(np.int64)
+            if wide.any():
+                usable = fewer_held < limit
+                spoilt = np.zeros(len(first), bool)
+                spoilt[of[less[~usable]]] = True
+                weight[wide & (size > 1) & free & ~spoilt] = 2
+            reach = np.cumsum(weight)
+            stop = int(np.searchsorted(reach, need)) + 1
+            out.append(exact[:stop][free[:stop]] + tag)
+            if wide.any():
+                out.append(fewer[usable & (of[less] < stop)] + tag)
+            if reach[-1] >= need:
+                break
+        else:
             out.append(mix(shingles * np.uint64(3) + np.uint64(band)))
     return np.unique(np.concatenate(out))
 
 
 def sketch(shingles, band):
-    """Parity of the shingles in each of the band's bins, 64 bins in a long."""
-    bins = int(np.clip(4 ** (band + 1), 256, SKETCH))
+    """Parity of the shingles in each of the band's bins, 64 bins in a long. XOR of its parts is the sketch of a smaller band."""
+    bins = int(np.clip(2 * 4 ** (band + 1), 512, SKETCH))
     odd = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -114,37 +131,36 @@ def signed(values):
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-def distinct_sets(batch):
-    """(first row, set, identity) of each non-empty set of a batch; copies within the batch collapse here."""
-    seen = set()
-    for row, raw in enumerate(raw_column(batch, "text")):
-        shingles = shingle_set(raw)
-        if len(shingles) and (key := identity(shingles)) not in seen:
-            seen.add(key)
-            yield row, shingles
+def sets_of(batch):
+    """(row, set, identity) of each row; few sets are held at a time."""
+    for at in range(0, batch.num_rows, SLICE):
+        for k, raw in enumerate(raw_column(batch.slice(at, SLICE), "text")):
+            shingles = shingle_set(raw)
+            yield at + k, shingles, identity(shingles)
 
 
 def survey(batches):
     """Sizes, identities and sketches of sets (`band` -1), and slot contents that occur more than once in a batch (`band` >= 0)."""
     for batch in batches:
-        sets = [shingle_set(raw) for raw in raw_column(batch, "text")]
-        who = [identity(s) for s in sets]
-        own = [sketch(s, band_of(len(s))) if len(s) else None for s in sets]
-        above = [sketch(s, bands(len(s))[1]) if len(s) and len(bands(len(s))) > 1 else None for s in sets]
+        size, who, own, seen, found = [], [], [], set(), {}
+        for _, s, key in sets_of(batch):
+            size.append(len(s))
+            who.append(key)
+            own.append(sketch(s, band_of(len(s))) if len(s) else None)
+            if len(s) and key not in seen:
+                seen.add(key)
+                for band in bands(len(s)):
+                    slot, first, scrambled = fill(s, band)
+                    found.setdefault(band, []).append(contents(np.add.reduceat(scrambled, first), slot, band))
         longs = pa.list_(pa.int64())
-        yield as_batch(band=np.full(len(sets), -1, np.int32), doc_id=batch.column(0), n=np.array([len(s) for s in sets], np.int64),
-                       sig_a=signed([a for a, _ in who]), sig_b=signed([b for _, b in who]), own=pa.array(own, longs), above=pa.array(above, longs))
-        found = {}
-        for s in {w: s for w, s in zip(who, sets) if len(s)}.values():
-            for band in bands(len(s)):
-                slot, first, scrambled = fill(s, band)
-                found.setdefault(band, []).append(contents(np.add.reduceat(scrambled, first), slot, band))
+        yield as_batch(band=np.full(len(size), -1, np.int32), doc_id=batch.column(0), n=np.array(size, np.int64),
+                       sig_a=signed([a for a, _ in who]), sig_b=signed([b for _, b in who]), own=pa.array(own, longs))
+        del own
         for band, parts in found.items():
             key, count = np.unique(np.concatenate(parts), return_counts=True)
             key, count = signed(key[count > 1]), count[count > 1]
-            none = pa.nulls(len(key), longs)
             zero = np.zeros(len(key), np.int64)
-            yield as_batch(band=np.full(len(key), band, np.int32), doc_id=key, n=count.astype(np.int64), sig_a=zero, sig_b=zero, own=none, above=none)
+            yield as_batch(band=np.full(len(key), band, np.int32), doc_id=key, n=count.astype(np.int64), sig_a=zero, sig_b=zero, own=pa.nulls(len(key), longs))
 
 
 def allocate(costs, sizes):
@@ -162,7 +178,9 @@ def allocate(costs, sizes):
         filled = count * m * (1 - np.exp(-total / count / m))
         left = 0.86 * m * max(0.0, 1 - taken.get(band, 0) / filled)  # 0.86: 1 - exp(-2)
         doubled[band] = int(np.clip(1.3 * (4 ** (band + 1) / 3 + 1 - left) / 0.86, 0, m))
-    return np.sort(np.array([c[1] for c in costs], np.int64).view(np.uint64)), {b: d for b, d in doubled.items() if d}
+    known, count = np.array([c[1] for c in costs], np.int64).view(np.uint64), np.array([c[2] for c in costs], np.int64)
+    order = np.argsort(known)
+    return (known[order], count[order]), {b: d for b, d in doubled.items() if d}
 
 
 def emit(broadcast):
@@ -170,8 +188,10 @@ def emit(broadcast):
         common, doubled = broadcast.value
         for batch in batches:
             ids, keys, held, size = batch.column(0).to_pylist(), [], [], 0
-            for row, shingles in distinct_sets(batch):
-                if ids[row] is not None:
+            seen = set()
+            for row, shingles, who in sets_of(batch):
+                if len(shingles) and ids[row] is not None and who not in seen:  # copies within the batch collapse here
+                    seen.add(who)
                     keys.append(signature(shingles, common, doubled))
                     held.append(ids[row])
                     size += len(keys[-1])
@@ -239,10 +259,56 @@ def sized(pairs, classes):
 
 def near(pairs, sketches):
     """Pairs (a, p) of classes whose sketches allow a link: Hamming distance at most (a + b) / 7."""
-    x, y = (sketches.select(F.col("class").alias(c), F.struct("n", "band", "own", "above").alias(v)) for c, v in (("a", "x"), ("p", "y")))
-    bits = F.expr("""aggregate(zip_with(
-        if(x.band < y.band, x.above, x.own), if(y.band < x.band, y.above, y.own), (i, j) -> bit_count(i ^ j)), 0, (s, d) -> s + d)""")
-    return pairs.join(x, "a").join(y, "p").where(F.expr("x.n + y.n") >= 7 * bits).select("a", "p")
+    x, y = (sketches.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("own").alias(f"own{c}")) for c in "ap")
+    width = "least(size(owna), size(ownp))"
+    short = [f"if(size(own{c}) = {width}, own{c}, transform(sequence(0, {width} - 1), i -> aggregate("
+             f"sequence(0, cast(size(own{c}) / {width} as int) - 1), 0L, (s, k) -> s ^ own{c}[i + k * {width}])))" for c in "ap"]
+    bits = F.expr(f"aggregate(zip_with({short[0]}, {short[1]}, (i, j) -> bit_count(i ^ j)), 0, (s, d) -> s + d)")
+    return pairs.join(x, "a").join(y, "p").where(F.expr("na + np") >= 7 * bits).select("a", "p")
+
+
+def folded(sketches, words):
+    """Sketches, as rows, folded to so many words each."""
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches])
+
+
+def compare_block(table):
+    """Pairs of one block pair of a bucket, in different components, whose sizes and sketches allow a link."""
+    kind, n, root, side, minor = (table.column(c).to_numpy() for c in ("class", "n", "root", "side", "minor"))
+    own = [np.array(x, np.int64) for x in table.column("own").to_pylist()]
+    words = np.array([len(x) for x in own])
+    full = {w: (np.flatnonzero(words == w), folded([x for x in own if len(x) == w], w)) for w in set(words.tolist())}
+    least = folded(own, int(words.min()))
+    alone = len(set(side.tolist())) == 1
+    out = []
+    for i in range(len(kind)):
+        j = np.flatnonzero((root != root[i]) & (kind > kind[i]) & (minor | minor[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+        if not alone:
+            j = j[side[j] != side[i]]
+        j = j[n[j] + n[i] >= 7 * np.bitwise_count(least[j] ^ least[i]).sum(1, dtype=np.int64)]
+        rows, same = full[words[i]]
+        here = words[j] == words[i]
+        close = np.ones(len(j), bool)
+        if here.any() and words[i] > least.shape[1]:
+            at, mine = np.searchsorted(rows, j[here]), np.searchsorted(rows, i)
+            close[here] = n[j[here]] + n[i] >= 7 * np.bitwise_count(same[at] ^ same[mine]).sum(1, dtype=np.int64)
+        out += [(kind[k], kind[i]) for k in j[close]]
+    a, p = zip(*out) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "p": pa.array(p, pa.int64())})
+
+
+def across(rows, sketches):
+    """Candidate pairs (a, p) between components within large buckets, from rows (key, class, n, root, minor).
+
+    The rows of a bucket are dealt to blocks by hash, and every two blocks meet in a task of their own. Only pairs that
+    pass the sketch leave it, so a group of near copies takes time but no room that grows with its square.
+    """
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("own_block", F.pmod(F.hash("class"), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "own_block").alias("i"), F.greatest(b, "own_block").alias("j")))
+    rows = rows.select("key", "class", "n", "root", "minor", F.col("own_block").alias("side"), F.explode(meets).alias("m")).select("*", "m.i", "m.j").drop("m")
+    rows = rows.join(sketches.select("class", "own"), "class")
+    return rows.groupBy("key", "i", "j").applyInArrow(compare_block, "a long, p long")
 
 
 def linked(docs, all_links=False):
@@ -258,13 +324,12 @@ def linked(docs, all_links=False):
     other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = docs.select("doc_id", binary()).mapInArrow(
-        survey, "band int, doc_id long, n long, sig_a long, sig_b long, own array<long>, above array<long>")
+    seen = docs.select("doc_id", binary()).mapInArrow(survey, "band int, doc_id long, n long, sig_a long, sig_b long, own array<long>")
     seen = materialize(seen, "survey")
     rows = seen.where("band = -1")
     band = F.floor((F.length(F.bin("n")) - 1) / 2).cast("int")
     sizes = rows.where("n > 0").groupBy(band.alias("band")).agg(F.count("*"), F.sum("n")).collect()
-    costs = seen.where("band >= 0").groupBy("band", "doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= COSTLY)
+    costs = seen.where("band >= 0").groupBy("band", "doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= LIMITS[0])
     costs = costs.orderBy(F.desc("n"), "doc_id").limit(COMMON).collect()
     signs = ["n", "sig_a", "sig_b"]
     named = rows.where("n > 0").groupBy(*signs).agg(F.min("doc_id").alias("class"))
@@ -282,17 +347,20 @@ def linked(docs, all_links=False):
     here = members.select("key", "doc_id").join(classes, "doc_id").select("key", "class", "n").distinct()
     here = here.join(grown.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     if all_links:
-        mixed = here.withColumn("minor", F.lit(True))
+        mixed = here.withColumn("root", F.col("class")).withColumn("minor", F.lit(True))
     else:  # in each bucket, rows outside the largest component against all rows of other components
         counts = here.groupBy("key", "root").agg(F.count("*").alias("c"))
         major = counts.groupBy("key").agg(F.max_by("root", "c").alias("major"), F.count("*").alias("roots")).where("roots > 1")
         mixed = here.join(major, "key").withColumn("minor", F.col("root") != F.col("major"))
-    mixed = materialize(mixed.select("key", "class", "n", "root", "minor"), "mixed")
-    one, two = mixed.where("minor").alias("x"), mixed.alias("y")
-    apart = F.lit(True) if all_links else F.expr("x.root <> y.root")
-    left = one.join(two, F.expr("x.key = y.key and x.class <> y.class and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)") & apart)
+    sizes_of = here.groupBy("key").agg(F.count("*").alias("rows"))
+    mixed = materialize(mixed.join(sizes_of, "key").select("key", "class", "n", "root", "minor", "rows"), "mixed")
+    small = mixed.where(F.col("rows") <= SMALL)
+    one, two = small.where("minor").alias("x"), small.alias("y")
+    left = one.join(two, F.expr("x.key = y.key and x.root <> y.root and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"))
     left = left.select(F.expr("greatest(x.class, y.class)").alias("a"), F.expr("least(x.class, y.class)").alias("p")).distinct()
-    left = materialize(near(left, sketches).join(stars, ["a", "p"], "left_anti"), "left")
+    large = across(mixed.where(F.col("rows") > SMALL), sketches).distinct()
+    left = near(left, sketches).union(large).distinct().join(stars, ["a", "p"], "left_anti")
+    left = materialize(left, "left")
     links = links.union(materialize(verify(docs, left), "more"))
     roots = components(links).withColumnRenamed("node", "class")
     out = named.join(roots, "class", "left").select(
@@ -309,9 +377,12 @@ def components_of(docs):
 def keep_one(docs):
     """Rows that stand for their component: every document whose doc_id is its component's smallest, all columns kept.
 
-    Of rows repeated with one doc_id the first in no order stays. Rows with a null doc_id stay.
+    Of rows repeated with one doc_id one stays. Rows with a null doc_id stay. What goes is less than what stays, so the
+    rows to drop are looked up, by broadcast where they are few, and texts are not moved for it.
     """
-    kept = components_of(docs).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi")
-    stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    found = materialize(components_of(docs).select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    stay = docs.join(F.broadcast(gone) if gone.count() <= PICKED else gone, "doc_id", "left_anti").select(docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return stay
+    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))

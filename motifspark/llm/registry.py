@@ -1,7 +1,16 @@
 """The queries of this subpackage and the SQL they are checked against."""
 
 from motifspark.llm import fm_decontaminate as fm
-from motifspark.llm import hilbert_shards, language_id, license_scan, media_columns, secret_scan, sentencepiece_array, warc_zip
+from motifspark.llm import (
+    hilbert_shards,
+    importance_resampling,
+    language_id,
+    license_scan,
+    media_columns,
+    secret_scan,
+    sentencepiece_array,
+    warc_zip,
+)
 from motifspark.llm import ngram_jaccard as jaccard
 from motifspark.llm.text import read
 
@@ -144,3 +153,8 @@ def op5(spark, sf):
 @query("op9_sentencepiece_array")
 def op9(spark, sf):
     return sentencepiece_array.encode(read(spark, sf, "documents"))
+
+
+@query("op3_importance_resampling")
+def op3(spark, sf):
+    return importance_resampling.sample(read(spark, sf, "documents"), read(spark, sf, "labels"))
