@@ -26,6 +26,7 @@ from motifspark.session import materialize
 #: From so many sets on a slot content weighs nothing in each walk; the most frequent `COMMON` contents at most are known to the tasks.
 LIMITS = (32, 256, 2048, 16384, 1 << 62)
 COMMON = 200_000
+TAGS = np.arange(len(LIMITS), dtype=np.uint64) * MIX
 #: Rows of a bucket up to which its pairs are joined, and rows of a block of larger ones.
 SMALL = 12
 BLOCK = 2000
@@ -95,7 +96,7 @@ def signature(shingles, common, doubled):
             fewer = contents(total[of[less]] - scrambled[less], slot[of[less]], band)
             fewer_held = count_of(fewer, common)
         for walk, limit in enumerate(LIMITS):
-            tag = np.uint64(walk) * MIX
+            tag = TAGS[walk]
             free = held < limit
             weight = free.astype(np.int64)
             if wide.any():
@@ -268,8 +269,8 @@ def near(pairs, sketches):
 
 
 def folded(sketches, words):
-    """Sketches, as rows, folded to so many words each."""
-    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches])
+    """Sketches, as rows, folded to so many words each; unsigned, since NumPy counts the bits of absolute values."""
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches]).view(np.uint64)
 
 
 def compare_block(table):
