@@ -54,14 +54,31 @@ def z_pvalue(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(v) / math.sqrt(2)) if v == v else None for v in z], dtype="float64")
 
 
-BARNARD_TABLES = 4_000_000
+#: Standard deviations around its mean beyond which a binomial count is left out; their weight is below the smallest double.
+REACH = 40
+#: Counts of a column up to which the borders of its tails are kept instead of found again.
+KEPT = 1 << 17
+
+
+def _binomial(n, p):
+    """First count, and probabilities from there, of a binomial distribution as far as they are not zero."""
+    import numpy as np
+
+    spread = REACH * (math.sqrt(n * p * (1 - p)) + 1)
+    x = np.arange(max(0, int(n * p - spread)), min(n, int(n * p + spread) + 1) + 1)
+    # ratios of neighbours, summed from the mode outwards, do not lose digits as differences of log-gammas do
+    step = np.log((n - x[:-1]) / (x[:-1] + 1)) + math.log(p) - math.log1p(-p)
+    log = np.concatenate([[0.0], np.cumsum(step)])
+    f = np.exp(log - log.max())
+    return x[0], f / f.sum()
 
 
 def barnard_p(a, b, c, d):
-    """Two-sided Barnard test of the table [[a, b], [c, d]] with the pooled score statistic.
+    """Two-sided Barnard test of the table [[a, b], [c, d]] with the pooled score statistic, exact at every size.
 
-    The tables of both columns are enumerated over a grid of the nuisance parameter; beyond
-    ``BARNARD_TABLES`` tables the same statistic has its normal limit.
+    For a fixed count in the first column the statistic falls with the count in the second, so that the tables at least
+    as extreme are two tails of the second column; their weight comes from running totals of its probabilities. The
+    nuisance parameter takes 64 values.
     """
     import numpy as np
 
@@ -75,18 +92,33 @@ def barnard_p(a, b, c, d):
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(var > 0, (x1 / n1 - x2 / n2) / np.sqrt(np.where(var > 0, var, 1)), 0.0)
 
-    own = abs(float(stat(np.float64(a), np.float64(b))))
-    if (n1 + 1) * (n2 + 1) > BARNARD_TABLES:
-        return math.erfc(own / math.sqrt(2))
-    x1, x2 = np.arange(n1 + 1), np.arange(n2 + 1)
-    extreme = np.abs(stat(x1[:, None].astype(float), x2[None, :].astype(float))) >= own - 1e-9
-    logc1 = np.array([math.lgamma(n1 + 1) - math.lgamma(i + 1) - math.lgamma(n1 - i + 1) for i in x1])
-    logc2 = np.array([math.lgamma(n2 + 1) - math.lgamma(i + 1) - math.lgamma(n2 - i + 1) for i in x2])
+    own = abs(float(stat(np.float64(a), np.float64(b)))) - 1e-9
+    if own <= 0:
+        return 1.0
+
+    def below(x1, least):
+        """How many counts of the second column, from 0 on, have a statistic of `least` or more."""
+        low, high = np.zeros(len(x1), np.int64), np.full(len(x1), n2 + 1)
+        while (low < high).any():
+            middle = (low + high) // 2
+            good = (low < high) & (stat(x1.astype(float), np.minimum(middle, n2).astype(float)) >= least)
+            low, high = np.where(good, middle + 1, low), np.where((low < high) & ~good, middle, high)
+        return low
+
+    def borders(x1):
+        return below(x1, own), below(x1, np.nextafter(-own, 0))
+
+    known = borders(np.arange(n1 + 1)) if n1 < KEPT else None  # the same for every value of the nuisance parameter
     best = 0.0
     for p in np.linspace(0.0, 1.0, 66)[1:-1]:
-        f1 = np.exp(logc1 + x1 * math.log(p) + (n1 - x1) * math.log1p(-p))
-        f2 = np.exp(logc2 + x2 * math.log(p) + (n2 - x2) * math.log1p(-p))
-        best = max(best, float(f1 @ extreme @ f2))
+        at1, f1 = _binomial(n1, p)
+        at2, f2 = _binomial(n2, p)
+        x1 = at1 + np.arange(len(f1))
+        total = np.concatenate([[0.0], np.cumsum(f2)])
+        low, high = (b[x1] for b in known) if known else borders(x1)
+        few = total[np.clip(low - at2, 0, len(f2))]
+        many = 1.0 - total[np.clip(high - at2, 0, len(f2))]
+        best = max(best, float(f1 @ (few + many)))
     return min(best, 1.0)
 
 

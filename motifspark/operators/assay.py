@@ -167,13 +167,6 @@ def max_bait_signal(cells, baits, control, multiplier=1, subtract_control=False)
     return m.select("dataset", "peptide_id", top.alias("max_signal"))
 
 
-def percentiles(df, col, points=range(1, 100)):
-    """Exact linearly interpolated percentiles, one row each."""
-    shares = [p / 100 for p in points]
-    got = df.agg(F.percentile(col, F.array(*[F.lit(s) for s in shares])).alias("v"))
-    return got.select(F.posexplode("v").alias("i", "value")).select((F.col("i") + list(points)[0]).alias("percentile"), "value")
-
-
 def least_different(pairs, keys=("dataset", "peptide_id"), chosen=None, signed=False):
     """The pair whose log2 fold change is nearest zero (or lowest, with ``signed``); nulls never win."""
     rows = pairs.filter(F.col("pair").isin(*chosen)) if chosen else pairs

@@ -15,8 +15,8 @@ def without_version(accession):
 
 
 def attach_sequences(base, fasta, key):
-    """Sequence by id without its version, the highest version first; null where there is none."""
-    seqs = fasta.groupBy(without_version(F.col("id")).alias(key)).agg(F.max_by("sequence", "id").alias("sequence"))
+    """Sequence by id without its version, the last record of the file first; null where there is none."""
+    seqs = fasta.groupBy(without_version(F.col("id")).alias(key)).agg(F.max_by("sequence", "input_ord").alias("sequence"))
     return base.join(seqs, key, "left")
 
 
@@ -47,8 +47,11 @@ def number_homologs(proteins, groups, key="protein_id"):
     return ids.join(known, "query").withColumn("j", F.row_number().over(w) - 1).select(key, "taxid", "j", "homolog", "sequence")
 
 
-def widen_homologs(numbered, taxids, width, key="protein_id"):
-    """``{taxid}_homolog_{j}`` and its sequence as columns; blanks where there is none."""
+def widen_homologs(numbered, taxids, width=None, key="protein_id"):
+    """``{taxid}_homolog_{j}`` and its sequence as columns, by default as many as there are; blanks where there is none."""
+    if width is None:
+        width = (numbered.agg(F.max("j")).first()[0] or 0) + 1
+
     def pick(t, j, c):
         return F.coalesce(F.max(F.when((F.col("taxid") == t) & (F.col("j") == j), F.col(c))), F.lit(""))
 

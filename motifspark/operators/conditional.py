@@ -27,6 +27,7 @@ class ConditionalModel:
     coefficients: dict = field(default_factory=dict)
     suppressed: tuple = K.SUPPRESSED_FORBIDDEN
     disqualifying: str = "forbidden"
+    mode: str = "mean"  # of the two lookups of a residue; "sum" adds them
 
     @classmethod
     def from_pwm(cls, pwm, kinds=("positive", "suboptimal", "forbidden"), **params):
@@ -45,10 +46,11 @@ class ConditionalModel:
         return cls(out, **params)
 
     def sides(self, kind):
-        """Left and right tables [position, neighbour residue, residue], each worth half."""
+        """Left and right tables [position, neighbour residue, residue], each worth half of the mean."""
+        share = {"mean": 2, "sum": 1}[self.mode]
         m = self.matrices[kind]
-        left = np.stack([m[:, max(j - 1, 0), :, j][CLASS_NO] for j in range(N)]) / 2
-        right = np.stack([m[:, min(j + 1, N - 1), :, j][CLASS_NO] for j in range(N)]) / 2
+        left = np.stack([m[:, max(j - 1, 0), :, j][CLASS_NO] for j in range(N)]) / share
+        right = np.stack([m[:, min(j + 1, N - 1), :, j][CLASS_NO] for j in range(N)]) / share
         return left, right
 
     def position_scores(self, seq, kind):

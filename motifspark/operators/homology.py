@@ -27,14 +27,20 @@ def substitution_scores(text=K.BLOSUM62, normalize=True):
 
 
 def score_table(scores):
-    """Flat 26 x 26 list indexed by (motif letter, target letter); pairs without a score count 0."""
+    """Flat 26 x 26 list indexed by (motif letter, target letter); pairs without a score, and other characters, count 0."""
     return [scores.get((chr(65 + i), chr(65 + j)), 0.0) for i in range(26) for j in range(26)]
 
 
 def _align(table, weights, n):
     """Arrow-batched alignment of one motif with one target: windows are sums of shifted table rows."""
     w = np.asarray(weights, dtype=float)
-    rows = np.asarray(table, dtype=float).reshape(26, 26)
+    rows = np.zeros((27, 27))
+    rows[:26, :26] = np.asarray(table, dtype=float).reshape(26, 26)
+    code = np.full(256, 26)
+    code[65:91] = np.arange(26)
+
+    def letters(text):
+        return code[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
 
     @F.pandas_udf(MATCH)
     def align(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
@@ -44,8 +50,7 @@ def _align(table, weights, n):
                 starts.append(0)
                 best.append(0.0)
                 continue
-            ms = np.frombuffer(m.encode("ascii"), dtype=np.uint8) - 65
-            ts = np.frombuffer(t.encode("ascii"), dtype=np.uint8) - 65
+            ms, ts = letters(m), letters(t)
             size = len(ts) - n + 1
             total = np.zeros(size)
             for j in range(n):

@@ -69,3 +69,22 @@ def finite_descending(df, keys, value, tie):
     among = running_totals(finite, [*keys, value], tie, {"_one": F.lit(1)})
     first = above.select(*keys, value, (F.col("cum_here") - F.col("here")).alias("_above"))
     return among.join(first, [*keys, value]).select(*keys, value, tie, (F.col("_above") + F.col("cum__one")).alias("place"))
+
+
+def percentiles(df, col, points=range(1, 100)):
+    """Exact linearly interpolated percentiles (percentile, value), one row each; null where there are no values.
+
+    Each distinct value knows which ranks it takes, and the wanted ranks pick their values out; no task sees all values.
+    """
+    t = running_totals(df, [], col, {"_n": F.lit(1)})
+    last = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).agg(F.count("*") - 1).scalar()
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(int(p),) for p in points], "percentile int").withColumn("_at", F.col("percentile") / 100 * last)
+    ranks = wanted.select("percentile", F.col("_at") - F.floor("_at"), F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("rank"))
+    ranks = ranks.toDF("percentile", "_share", "rank").withColumn("_upper", F.row_number().over(Window.partitionBy("percentile").orderBy("rank")) == 2)
+    needed = ranks.agg(F.sort_array(F.collect_set("rank"))).scalar()  # two per point at most
+    first = F.col("cum__n") - F.col("_n")
+    mine = t.withColumn("_need", needed).select(F.col(col).cast("double").alias("_v"), F.explode(F.filter("_need", lambda r: (r >= first) & (r < F.col("cum__n")))).alias("rank"))
+    both = ranks.join(mine, "rank", "left").groupBy("percentile").agg(
+        F.max("_share").alias("_share"), F.max(F.when(~F.col("_upper"), F.col("_v"))).alias("low"), F.max(F.when(F.col("_upper"), F.col("_v"))).alias("high"))
+    return both.select("percentile", (F.col("low") + F.when(F.col("high").isNull(), 0.0).otherwise(F.col("_share") * (F.col("high") - F.col("low")))).alias("value"))

@@ -49,6 +49,7 @@ class Search:
 
     def __init__(self, rows, n, low=0.0, high=10.0, seed=1, forced=None, metric="accuracy"):
         self.rows = rows.select("points", "truth")
+        self.combined = self.rows.groupBy("points", "truth").agg(F.count("*").alias("times"))
         self.space = (n, low, high, seed, forced)
         self.n, self.metric = n, metric
         ends = self.rows.agg(
@@ -70,17 +71,17 @@ class Search:
             for b in batches:
                 if not len(b):
                     continue
-                points, truth = np.stack(b["points"].to_numpy()), b["truth"].to_numpy(dtype=bool)
+                points, truth, times = np.stack(b["points"].to_numpy()), b["truth"].to_numpy(dtype=bool), b["times"].to_numpy()
                 for at in range(0, len(points), 512):
                     s = _scores(points[at:at + 512], weights)
                     slot = np.clip(np.floor((s - lo) * step), 0, bins - 1).astype(np.int64) + base
-                    t = truth[at:at + 512]
-                    held[0] += np.bincount(slot[t].ravel(), minlength=held.shape[1])
-                    held[1] += np.bincount(slot[~t].ravel(), minlength=held.shape[1])
+                    t, n = truth[at:at + 512], np.repeat(times[at:at + 512], len(trials)).reshape(slot.shape)
+                    held[0] += np.bincount(slot[t].ravel(), n[t].ravel(), held.shape[1]).astype(np.int64)
+                    held[1] += np.bincount(slot[~t].ravel(), n[~t].ravel(), held.shape[1]).astype(np.int64)
             at = np.flatnonzero(held.any(axis=0))
             yield pd.DataFrame({"trial": np.asarray(trials)[at // bins], "bin": at % bins, "pos": held[0, at], "neg": held[1, at]})
 
-        counted = self.rows.mapInPandas(count, "trial long, bin long, pos long, neg long")
+        counted = self.combined.mapInPandas(count, "trial long, bin long, pos long, neg long")
         return counted.groupBy("trial", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
     def bounds(self, trials, bins):
@@ -135,8 +136,8 @@ class Search:
         w = trial_weights(left, *self.space)
         cv = w.std(axis=1) / np.where(w.mean(axis=1) == 0, np.nan, w.mean(axis=1))
         spark = self.rows.sparkSession
-        info = spark.createDataFrame(pd.DataFrame({"trial": left, "cv": cv, "weights": list(w)}), "trial long, cv double, weights array<double>")
-        found = self.exact(left).join(F.broadcast(info), "trial")
+        info = spark.createDataFrame(pd.DataFrame({"trial": left, "cv": cv, "weights": w.tolist()}), "trial long, cv double, weights array<double>")
+        found = self.exact(left).join(info, "trial")
         order = F.struct(F.round("value", 12), -F.round("cv", 12), -F.col("trial"))
         return found.agg(F.max_by(F.struct("trial", "value", "threshold", "cv", "weights"), order).alias("b")).select("b.*")
 
@@ -156,7 +157,7 @@ def best_for_r2(rows, count, n, low=0.0, high=4.0, seed=1, forced=None, value="v
             spread = np.einsum("ti,ij,tj->t", w, c, w)
             r2 = np.where(spread > 0, (w @ v) ** 2 / np.where(spread > 0, spread, 1) / y, 0.0)
             yield pd.DataFrame({"trial": b["id"], "value": r2, "cv": w.std(axis=1) / np.where(w.mean(axis=1) == 0, np.nan, w.mean(axis=1)),
-                                "weights": list(w)})
+                                "weights": w.tolist()})
 
     tried = rows.sparkSession.range(count).mapInPandas(fit, "trial long, value double, cv double, weights array<double>")
     order = F.struct(F.round("value", 12), -F.round("cv", 12), -F.col("trial"))

@@ -6,12 +6,15 @@ from motifspark import constants as K
 from motifspark.functions import sequence as S
 from motifspark.functions.pvalues import t_pvalue
 from motifspark.operators import thresholds as H
+from motifspark.operators.running import percentiles
 from motifspark.operators.training import _lookup, collapse_sum
 
 
 def training_rows(rows, control_id, share=0.3, key="peptide_id"):
-    """Passing rows whose signal reaches a share of the control peptide's."""
-    limit = rows.filter(F.col(key) == control_id).agg(F.first("max_signal")).scalar()
+    """Passing rows whose signal reaches a share of the control peptide's highest; an error if the control is missing."""
+    control = rows.filter(F.col(key) == control_id).agg(F.max("max_signal").alias("limit"))
+    missing = F.raise_error(F.lit(f"the control peptide {control_id} has no signal")).cast("double")
+    limit = control.select(F.coalesce("limit", missing)).scalar()
     return rows.filter((F.col("one_passes") == "Yes") & (F.col("max_signal") >= share * limit))
 
 
@@ -112,8 +115,9 @@ def standardize_columns(matrix):
 def scaling_values(rows, percentile=25, steepness=5):
     """Signals scaled to 0..1, passed through a sigmoid at a percentile, re-anchored to (0, 0) and (1, 1)."""
     x = rows.withColumn("_s", F.greatest("max_signal", F.lit(0.0)))
-    ends = x.agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"), F.percentile("_s", F.lit(percentile / 100)).alias("mid"))
-    e = x.withColumn("_e", ends.select(F.struct("lo", "hi", "mid")).scalar())
+    ends = x.agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))
+    middle = F.struct("lo", "hi", percentiles(x, "_s", [percentile]).select("value").scalar().alias("mid"))
+    e = x.withColumn("_e", ends.select(middle).scalar())
     span = F.col("_e.hi") - F.col("_e.lo")
     v, x0 = (F.col("_s") - F.col("_e.lo")) / span, (F.col("_e.mid") - F.col("_e.lo")) / span
     k = F.lit(float(steepness))

@@ -1,5 +1,9 @@
 """Threshold statistics: sweeps over every score, rates at fixed thresholds, confusion reports."""
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -151,6 +155,34 @@ def rate_pair(rate_rows, divergence=0.2, or_none=True):
     return best.select("b.*")
 
 
+def grid_hits(rows, choices, values, cut, truth="truth", times="n", block=4096):
+    """(w1, w2, ..., hits) of every weight combination: rows whose weighted sum of `values` reaches `cut` as their truth says.
+
+    Rows should be combined before, with their count in `times`. The grid is made in blocks within the tasks and only its
+    hits leave them, so neither the grid nor rows times grid are ever tables.
+    """
+    names = [f"w{i}" for i in range(1, len(choices) + 1)]
+
+    def sweep(batches):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        x = np.concatenate([b[list(values)].to_numpy(dtype=float) for b in parts])
+        good = np.concatenate([b[truth].to_numpy(dtype=bool) for b in parts])
+        n = np.concatenate([b[times].to_numpy(dtype=np.int64) for b in parts])
+        grid = itertools.product(*choices)
+        while some := list(itertools.islice(grid, block)):
+            w = np.array(some, dtype=float)
+            hits = np.zeros(len(w), np.int64)
+            for at in range(0, len(x), 512):
+                called = np.round(x[at:at + 512] @ w.T, 9) >= cut
+                hits += ((called == good[at:at + 512, None]) * n[at:at + 512, None]).sum(axis=0)
+            yield pd.DataFrame({**{name: w[:, i] for i, name in enumerate(names)}, "hits": hits})
+
+    found = rows.select(*values, truth, times).mapInPandas(sweep, ", ".join(f"{n} double" for n in names) + ", hits long")
+    return found.groupBy(*names).agg(F.sum("hits").alias("hits"))
+
+
 def weight_grid(spark, choices):
     """Every combination of one value per position; a lazily generated grid."""
     out = spark.range(1).drop("id")

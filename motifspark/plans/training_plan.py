@@ -64,7 +64,7 @@ def train_conditional(peptides: DataFrame, weights=None, trials=0, seed=1, metho
     matrices = materialize(T.Training(train, **params).pwm(), "matrices")
     weights = dict(weights or default_weights())
     if trials:
-        weights = search_weights(train, C.ConditionalModel.from_pwm(matrices), weights, trials, seed)
+        weights = search_weights(train, C.ConditionalModel.from_pwm(matrices), weights, trials, seed, method)
     if retrain and test_share:
         matrices = materialize(T.Training(p, **params).pwm(), "matrices")
     model = C.ConditionalModel.from_pwm(T.weight_matrices(matrices, weights), KINDS, method=method)
@@ -72,19 +72,24 @@ def train_conditional(peptides: DataFrame, weights=None, trials=0, seed=1, metho
     model.coefficients = {r["kind"]: (r["a"], r["b"]) for r in C.minmax_coefficients(raw).collect()}
     scored = materialize(model.score(p), "standardized-peptides")
     best = H.best_cut(scored, "total", "passes").first()
-    model.threshold = best["threshold"] if best else 0.0
+    if best is None:
+        raise ValueError("no threshold separates the training rows: there are none that can be scored")
+    model.threshold = best["threshold"]
     report = H.confusion(model.score(p), "call", "passes")
     return model, matrices, weights, report
 
 
-def search_weights(train, unweighted, weights, trials, seed):
-    """One weight per position for the positive and suboptimal points alike."""
+def search_weights(train, unweighted, weights, trials, seed, method="ps"):
+    """One weight per position for all points that the method's total is made of; disqualified peptides take no part."""
     m = F.col("motif")
-    points = F.array(*[a - b for a, b in zip(unweighted.position_scores(m, "positive"), unweighted.position_scores(m, "suboptimal"))])
-    rows = materialize(train.select(points.alias("points"), F.col("passes").alias("truth")), "search-points")
+    lack = unweighted.position_scores(m, "suboptimal")
+    gain = unweighted.position_scores(m, "positive") if method != "suboptimal" else [F.lit(0.0)] * len(lack)
+    points = F.array(*[a - b for a, b in zip(gain, lack)])
+    banned = F.coalesce(unweighted.total_score(m, unweighted.disqualifying, unweighted.suppressed) > 0, F.lit(False))
+    rows = materialize(train.filter(~banned).select(points.alias("points"), F.col("passes").alias("truth")), "search-points")
     best = Search(rows, K.MOTIF_LENGTH, 0.0, 10.0, seed).best(trials).first()
     w = list(best["weights"])
-    return {**weights, "binding": w, "positive": w, "suboptimal": w}
+    return {**weights, **({"suboptimal": w} if method == "suboptimal" else {"binding": w, "positive": w, "suboptimal": w})}
 
 
 def train_specificity(rows, control_id, share=0.3, alpha=0.2, standardize=True, weights=None):
@@ -96,13 +101,18 @@ def train_specificity(rows, control_id, share=0.3, alpha=0.2, standardize=True,
 
 
 def save(path, matrices, weights, model):
-    params = {"threshold": model.threshold}
+    params = {"threshold": model.threshold, "method": model.method, "disqualifying": model.disqualifying, "mode": model.mode,
+              "suppressed": ",".join(map(str, model.suppressed))}
     for kind, (a, b) in model.coefficients.items():
         params[f"{kind}_a"], params[f"{kind}_b"] = a, b
     return sinks.save_model(path, matrices, weights, params)
 
 
-def load(spark, path, method="ps"):
+def load(spark, path):
+    """The model as it was saved, with its method, suppressed positions and disqualifying matrix."""
     pwm, weights, params = sinks.load_model(spark, path)
     coef = {k: (params[f"{k}_a"], params[f"{k}_b"]) for k in ("total", "positive", "suboptimal", "binding") if f"{k}_a" in params}
-    return C.ConditionalModel.from_pwm(T.weight_matrices(pwm, weights), KINDS, method=method, threshold=params["threshold"], coefficients=coef)
+    return C.ConditionalModel.from_pwm(
+        T.weight_matrices(pwm, weights), KINDS, method=params["method"], threshold=params["threshold"], coefficients=coef,
+        disqualifying=params["disqualifying"], mode=params["mode"],
+        suppressed=tuple(int(x) for x in params["suppressed"].split(",") if x))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from motifspark import fixtures as fx
 from motifspark.operators import assay as A
+from motifspark.operators.running import percentiles
 from motifspark.registry import q6, r6, register
 
 B, N, CTRL = list(fx.BAITS), fx.CONTROL_BAIT, fx.CONTROL_PEPTIDES
@@ -180,7 +181,7 @@ def a15(spark, sf):
 WITH {MAXSIG}, q AS (SELECT quantile_cont(max_signal, [{", ".join(str(p / 100) for p in range(1, 100))}]) AS v FROM mx)
 SELECT unnest(range(1, 100)) AS percentile, {q6("unnest(v)")} AS value FROM q""")
 def a16(spark, sf):
-    out = A.percentiles(A.max_bait_signal(fx.assay(spark, sf), B, N, 0.5, True), "max_signal")
+    out = percentiles(A.max_bait_signal(fx.assay(spark, sf), B, N, 0.5, True), "max_signal")
     return out.select("percentile", r6(F.col("value")).alias("value"))
 
 

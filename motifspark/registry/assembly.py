@@ -16,10 +16,19 @@ def accessions(spark, sf):
 
 def fasta(spark, sf):
     return fx.proteins(spark, sf).select(
-        F.concat(F.lit("ENSP"), F.col("protein_id"), F.lit("."), F.col("protein_id") % 3 + 1).alias("id"), F.col("seq").alias("sequence")
+        F.concat(F.lit("ENSP"), F.col("protein_id"), F.lit("."), F.col("protein_id") % 3 + 1).alias("id"), F.col("seq").alias("sequence"),
+        F.col("protein_id").alias("input_ord"),
     )
 
 
+def fasta_with_versions(spark, sf):
+    """Every fourth record comes a second time, later, under version 10 and with its sequence reversed."""
+    once = fasta(spark, sf)
+    again = once.filter("input_ord % 4 = 0").select(
+        F.concat(F.substring_index("id", ".", 1), F.lit(".10")).alias("id"), F.reverse("sequence").alias("sequence"), (F.col("input_ord") + 10**9).alias("input_ord"))
+    return once.unionByName(again)
+
+
 def homologene(spark, sf):
     kind = F.when(F.col("protein_id") % 3 == 0, "XP_").otherwise("NP_")
     return fx.proteins(spark, sf).select(
@@ -55,10 +64,10 @@ def d01(spark, sf):
 
 
 @register("d02_sequence_attach", f"""
-WITH {fx.PROTEIN_SQL} SELECT 'ENSP' || l.doc_id AS peptide, p.seq AS sequence FROM labels l LEFT JOIN protein p ON p.protein_id = l.doc_id""")
+WITH {fx.PROTEIN_SQL} SELECT 'ENSP' || l.doc_id AS peptide, CASE WHEN p.protein_id % 4 = 0 THEN reverse(p.seq) ELSE p.seq END AS sequence FROM labels l LEFT JOIN protein p ON p.protein_id = l.doc_id""")
 def d02(spark, sf):
     base = fx.table(spark, sf, "labels").select(F.concat(F.lit("ENSP"), F.col("doc_id")).alias("peptide"))
-    return D.attach_sequences(base, fasta(spark, sf), "peptide")
+    return D.attach_sequences(base, fasta_with_versions(spark, sf), "peptide")
 
 
 @register("d03_accession_sequences", f"""
@@ -80,17 +89,22 @@ def numbered(spark, sf):
     return D.number_homologs(refseq_proteins(spark, sf), D.homolog_groups(homologene(spark, sf), "en", TARGETS))
 
 
-WIDTH = 3
+@register("d05_homolog_numbering", f"WITH {GENE} SELECT protein_id, taxid, CAST(j AS INT) AS j, homolog, sequence FROM num")
+def d05(spark, sf):
+    return numbered(spark, sf)
 
 
-@register("d05_homolog_numbering", f"""WITH {GENE} SELECT protein_id, {", ".join(
-    f"coalesce(max({c}) FILTER (WHERE taxid = '{t}' AND j = {j}), '') AS {t}_homolog_{j}{s}"
-    for t in TARGETS for j in range(WIDTH) for c, s in (("homolog", ""), ("sequence", "_sequence")))} FROM num GROUP BY 1""")
-def d05(spark, sf):
-    return D.widen_homologs(numbered(spark, sf), TARGETS, WIDTH)
+@register("d05_homolog_columns", f"""WITH {GENE}, wide AS (SELECT protein_id, taxid, 'homolog_' || j AS name, homolog AS value FROM num
+  UNION ALL SELECT protein_id, taxid, 'homolog_' || j || '_sequence', coalesce(sequence, '') FROM num)
+SELECT protein_id, taxid || '_' || name AS name, value FROM wide WHERE value <> ''""")
+def d05_columns(spark, sf):
+    wide = D.widen_homologs(numbered(spark, sf), TARGETS)
+    names = [c for c in wide.columns if c != "protein_id"]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names]))
+    return wide.select("protein_id", cells.alias("c")).select("protein_id", "c.*").filter("value <> ''")
 
 
-@register("d06_split_by_taxid", f"WITH {GENE} SELECT taxid, protein_id, CAST(j AS INT) AS j, homolog FROM num WHERE taxid = 'fr'")
+@register("d06_split_by_taxid", f"WITH {GENE} SELECT taxid, protein_id, CAST(j AS INT) AS j, homolog FROM num")
 def d06(spark, sf):
     parts = D.split_by_taxid(numbered(spark, sf), scratch_path(spark, "homologs"))
-    return parts.filter("taxid = 'fr'").select("taxid", "protein_id", "j", "homolog")
+    return parts.select("taxid", "protein_id", "j", "homolog")

@@ -74,10 +74,7 @@ def t06(spark, sf):
     m = S.plain(F.col("seq"))
     lengths = [F.length(F.replace(m, F.lit(a), F.lit(""))).alias(n) for n, a in (("s", "S"), ("l", "L"), ("k", "K"))]
     x = fx.peptides(spark, sf).select("passes", *lengths).groupBy("passes", "s", "l", "k").agg(F.count("*").alias("n"))
-    grid = H.weight_grid(spark, CHOICES).agg(F.collect_list(F.struct("w1", "w2", "w3"))).scalar()
-    tried = x.select("*", F.explode(grid).alias("w")).select("passes", "s", "l", "k", "n", "w.*")
-    right = (F.col("w1") * F.col("s") + F.col("w2") * F.col("l") + F.col("w3") * F.col("k") >= 50) == F.col("passes")
-    return tried.groupBy("w1", "w2", "w3").agg(F.sum(F.when(right, F.col("n")).otherwise(0)).alias("hits"))
+    return H.grid_hits(x, CHOICES, ("s", "l", "k"), 50, "passes")
 
 
 @register("r01_class_signals", f"""WITH {CALLS} SELECT call_type, count(signal) AS n, {q6("avg(signal)")} AS mean, {q6("stddev_samp(signal)")} AS std

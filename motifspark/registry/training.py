@@ -86,16 +86,16 @@ def m10(spark, sf):
     return rounded(t.cells(t.baseline).filter("n_pass + n_fail = 0"), (*RULE, "pos", "aa"), ("suboptimal",))
 
 
-@register("m11_forced_required", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(['forbidden'])} FROM rulem_cell WHERE pos IN (8, 10)")
+@register("m11_forced_required", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(['forbidden'])} FROM rulem_cell")
 def m11(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
-    return rounded(t.cells(t.baseline).filter("pos in (8, 10)"), (*RULE, "pos", "aa"), ("forbidden",))
+    return rounded(t.cells(t.baseline), (*RULE, "pos", "aa"), ("forbidden",))
 
 
-@register("m12_phospho_collapse", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(KINDS)} FROM rulem WHERE aa IN ('S', 'T', 'Y')")
+@register("m12_phospho_collapse", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(KINDS)} FROM rulem")
 def m12(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
-    return rounded(T.collapse_phospho(t.cells(t.baseline)).filter("aa in ('S', 'T', 'Y')"), (*RULE, "pos", "aa"), KINDS)
+    return rounded(T.collapse_phospho(t.cells(t.baseline)), (*RULE, "pos", "aa"), KINDS)
 
 
 @register("m13_baseline", f"WITH {BASE} SELECT pos, aa, {sql6(KINDS)} FROM base")

@@ -14,7 +14,7 @@ def _strings(*names):
 
 
 def fasta(spark, path):
-    """One row per record: id, transcript, gene, gene symbol, sequence."""
+    """One row per record: id, transcript, gene, gene symbol, sequence, and its place in the file."""
     records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
     head = F.regexp_replace(F.substring_index("value", "\n", 1), r"\s+$", "")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
@@ -26,7 +26,7 @@ def fasta(spark, path):
     transcript = F.regexp_extract(head, r"(?:^|\s)(?!\S*gene)\S*transcript:(\S*)", 1)
     return records.select(
         F.substring_index(head, " ", 1).alias("id"), transcript.alias("transcript"), gene.alias("gene"),
-        tagged("gene_symbol").alias("gene_symbol"), body.alias("sequence"),
+        tagged("gene_symbol").alias("gene_symbol"), body.alias("sequence"), _file_order().alias("input_ord"),
     )
 
 

@@ -40,12 +40,13 @@ def save_matrices(pwm, path, kinds=("positive", "suboptimal", "forbidden"), mode
 
 
 def save_model(path, pwm, weights, params, mode="error"):
-    """Matrices, position weights and scalar parameters as three tables."""
+    """Matrices, position weights and parameters, numbers or texts, as three tables."""
     spark = pwm.sparkSession
     pwm.write.mode(mode).parquet(f"{path}/pwm")
     rows = [(kind, i, float(w)) for kind, ws in weights.items() for i, w in enumerate(ws, start=1)]
     spark.createDataFrame(rows, "kind string, pos int, w double").write.mode(mode).parquet(f"{path}/position_weight")
-    spark.createDataFrame([(k, float(v)) for k, v in params.items()], "name string, value double").write.mode(mode).parquet(f"{path}/model_param")
+    rows = [(k, None, v) if isinstance(v, str) else (k, float(v), None) for k, v in params.items()]
+    spark.createDataFrame(rows, "name string, value double, text string").write.mode(mode).parquet(f"{path}/model_param")
     return path
 
 
@@ -54,5 +55,5 @@ def load_model(spark, path):
     weights = {}
     for r in spark.read.parquet(f"{path}/position_weight").orderBy("kind", "pos").collect():
         weights.setdefault(r["kind"], []).append(r["w"])
-    params = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/model_param").collect()}
+    params = {r["name"]: r["value"] if r["text"] is None else r["text"] for r in spark.read.parquet(f"{path}/model_param").collect()}
     return spark.read.parquet(f"{path}/pwm"), weights, params
