@@ -13,7 +13,7 @@ from motifspark.session import materialize
 BITS = 4
 SHARDS = 24
 #: Rows of a cell that are numbered by one task; larger cells are cut by a hash of their rows.
-PART = 50_000
+PART = 2_000
 
 
 def then(state, body):
@@ -71,18 +71,18 @@ def shard(docs, shards=SHARDS):
     rows = materialize(rows.withColumn("cell", cell.cast("int")), "rows")
 
     total = rows.count()
-    fine = max(1, -(-total // PART))  # parts of a cell; grows with the table, so that a part does not
-    part = F.pmod("tie", F.lit(fine)).cast("int")
     counts = rows.groupBy("cell", "x", "y", "z").agg(F.count("*").alias("n"))
     counts = counts.withColumn("curve", hilbert("x", "y", "z")).select("cell", "curve", "n")
     cells = counts.withColumn("before", F.sum("n").over(Window.orderBy("curve", "cell")) - F.col("n"))  # at most 2 ** 12 rows
-    parts = rows.groupBy("cell", part.alias("part")).agg(F.count("*").alias("m"))
+    part = F.pmod("tie", F.ceil(F.col("n") / PART)).cast("int")  # a cell has as many parts as its rows ask for
+    rows = rows.join(F.broadcast(cells), "cell").withColumn("part", part).drop("n")
+    parts = rows.groupBy("cell", "part").agg(F.count("*").alias("m"))
     ahead = F.sum("m").over(Window.partitionBy("cell").orderBy("part")) - F.col("m")
-    parts = parts.withColumn("ahead", ahead).join(F.broadcast(cells), "cell").select("cell", "part", "curve", (F.col("before") + F.col("ahead")).alias("before"))
+    parts = parts.select("cell", "part", ahead.alias("ahead"))
 
     within = F.row_number().over(Window.partitionBy("cell", "part").orderBy("tie", "doc_id")) - 1
-    placed = rows.withColumn("part", part).withColumn("within", within).join(parts, ["cell", "part"])
-    place = F.col("before") + F.col("within")
+    placed = rows.withColumn("within", within).join(parts, ["cell", "part"])
+    place = F.col("before") + F.col("ahead") + F.col("within")
     low, more = total // shards, total % shards
     edge = more * (low + 1)  # the first `more` shards hold one row more
     number = F.when(place < edge, F.floor(place / F.lit(low + 1))).otherwise(more + F.floor((place - edge) / F.lit(max(low, 1)))).cast("int")

@@ -118,7 +118,7 @@ def signature(shingles, common, doubled):
 
 def sketch(shingles, band):
     """Parity of the shingles in each of the band's bins, 64 bins in a long. XOR of its parts is the sketch of a smaller band."""
-    bins = int(np.clip(2 * 4 ** (band + 1), 512, SKETCH))
+    bins = int(np.clip(4 ** (band + 2), 1024, SKETCH))
     odd = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -268,34 +268,89 @@ def near(pairs, sketches):
     return pairs.join(x, "a").join(y, "p").where(F.expr("na + np") >= 7 * bits).select("a", "p")
 
 
-def folded(sketches, words):
-    """Sketches, as rows, folded to so many words each; unsigned, since NumPy counts the bits of absolute values."""
-    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches]).view(np.uint64)
-
-
-def compare_block(table):
+def groups(batches, names):
+    """Runs of rows that are equal in `names` from a stream that is sorted by them; only the last run of a batch is held."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for name in names:
+            values = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            change |= values[1:] != values[:-1]
+        start = np.concatenate([[0], np.flatnonzero(change) + 1])
+        for a, b in zip(start, start[1:]):
+            yield batch.slice(a, b - a)
+        rest = batch.slice(start[-1])
+    if rest is not None:
+        yield rest
+
+
+def sketches_of(column):
+    """{words: (rows, sketches of these rows as unsigned words)}, and all sketches folded to the shortest."""
+    words = column.value_lengths().to_numpy()
+    flat = column.flatten().to_numpy().view(np.uint64)  # unsigned, since NumPy counts the bits of absolute values
+    ends = np.cumsum(words)
+    full = {}
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero(words == w)
+        full[w] = rows, flat[(ends[rows] - w)[:, None] + np.arange(w)]
+    w = min(full)
+    least = np.empty((len(words), w), np.uint64)
+    for rows, own in full.values():
+        least[rows] = folded(own, w)
+    return full, least
+
+
+def folded(own, words):
+    """Sketches, one in each row, folded to so many words."""
+    return np.bitwise_xor.reduce(own.reshape(len(own), -1, words), axis=1)
+
+
+def compare_block(rows):
     """Pairs of one block pair of a bucket, in different components, whose sizes and sketches allow a link."""
-    kind, n, root, side, minor = (table.column(c).to_numpy() for c in ("class", "n", "root", "side", "minor"))
-    own = [np.array(x, np.int64) for x in table.column("own").to_pylist()]
-    words = np.array([len(x) for x in own])
-    full = {w: (np.flatnonzero(words == w), folded([x for x in own if len(x) == w], w)) for w in set(words.tolist())}
-    least = folded(own, int(words.min()))
-    alone = len(set(side.tolist())) == 1
-    out = []
-    for i in range(len(kind)):
-        j = np.flatnonzero((root != root[i]) & (kind > kind[i]) & (minor | minor[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+    kind, n, root, side, minor = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("class", "n", "root", "side", "minor"))
+    if len(kind) < 2:
+        return []
+    full, least = sketches_of(rows.column(rows.schema.get_field_index("own")))
+    alone = (side == side[0]).all()
+    count, out = len(kind), []
+    step = max(1, 100_000 // count)
+    for at in range(0, count, step):
+        i = np.repeat(np.arange(at, min(at + step, count)), count)
+        j = np.tile(np.arange(count), min(at + step, count) - at)
+        fits = (j > i) & (root[i] != root[j]) & (minor[i] | minor[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
         if not alone:
-            j = j[side[j] != side[i]]
-        j = j[n[j] + n[i] >= 7 * np.bitwise_count(least[j] ^ least[i]).sum(1, dtype=np.int64)]
-        rows, same = full[words[i]]
-        here = words[j] == words[i]
-        close = np.ones(len(j), bool)
-        if here.any() and words[i] > least.shape[1]:
-            at, mine = np.searchsorted(rows, j[here]), np.searchsorted(rows, i)
-            close[here] = n[j[here]] + n[i] >= 7 * np.bitwise_count(same[at] ^ same[mine]).sum(1, dtype=np.int64)
-        out += [(kind[k], kind[i]) for k in j[close]]
-    a, p = zip(*out) if out else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "p": pa.array(p, pa.int64())})
+            fits &= side[i] != side[j]
+        i, j = i[fits], j[fits]
+        near = n[i] + n[j] >= 7 * np.bitwise_count(least[i] ^ least[j]).sum(1, dtype=np.int64)
+        i, j = i[near], j[near]
+        for w, (mine, own) in full.items():
+            if w > least.shape[1]:  # both are of a longer sketch, which tells them apart better
+                both = np.isin(i, mine) & np.isin(j, mine)
+                a, b = np.searchsorted(mine, i[both]), np.searchsorted(mine, j[both])
+                far = n[i[both]] + n[j[both]] < 7 * np.bitwise_count(own[a] ^ own[b]).sum(1, dtype=np.int64)
+                keep = np.ones(len(i), bool)
+                keep[np.flatnonzero(both)[far]] = False
+                i, j = i[keep], j[keep]
+        out.append((np.maximum(kind[i], kind[j]), np.minimum(kind[i], kind[j])))
+    return out
+
+
+def compare_blocks(batches):
+    """`compare_block` of every bucket of a task."""
+    out, size = [], 0
+    for rows in groups(batches, ("key", "i", "j")):
+        for pair in compare_block(rows):
+            out.append(pair)
+            size += len(pair[0])
+        if size > 10_000:
+            yield as_batch(a=np.concatenate([a for a, _ in out]), p=np.concatenate([p for _, p in out]))
+            out, size = [], 0
+    if size:
+        yield as_batch(a=np.concatenate([a for a, _ in out]), p=np.concatenate([p for _, p in out]))
 
 
 def across(rows, sketches):
@@ -309,7 +364,8 @@ def across(rows, sketches):
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "own_block").alias("i"), F.greatest(b, "own_block").alias("j")))
     rows = rows.select("key", "class", "n", "root", "minor", F.col("own_block").alias("side"), F.explode(meets).alias("m")).select("*", "m.i", "m.j").drop("m")
     rows = rows.join(sketches.select("class", "own"), "class")
-    return rows.groupBy("key", "i", "j").applyInArrow(compare_block, "a long, p long")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(compare_blocks, "a long, p long")
 
 
 def linked(docs, all_links=False):

@@ -12,7 +12,7 @@ trained here.
 """
 
 import re
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from motifspark.llm.text import as_batch, raw_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches a worker remembers before it starts anew, and pairs of neighbours.
-CACHE, PAIRS = 300_000, 1 << 20
+#: Stretches a worker remembers in each of two generations, pairs of neighbours it remembers, and characters indexed together.
+CACHE, PAIRS, INDEXED = 150_000, 600_000, 1 << 21
 #: Stretches are found by their first bytes; longer pieces are compared in full.
 HEAD = 16
 
@@ -67,6 +67,15 @@ class Vocabulary:
                 return [self.pieces.get(s) for s in symbols]
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
+    def encoder(self):
+        """The worker's encoder; a broadcast vocabulary keeps it, with what it has learned, from task to task."""
+        if not hasattr(self, "kept"):
+            self.kept = Encoder(self)
+        return self.kept
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
     def fallback(self, character):
         """Byte pieces of a character without a piece of its own."""
         return [self.byte.get(b, self.unknown) for b in character.encode()]
@@ -113,14 +122,15 @@ class Encoder:
             return full[:, 0], full[:, 1]
 
         self.low, self.high = bound(b"\0"), bound(b"\xff")
-        self.known = {}
-        characters = {i: p for p, i in v.pieces.items()}
+        self.known, self.older, self.pairs = {}, {}, {}
+        self.characters = {i: p for p, i in v.pieces.items()}
 
-        @lru_cache(PAIRS)
-        def neighbours(one, other):
-            return v.merge(characters[one] + characters[other]) == [one, other]
-
-        self.neighbours = neighbours
+    def neighbours(self, one, other):
+        """Whether two pieces stand next to each other in an encoding."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        good = self.pairs[one << 32 | other] = self.vocabulary.merge(self.characters[one] + self.characters[other]) == [one, other]
+        return good
 
     def edges(self, text):
         """(start, length, id) of every occurrence of every piece in a byte array, sorted by start, longest first."""
@@ -137,40 +147,38 @@ class Encoder:
         by = np.lexsort((-length, start))
         return start[by], length[by], ids[by]
 
-    def relax(self, stretch, starts, lengths, ids, base):
-        """Pieces of one stretch of bytes from its edges, in order of their start."""
-        n = len(stretch)
-        last, before = [0] * (n + 1), [-1] * (n + 1)
+    def relax(self, n, starts, lengths, ids, gaps):
+        """(start, piece) of the pieces of one stretch of `n` bytes, from its edges in order of their start.
+
+        `gaps` are the characters without a piece, (start, bytes) in order; they are passed with the piece -1.
+        """
+        last, before = [-1] * (n + 1), [-1] * (n + 1)
         before[0] = 0
-        neighbours, edge, many = self.neighbours, 0, len(starts)
-        at = 0
+        known = self.pairs.get
+        gap = iter(gaps)
+        at, width = next(gap, (n, 0))
+        for start, length, piece in zip(starts, lengths, ids):
+            while start > at:
+                if before[at] >= 0 > before[at + width]:
+                    before[at + width] = at
+                at, width = next(gap, (n, 0))
+            if before[start] < 0 or before[start + length] >= 0:
+                continue
+            previous = last[start]
+            if previous >= 0:
+                good = known(previous << 32 | piece)
+                if not (self.neighbours(previous, piece) if good is None else good):
+                    continue
+            last[start + length], before[start + length] = piece, start
         while at < n:
-            width = 1
-            lead = stretch[at]
-            if lead >= 0xC0:
-                width = 2 + (lead >= 0xE0) + (lead >= 0xF0)
-            mine = []
-            while edge < many and starts[edge] - base == at:
-                mine.append(edge)
-                edge += 1
-            if before[at] >= 0:
-                previous = last[at] if at else None
-                single = False
-                for e in mine:
-                    single |= lengths[e] == width
-                    end = at + lengths[e]
-                    if before[end] < 0 and (previous is None or previous < 0 or neighbours(previous, ids[e])):
-                        last[end], before[end] = ids[e], at
-                if not single and before[at + width] < 0:  # no piece for this character
-                    last[at + width], before[at + width] = -1, at
-            at += width
-        out = []
-        at = n
+            if before[at] >= 0 > before[at + width]:
+                before[at + width] = at
+            at, width = next(gap, (n, 0))
+        out, at = [], n
         while at:
-            start = before[at]
-            out.append([last[at]] if last[at] >= 0 else self.vocabulary.fallback(stretch[start:at].decode()))
-            at = start
-        return [i for part in reversed(out) for i in part]
+            out.append((before[at], last[at]))
+            at = before[at]
+        return out[::-1]
 
     def learn(self, stretches):
         """Encodes new stretches together."""
@@ -178,34 +186,49 @@ class Encoder:
         base = np.cumsum([0] + [len(r) + 1 for r in raws])  # a zero byte behind each keeps pieces within
         text = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
         starts, lengths, ids = self.edges(text)
-        cut = np.searchsorted(starts, base)
-        starts, lengths, ids = starts.tolist(), lengths.tolist(), ids.tolist()
+        inside = np.ones(len(text), bool)
+        inside[base[1:] - 1] = False
+        character = np.flatnonzero(((text & 0xC0) != 0x80) & inside)
+        width = 1 + (text[character] >= 0xC0) + (text[character] >= 0xE0) + (text[character] >= 0xF0).astype(np.int64)
+        size = np.zeros(len(text), np.int64)
+        size[character] = width
+        single = np.zeros(len(text), bool)
+        single[starts[lengths == size[starts]]] = True
+        missing = character[~single[character]]
+        cut, hole = np.searchsorted(starts, base), np.searchsorted(missing, base)
+        of = np.searchsorted(base, starts, "right") - 1
+        starts, lengths, ids = (starts - base[of]).tolist(), lengths.tolist(), ids.tolist()
         for k, (stretch, raw) in enumerate(zip(stretches, raws)):
             a, b = cut[k], cut[k + 1]
-            self.known[stretch] = np.array(self.relax(raw, starts[a:b], lengths[a:b], ids[a:b], int(base[k])), np.int32)
+            gaps = [(int(g - base[k]), int(size[g])) for g in missing[hole[k] : hole[k + 1]]] if hole[k] < hole[k + 1] else ()
+            found = self.relax(len(raw), starts[a:b], lengths[a:b], ids[a:b], gaps)
+            if gaps:
+                ends = [s for s, _ in found[1:]] + [len(raw)]
+                pieces = [i for (s, p), e in zip(found, ends) for i in ([p] if p >= 0 else self.vocabulary.fallback(raw[s:e].decode()))]
+            else:
+                pieces = [p for _, p in found]
+            self.known[stretch] = array("i", pieces).tobytes()
 
     def encode(self, texts):
-        """Ids of each text as one array and the bounds of the texts in it."""
+        """Ids of all texts as one array, and the bounds of each text in it."""
         parts = [STRETCH.findall(" " + t) if t else [] for t in texts]
-        new = set().union(*map(set, parts)) - self.known.keys() if parts else set()
+        if len(self.known) > CACHE:  # what is still used comes back from the older generation
+            self.known, self.older = {}, self.known
         fresh, size = [], 0
-        for s in sorted(new):
+        for s in set().union(*parts) - self.known.keys():
+            if s in self.older:
+                self.known[s] = self.older[s]
+                continue
             fresh.append(s)
             size += len(s)
-            if size > 1 << 21:
+            if size > INDEXED:
                 self.learn(fresh)
                 fresh, size = [], 0
         if fresh:
             self.learn(fresh)
-        known = self.known
-        found = [known[s] for p in parts for s in p]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = total[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
-        ids = np.concatenate(found) if found else np.empty(0, np.int32)
-        if len(known) > CACHE:
-            known.clear()
-        return ids, bounds
+        found = [self.known[s] for p in parts for s in p]
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        return np.frombuffer(b"".join(found), np.int32), total[np.cumsum([0] + [len(p) for p in parts])]
 
 
 def decode_ids(ids, texts, byte, special):
@@ -224,14 +247,14 @@ def encode(docs, model=MODEL, keep=("doc_id",)):
     keep = list(keep)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder()
         for batch in batches:
             texts = raw_column(batch, "text")
             for at in range(0, len(texts), 1000):
                 some = texts[at : at + 1000]
                 ids, bounds = encoder.encode(some)
                 yield as_batch(**{c: batch.column(i).slice(at, len(some)) for i, c in enumerate(keep)}, n_tokens=np.diff(bounds),
-                               ids=pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids, pa.int32())))
+                               ids=pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)))
 
     text = [F.col("text").cast("string").alias("text")] * ("text" not in keep)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]

@@ -25,6 +25,8 @@ REVISIT = 100
 #: Bytes of records after which a task begins another package, and of one range-reading task.
 PACKAGE = 256 << 20
 SLICE = 8 << 20
+#: Bytes of records that one task reads.
+TASK = 64 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -89,11 +91,11 @@ class Package:
         self.zip.close()
         self.stream.close()
         self.files.move(self.draft, self.path)
-        return self.uri, len(self.lines)
+        return self.uri, len(self.lines), self.at
 
 
 def write(pages, folder):
-    """(package, records) of the packages written below `folder`, a folder that all executors share.
+    """(package, records, bytes) of the packages written below `folder`, a folder that all executors share.
 
     A task writes its rows to packages of its own, named by its partition, under a draft name until they are complete. A
     repeated task replaces them by packages of the same name.
@@ -107,16 +109,18 @@ def write(pages, folder):
                     package = Package(folder, f"part-{TaskContext.get().partitionId():06d}-{number:04d}.wacz")
                 package.add(*row)
                 if package.at >= PACKAGE:
-                    uri, n = package.close()
+                    done = package.close()
                     package, number = None, number + 1
-                    yield as_batch(package=[uri], records=pa.array([n], pa.int64()))
+                    yield closed(done)
         if package is not None:
-            uri, n = package.close()
-            yield as_batch(package=[uri], records=pa.array([n], pa.int64()))
+            yield closed(package.close())
+
+    def closed(done):
+        return as_batch(**{k: pa.array([v]) for k, v in zip(("package", "records", "bytes"), done)})
 
     rows = roles(pages)
     refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    return rows.select("page_id", F.col("url").cast("string").alias("url"), "payload", "payload_digest", refers.alias("refers")).mapInArrow(run, "package string, records long")
+    return rows.select("page_id", F.col("url").cast("string").alias("url"), "payload", "payload_digest", refers.alias("refers")).mapInArrow(run, "package string, records long, bytes long")
 
 
 def members(file):
@@ -228,8 +232,10 @@ RECORDS = ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if n in ('offs
 
 def read(packages):
     """Every record of the packages, read by range: place, type, ids, digest, length of the full payload, payload of responses."""
+    n = max(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // TASK))
     parts = packages.select("package").repartition("package").mapInArrow(slices, "package string, offsets array<long>, lengths array<long>")
-    return parts.repartition(F.col("package"), F.col("offsets")[0]).mapInArrow(fetch, RECORDS)
+    # a number of tasks by what is read: the ranges themselves are small, and would be put together in one
+    return parts.repartition(n, F.col("package"), F.col("offsets")[0]).mapInArrow(fetch, RECORDS)
 
 
 def round_trip(pages):

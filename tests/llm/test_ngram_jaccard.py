@@ -71,7 +71,7 @@ def test_keys_of_linked_sets_meet():
         assert len(np.intersect1d(J.signature(one, common, doubled), J.signature(other, common, doubled))), (n, trial)
         a, b = sorted((one, other), key=len)
         words = len(J.sketch(a, J.band_of(len(a))))
-        x, y = J.folded([J.sketch(a, J.band_of(len(a)))], words)[0], J.folded([J.sketch(b, J.band_of(len(b)))], words)[0]
+        x, y = (J.folded(J.sketch(z, J.band_of(len(z))).view(np.uint64)[None], words)[0] for z in (a, b))
         assert 7 * int(np.bitwise_count(x ^ y).sum()) <= len(a) + len(b)
 
 

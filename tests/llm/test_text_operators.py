@@ -215,7 +215,7 @@ def test_index_finds_all_places():
         assert sorted(order) == list(range(len(text))) and all(text[a:].tolist() < text[b:].tolist() for a, b in zip(order, order[1:]))
         assert (index.locate(np.arange(len(text))) == order).all()
         rows = rng.integers(0, len(text) + 1, 50)
-        symbols = rng.integers(0, 6, 50)
+        symbols = rng.integers(0, int(text.max()) + 1, 50)
         last = text[order - 1]
         assert index.rank(symbols, rows).tolist() == [int((last[:r] == s).sum()) for s, r in zip(symbols, rows)]
 
