@@ -25,11 +25,19 @@ def host_rows(df, columns, key="protein_id", order="input_ord"):
     return first_by(df, [key], [F.col(order)], columns)
 
 
-def homolog_rows(df, key="protein_id", classical=False):
-    """Best homolog row per protein and species; it carries the RefSeq id it came from."""
+REFSEQ = ("refseq_peptide", "refseq_peptide_predicted")
+
+
+def homolog_rows(df, key=("protein_id",), classical=False):
+    """Best homolog row per key (a protein, or a motif of one) and species, with both RefSeq ids it came from.
+
+    Called motifs come first, except for classical motifs, which have no call; then the most similar, then input order.
+    """
+    key = [key] if isinstance(key, str) else list(key)
     order = ([] if classical else [down("model_call")]) + [down(F.round("similarity", 9)), F.col("input_ord")]
-    kept = ["homolog_id", "similarity", "model_call", F.col("refseq").alias("match_refseq")]
-    return first_by(df, [key, "taxid"], order, kept)
+    kept = [c for c in ("homolog_id", "homolog_motif", "similarity", "identity", "model_call", "homolog_total") if c in df.columns]
+    kept += [F.col(c).alias(f"match_{c}") for c in ("refseq", *REFSEQ) if c in df.columns]
+    return first_by(df, [*key, "taxid"], order, kept)
 
 
 def check_unique(df, keys, name):
@@ -46,6 +54,7 @@ def merge_species(frames, key="protein_id"):
 
 
 GENE_ORDER = ("accessible", "host_call", "binding")
+CLASSICAL_ORDER = ((down, "accessible"), (up, "classical"))
 
 
 def gene_rows(df, columns, gene="gene_id"):
@@ -53,10 +62,11 @@ def gene_rows(df, columns, gene="gene_id"):
     return first_by(df, [gene], [*[down(c) for c in GENE_ORDER], F.col("input_ord")], columns)
 
 
-def gene_species_rows(df, columns, gene="gene_id"):
-    """Best row per gene and species; rows with a homolog first."""
+def gene_species_rows(df, columns, gene="gene_id", order=None):
+    """Best row per gene and species; rows with a homolog first, then as `gene_rows`, or in another order of sort keys."""
     has = (F.col("homolog_id").isNotNull() & (F.col("homolog_id") != "")).cast("int")
-    return first_by(df, [gene, "taxid"], [down(has), *[down(c) for c in GENE_ORDER], F.col("input_ord")], columns)
+    order = [down(c) for c in GENE_ORDER] if order is None else [way(c) for way, c in order]
+    return first_by(df, [gene, "taxid"], [down(has), *order, F.col("input_ord")], columns)
 
 
 def widen_species(rows, taxids, columns, gene="gene_id"):

@@ -15,9 +15,10 @@ def motif_position(motif, sequence, trim_begin=K.TRIM_BEGIN, trim_end=K.TRIM_END
 def classify(motifs, sequences, domains, trim_begin=K.TRIM_BEGIN, trim_end=K.TRIM_END):
     """Joined types and descriptions of the domains a motif meets, in order, up to the first that contains it.
 
-    ``motifs`` has accession, rank and motif; ``domains`` accession, ord, type, description, begin, end.
+    ``motifs`` has accession, rank and motif, and family where there are several; ``domains`` accession, ord, type,
+    description, begin, end.
     """
-    key = ["accession", "rank"]
+    key = [c for c in ("accession", "family", "rank") if c in motifs.columns]
     placed = motifs.join(sequences.select("accession", "sequence"), "accession", "left").select(
         *key, "motif", motif_position(F.col("motif"), F.col("sequence"), trim_begin, trim_end).alias("start")
     )

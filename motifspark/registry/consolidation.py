@@ -27,6 +27,32 @@ def j02(spark, sf):
     return J.homolog_rows(fx.motif_rows(spark, sf)).withColumn("similarity", r6(F.col("similarity")))
 
 
+MOTIFS = f"""{fx.MOTIF_ROW_SQL}, family AS (SELECT *, 'NP_' || protein_id AS refseq_peptide, 'XP_' || input_ord AS refseq_peptide_predicted,
+  unnest(['novel', 'novel', 'classical']) AS family, unnest([1, 2, 1]) AS rank,
+  unnest([similarity, round(1 - similarity, 9), round(similarity / 2, 9)]) AS own FROM motif_row)"""
+
+
+@register("j02_homolog_rows_by_motif", f"""WITH {MOTIFS} SELECT protein_id, family, rank, taxid, homolog_id, round(own, 6) + 0.0 AS similarity, model_call,
+  refseq_peptide AS match_refseq_peptide, refseq_peptide_predicted AS match_refseq_peptide_predicted
+FROM (SELECT *, row_number() OVER (PARTITION BY protein_id, family, rank, taxid
+  ORDER BY model_call DESC, round(own, 9) DESC, input_ord) AS k FROM family) WHERE k = 1""")
+def j02_by_motif(spark, sf):
+    s = F.col("similarity")
+    motifs = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(r).alias("rank"), F.round(v, 9).alias("own")) for f, r, v in (
+        ("novel", 1, s), ("novel", 2, 1 - s), ("classical", 1, s / 2))])
+    rows = fx.motif_rows(spark, sf).withColumns({
+        "refseq_peptide": F.concat(F.lit("NP_"), "protein_id"), "refseq_peptide_predicted": F.concat(F.lit("XP_"), "input_ord"), "m": F.explode(motifs)})
+    rows = rows.select("*", "m.*").drop("similarity", "refseq", "m").withColumnRenamed("own", "similarity")
+    return J.homolog_rows(rows, ("protein_id", "family", "rank")).withColumn("similarity", r6(F.col("similarity")))
+
+
+@register("j05_classical_gene_species_rows", f"""WITH {fx.MOTIF_ROW_SQL}
+{first_sql('gene_id, taxid', '(homolog_id IS NOT NULL) DESC, accessible DESC, classical, input_ord', 'protein_id, homolog_id, round(classical, 6) + 0.0 AS classical')}""")
+def j05_classical(spark, sf):
+    rows = J.gene_species_rows(fx.motif_rows(spark, sf), ["protein_id", "homolog_id", "classical"], order=J.CLASSICAL_ORDER)
+    return rows.withColumn("classical", r6(F.col("classical")))
+
+
 @register("j03_species_merge", f"""WITH {fx.MOTIF_ROW_SQL}, h AS ({HOMOLOG}),
 ids AS (SELECT DISTINCT protein_id FROM motif_row)
 SELECT protein_id, {", ".join(f"max(homolog_id) FILTER (WHERE taxid = '{t}') AS {t}_homolog, max(similarity) FILTER (WHERE taxid = '{t}') AS {t}_similarity" for t in SPECIES)}

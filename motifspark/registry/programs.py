@@ -86,7 +86,7 @@ def predict_genes(spark, sf):
 
 @register("program_predict_homologs")
 def predict_homologs(spark, sf):
-    return predicted(spark, sf)["homologs"].select("protein_id", "rank", "taxid", "homolog_id", "match", "similarity", "identity", "valid", "total", "call")
+    return predicted(spark, sf)["homologs"].select("protein_id", "family", "rank", "taxid", "homolog_id", "match", "similarity", "identity", "valid", "total", "call")
 
 
 @register("program_train_model")

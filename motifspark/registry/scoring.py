@@ -5,11 +5,12 @@ from motifspark.functions import sequence as S
 from motifspark.operators import conditional as C
 from motifspark.operators import thresholds as H
 from motifspark.operators import training as T
+from motifspark.plans import training_plan
 from motifspark.registry import q6, q9, r6, r9, register
 from motifspark.registry.sequences import CLASS_SQL
 from motifspark.registry.training import WEIGHTED_SQL, WEIGHTS
 from motifspark.registry.training_sql import PWM
-from motifspark.session import materialize
+from motifspark.session import materialize, scratch_path
 
 UNWEIGHTED = ("positive", "suboptimal", "forbidden")
 KINDS = ("binding", *UNWEIGHTED)
@@ -103,6 +104,25 @@ def p01(spark, sf):
     return p.select("peptide_id", *[r9(model.total_score(F.col("motif"), k)).alias(k) for k in UNWEIGHTED])
 
 
+@register("p14_sum_score", f"""
+WITH {PWM}, {PRES}, cell AS ({cell_sql("pwm", UNWEIGHTED)})
+SELECT peptide_id, {", ".join(f"{q9(f'2 * sum({k})')} AS {k}" for k in UNWEIGHTED)} FROM cell GROUP BY 1""")
+def p14(spark, sf):
+    p = peptides_plain(spark, sf)
+    model = C.ConditionalModel.from_pwm(materialize(T.Training(p).pwm(), "matrices"), mode="sum")
+    return p.select("peptide_id", *[r9(model.total_score(F.col("motif"), k)).alias(k) for k in UNWEIGHTED])
+
+
+@register("s11_saved_model_scores", f"WITH {SCORES} SELECT peptide_id, CASE WHEN NOT banned THEN {q9('wps')} END AS total FROM scored")
+def s11(spark, sf):
+    """Train, save, load and score: the method and the weights come back from the files."""
+    p = peptides_plain(spark, sf)
+    matrices = materialize(T.Training(p).pwm(), "matrices")
+    trained = C.ConditionalModel.from_pwm(T.weight_matrices(matrices, WEIGHTS), KINDS, method="wps")
+    model = training_plan.load(spark, training_plan.save(scratch_path(spark, "model"), matrices, WEIGHTS, trained))
+    return model.score(p).select("peptide_id", r9(F.col("total")).alias("total"))
+
+
 @register("p02_total_score", f"WITH {SCORES} SELECT peptide_id, {', '.join(f'{q9(k)} AS {k}' for k in ('ps', 'wps', 'sub'))} FROM scored")
 def p02(spark, sf):
     p = peptides_plain(spark, sf)

@@ -400,3 +400,108 @@ def test_streaming_scan_equals_batch_scan(spark, peptides, tmp_path):
     cols = ["protein_id", "rank", "motif"]
     want = sorted(map(tuple, scan.best_hits(scored_windows(df, model)).select(*cols).collect()))
     assert sorted(map(tuple, spark.read.parquet(out).select(*cols).collect())) == want and want
+
+
+# ---- edges -----------------------------------------------------------------------------------------------------
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return spark.sparkContext.getConf()
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            scratch_path(Elsewhere, "x")
+        assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_last_record_of_a_sequence_counts(spark):
+    fasta = spark.createDataFrame([("P1.9", "OLD", 1), ("P1.10", "NEW", 2), ("P2.5", "NEW", 3), ("P2.6", "OLD", 2)], "id string, sequence string, input_ord long")
+    got = D.attach_sequences(spark.createDataFrame([("P1",), ("P2",), ("P3",)], "k string"), fasta, "k").collect()
+    assert {r.k: r.sequence for r in got} == {"P1": "NEW", "P2": "NEW", "P3": None}
+
+
+def test_homologs_are_as_wide_as_there_are(spark):
+    rows = spark.createDataFrame([(1, "fr", j, f"h{j}", "S" * j) for j in range(9)], "protein_id long, taxid string, j int, homolog string, sequence string")
+    got = D.widen_homologs(rows, ["fr", "de"]).first()
+    assert [got[f"fr_homolog_{j}"] for j in range(9)] == [f"h{j}" for j in range(9)] and got["de_homolog_8"] == ""
+
+
+@pytest.mark.parametrize("target,start", [("**ACDEFGHIKLMNPQR*", 3), ("acdefghiklmnpqr", 1), ("ACDEFGHIKLMNPQR", 1), ("ACD", 0), ("é" * 20, 1)])
+def test_odd_letters_in_targets(spark, target, start):
+    got = M.best_match(one(spark, motif="ACDEFGHIKLMNPQR", target=target)).first()
+    assert got.similarity == (1.0 if "ACDEFGHIKLMNPQR" in target else 0.0) and (got.match == "") == (start == 0)
+    if "ACDEFGHIKLMNPQR" in target:
+        assert got.match == "ACDEFGHIKLMNPQR"
+
+
+def test_missing_control_is_an_error(spark):
+    rows = spark.createDataFrame([(1, "Yes", 5.0), (2, "Yes", 9.0), (2, "No", 3.0)], "peptide_id long, one_passes string, max_signal double")
+    assert sorted(r.peptide_id for r in X.training_rows(rows, 2, 0.6).collect()) == [2]
+    with pytest.raises(Exception, match="control"):
+        X.training_rows(rows, 7, 0.6).collect()
+
+
+def test_percentiles_equal_numpy(spark):
+    from motifspark.operators.running import percentiles
+
+    values = [RNG.gauss(0, 1) if RNG.random() < 0.6 else 1.5 for _ in range(777)] + [None]
+    got = {r.percentile: r.value for r in percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0, 1, 25, 50, 99, 100]).collect()}
+    known = [v for v in values if v is not None]
+    assert got == {p: pytest.approx(float(np.percentile(known, p))) for p in got} and len(got) == 6
+
+
+def test_grid_hits_in_blocks(spark):
+    rows = [(RNG.randint(0, 9), RNG.randint(0, 9), RNG.random() < 0.5, RNG.randint(1, 4)) for _ in range(200)]
+    choices = [[0.0, 1.0, 2.5], [0.5, 2.0]]
+    got = {(r.w1, r.w2): r.hits for r in H.grid_hits(spark.createDataFrame(rows, "a long, b long, truth boolean, n long").repartition(4), choices, ("a", "b"), 9.0, block=4).collect()}
+    assert got == {(v, w): sum(n for a, b, t, n in rows if (v * a + w * b >= 9.0) == t) for v in choices[0] for w in choices[1]}
+
+
+def test_barnard_equals_enumeration():
+    def plain(a, b, c, d):
+        n1, n2, best = a + c, b + d, 0.0
+
+        def stat(x, y):
+            p = (x + y) / (n1 + n2)
+            var = p * (1 - p) * (1 / n1 + 1 / n2)
+            return (x / n1 - y / n2) / math.sqrt(var) if var > 0 else 0.0
+
+        for p in np.linspace(0, 1, 66)[1:-1]:
+            best = max(best, sum(math.comb(n1, x) * p**x * (1 - p) ** (n1 - x) * math.comb(n2, y) * p**y * (1 - p) ** (n2 - y)
+                                 for x in range(n1 + 1) for y in range(n2 + 1) if abs(stat(x, y)) >= abs(stat(a, b)) - 1e-9))
+        return min(best, 1.0)
+
+    for _ in range(12):
+        t = [RNG.randint(0, 7) for _ in range(4)]
+        if t[0] + t[2] and t[1] + t[3]:
+            assert pvalues.barnard_p(*t) == pytest.approx(plain(*t), abs=1e-9)
+
+
+def test_models_come_back_as_saved(spark):
+    from motifspark.plans import training_plan as P
+
+    rows = [(i, w, RNG.random() < 0.4, RNG.random() * 100) for i, w in enumerate(words(300))]
+    peptides = spark.createDataFrame(rows, "peptide_id long, seq string, passes boolean, signal double")
+    matrices = T.Training(peptides).pwm()
+    weights = P.default_weights()
+    model = C.ConditionalModel.from_pwm(T.weight_matrices(matrices, weights), P.KINDS, method="wps", threshold=1.5, mode="sum", suppressed=(2, 9))
+    model.coefficients = {"total": (1.0, 2.0)}
+    again = P.load(spark, P.save(scratch_path(spark, "model"), matrices, weights, model))
+    assert (again.method, again.threshold, again.mode, again.suppressed, again.coefficients) == ("wps", 1.5, "sum", (2, 9), {"total": (1.0, 2.0)})
+    one_way, other = ([tuple(r) for r in m.score(peptides, "seq").orderBy("peptide_id").collect()] for m in (model, again))
+    assert one_way == other
+
+
+def test_sum_mode_is_twice_the_mean(spark):
+    peptides = spark.createDataFrame([(i, w, RNG.random() < 0.4, RNG.random() * 100) for i, w in enumerate(words(200))], "peptide_id long, seq string, passes boolean, signal double")
+    matrices = T.Training(peptides).pwm()
+    mean, total = (C.ConditionalModel.from_pwm(matrices, mode=m) for m in ("mean", "sum"))
+    for r in peptides.select(mean.total_score(F.col("seq"), "positive").alias("a"), total.total_score(F.col("seq"), "positive").alias("b")).collect():
+        assert r.b == pytest.approx(2 * r.a)
