@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def _slices(spark):
-    """Number of slices, as a square: twice the shuffle partitions of the session, between 64 and 4096."""
-    wanted = min(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64), 4096)
+    """Number of slices, as a square: twice the shuffle partitions of the session, 64 at least."""
+    wanted = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64)
     return math.isqrt(wanted - 1) + 1
 
 

@@ -4,7 +4,7 @@ from motifspark import constants as K
 from motifspark import fixtures as fx
 from motifspark.functions import sequence as S
 from motifspark.operators import training as T
-from motifspark.registry import q9 as q6, r9 as r6, register
+from motifspark.registry import q9, r9, register
 from motifspark.registry.training_sql import BASE, COUNTS, PWM, STATS
 
 KINDS = ("positive", "suboptimal", "forbidden")
@@ -12,11 +12,11 @@ RULE = ("rule_class", "rule_pos")
 
 
 def rounded(df, keys, cols):
-    return df.select(*keys, *[r6(F.col(c)).alias(c) for c in cols])
+    return df.select(*keys, *[r9(F.col(c)).alias(c) for c in cols])
 
 
-def sql6(cols):
-    return ", ".join(f"{q6(c)} AS {c}" for c in cols)
+def sql9(cols):
+    return ", ".join(f"{q9(c)} AS {c}" for c in cols)
 
 
 @register("m01_stratified_split", f"""
@@ -41,81 +41,81 @@ def m03(spark, sf):
     return T.member_counts(fx.peptides(spark, sf), 60).select(*RULE, "n_members", "all_rows")
 
 
-@register("m04_rank_biserial", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, n_pass AS n_with, p - n_pass AS n_without, {q6('r_alone')} AS r_alone FROM con WHERE n_pass > 5")
+@register("m04_rank_biserial", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, n_pass AS n_with, p - n_pass AS n_without, {q9('r_alone')} AS r_alone FROM con WHERE n_pass > 5")
 def m04(spark, sf):
     x = T.Training(fx.peptides(spark, sf)).contrasts.filter("n_ranked > 5")
     return x.select(*RULE, "pos", "aa", F.col("n_ranked").alias("n_with"), (F.col("all_ranked") - F.col("n_ranked")).alias("n_without"),
-                    r6(F.col("r_alone")).alias("r_alone"))
+                    r9(F.col("r_alone")).alias("r_alone"))
 
 
-@register("m05_group_retry", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, gp AS group_size, {q6('r_group')} AS r_group FROM con WHERE n_pass BETWEEN 1 AND 5")
+@register("m05_group_retry", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, gp AS group_size, {q9('r_group')} AS r_group FROM con WHERE n_pass BETWEEN 1 AND 5")
 def m05(spark, sf):
     x = T.Training(fx.peptides(spark, sf)).contrasts.filter("n_ranked between 1 and 5")
-    return x.select(*RULE, "pos", "aa", F.col("g_ranked").alias("group_size"), r6(F.col("r_group")).alias("r_group"))
+    return x.select(*RULE, "pos", "aa", F.col("g_ranked").alias("group_size"), r9(F.col("r_group")).alias("r_group"))
 
 
-@register("m06_unseen_positive", f"""WITH {PWM} SELECT c.rule_class, c.rule_pos, c.pos, c.aa, {q6("c.positive")} AS positive
+@register("m06_unseen_positive", f"""WITH {PWM} SELECT c.rule_class, c.rule_pos, c.pos, c.aa, {q9("c.positive")} AS positive
 FROM rulem_cell c JOIN con USING (rule_class, rule_pos, pos, aa) WHERE n_pass = 0""")
 def m06(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
     return rounded(t.cells(t.baseline).filter("n_ranked = 0"), (*RULE, "pos", "aa"), ("positive",))
 
 
-@register("m07_yule_q", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, n_pass, n_fail, {q6('q')} AS q, {q6('qg')} AS q_group FROM con")
+@register("m07_yule_q", f"WITH {STATS} SELECT rule_class, rule_pos, pos, aa, n_pass, n_fail, {q9('q')} AS q, {q9('qg')} AS q_group FROM con")
 def m07(spark, sf):
     x = T.Training(fx.peptides(spark, sf)).contrasts
-    return x.select(*RULE, "pos", "aa", "n_pass", "n_fail", r6(F.col("q_alone")).alias("q"), r6(F.col("q_group")).alias("q_group"))
+    return x.select(*RULE, "pos", "aa", "n_pass", "n_fail", r9(F.col("q_alone")).alias("q"), r9(F.col("q_group")).alias("q_group"))
 
 
-@register("m08_suboptimal", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(['suboptimal'])} FROM rulem_raw")
+@register("m08_suboptimal", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql9(['suboptimal'])} FROM rulem_raw")
 def m08(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
     return rounded(T._cells(t.contrasts, t.baseline, t.params), (*RULE, "pos", "aa"), ("suboptimal",))
 
 
-@register("m09_forbidden", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(['forbidden'])} FROM rulem_raw")
+@register("m09_forbidden", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql9(['forbidden'])} FROM rulem_raw")
 def m09(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
     return rounded(T._cells(t.contrasts, t.baseline, t.params), (*RULE, "pos", "aa"), ("forbidden",))
 
 
-@register("m10_unseen_suboptimal", f"""WITH {PWM} SELECT c.rule_class, c.rule_pos, c.pos, c.aa, {q6("c.suboptimal")} AS suboptimal
+@register("m10_unseen_suboptimal", f"""WITH {PWM} SELECT c.rule_class, c.rule_pos, c.pos, c.aa, {q9("c.suboptimal")} AS suboptimal
 FROM rulem_cell c JOIN con USING (rule_class, rule_pos, pos, aa) WHERE n_pass + n_fail = 0""")
 def m10(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
     return rounded(t.cells(t.baseline).filter("n_pass + n_fail = 0"), (*RULE, "pos", "aa"), ("suboptimal",))
 
 
-@register("m11_forced_required", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(['forbidden'])} FROM rulem_cell")
+@register("m11_forced_required", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql9(['forbidden'])} FROM rulem_cell")
 def m11(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
     return rounded(t.cells(t.baseline), (*RULE, "pos", "aa"), ("forbidden",))
 
 
-@register("m12_phospho_collapse", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(KINDS)} FROM rulem")
+@register("m12_phospho_collapse", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql9(KINDS)} FROM rulem")
 def m12(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
     return rounded(T.collapse_phospho(t.cells(t.baseline)), (*RULE, "pos", "aa"), KINDS)
 
 
-@register("m13_baseline", f"WITH {BASE} SELECT pos, aa, {sql6(KINDS)} FROM base")
+@register("m13_baseline", f"WITH {BASE} SELECT pos, aa, {sql9(KINDS)} FROM base")
 def m13(spark, sf):
     return rounded(T.Training(fx.peptides(spark, sf)).baseline, ("pos", "aa"), KINDS)
 
 
-@register("train_conditional_matrices", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql6(KINDS)} FROM pwm")
+@register("train_conditional_matrices", f"WITH {PWM} SELECT rule_class, rule_pos, pos, aa, {sql9(KINDS)} FROM pwm")
 def pwm(spark, sf):
     return rounded(T.Training(fx.peptides(spark, sf)).pwm(), (*RULE, "pos", "aa"), KINDS)
 
 
 @register("m14_replace_forbidden", f"""
 WITH {PWM} SELECT rule_class, rule_pos, bool_or(round(p.positive - b.positive, 9) <> 0 OR round(p.suboptimal - b.suboptimal, 9) <> 0 OR p.forbidden <> b.forbidden) AS differs,
-  bool_or(p.forbidden <> b.forbidden) AS forbidden_replaced, {q6("sum(b.forbidden)")} AS forbidden_after
+  bool_or(p.forbidden <> b.forbidden) AS forbidden_replaced, {q9("sum(b.forbidden)")} AS forbidden_after
 FROM pwm p JOIN (SELECT pos, aa, positive, suboptimal, forbidden FROM base) b USING (pos, aa) GROUP BY 1, 2""")
 def m14(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
     out, report = T.replace_forbidden(t.pwm(), t.baseline)
-    after = out.groupBy(*RULE).agg(r6(F.sum("forbidden")).alias("forbidden_after"))
+    after = out.groupBy(*RULE).agg(r9(F.sum("forbidden")).alias("forbidden_after"))
     return report.join(after, list(RULE))
 
 
@@ -127,7 +127,7 @@ WEIGHTED_SQL = f"""wpwm AS (SELECT rule_class, rule_pos, pos, aa, positive * {WL
   forbidden * abs({WLIST['forbidden']}[pos]) AS forbidden FROM pwm)"""
 
 
-@register("m15_weighting", f"WITH {PWM}, {WEIGHTED_SQL} SELECT rule_class, rule_pos, pos, aa, {sql6(('binding', *KINDS))} FROM wpwm")
+@register("m15_weighting", f"WITH {PWM}, {WEIGHTED_SQL} SELECT rule_class, rule_pos, pos, aa, {sql9(('binding', *KINDS))} FROM wpwm")
 def m15(spark, sf):
     w = T.weight_matrices(T.Training(fx.peptides(spark, sf)).pwm(), WEIGHTS)
     return rounded(w, (*RULE, "pos", "aa"), ("binding", *KINDS))
@@ -154,12 +154,12 @@ def m16(spark, sf):
 def m16_multi(spark, sf):
     p = fx.peptides(spark, sf)
     t = T.Training(p)
-    return T.rule_regressions(p, t.cells(t.baseline)).select(*RULE, "n_rows", r6(F.col("multi_r2")).alias("multi_r2"))
+    return T.rule_regressions(p, t.cells(t.baseline)).select(*RULE, "n_rows", r9(F.col("multi_r2")).alias("multi_r2"))
 
 
 @register("m17_column_copy", f"""
 WITH {PWM} SELECT p.rule_class, p.rule_pos, p.pos, p.aa,
-  {", ".join(f"{q6(f'CASE WHEN p.pos = 8 THEN b.{k} ELSE p.{k} END')} AS {k}" for k in KINDS[:2])}, {q6("p.forbidden")} AS forbidden
+  {", ".join(f"{q9(f'CASE WHEN p.pos = 8 THEN b.{k} ELSE p.{k} END')} AS {k}" for k in KINDS[:2])}, {q9("p.forbidden")} AS forbidden
 FROM pwm p JOIN base b ON b.pos = p.pos AND b.aa = p.aa""")
 def m17(spark, sf):
     t = T.Training(fx.peptides(spark, sf))
@@ -183,8 +183,8 @@ SIGMOID = "(2 / (1 + exp(-0.05 * (signal - 50))) - 2 / (1 + exp(2.5)))"
 
 
 @register("m20_additive_matrix", f"""
-WITH {STATS} SELECT pos, aa, {q6(f"sum({SIGMOID})")} AS sigmoid, {q6("sum(CASE WHEN signal >= 80 THEN 3 WHEN signal >= 50 THEN 2 WHEN signal >= 20 THEN 1 ELSE 0 END)")} AS steps,
-  {q6("sum(1.0)")} AS flat FROM res GROUP BY 1, 2""")
+WITH {STATS} SELECT pos, aa, {q9(f"sum({SIGMOID})")} AS sigmoid, {q9("sum(CASE WHEN signal >= 80 THEN 3 WHEN signal >= 50 THEN 2 WHEN signal >= 20 THEN 1 ELSE 0 END)")} AS steps,
+  {q9("sum(1.0)")} AS flat FROM res GROUP BY 1, 2""")
 def m20(spark, sf):
     p = fx.peptides(spark, sf)
     s = F.col("signal")
@@ -198,7 +198,7 @@ def m20(spark, sf):
 
 
 @register("m21_always_allowed", f"""
-WITH {STATS} SELECT pos, aa, {q6("CASE WHEN pos = 8 AND aa IN ('F','Y') THEN 1 WHEN pos = 10 AND aa IN ('D','E') THEN 1 ELSE sum(signal) END")} AS value
+WITH {STATS} SELECT pos, aa, {q9("CASE WHEN pos = 8 AND aa IN ('F','Y') THEN 1 WHEN pos = 10 AND aa IN ('D','E') THEN 1 ELSE sum(signal) END")} AS value
 FROM res GROUP BY 1, 2""")
 def m21(spark, sf):
     m = T.additive_matrix(fx.peptides(spark, sf), F.col("signal"))
