@@ -25,7 +25,7 @@ from motifspark.llm.text import as_batch, raw_column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches a worker remembers in each of two generations, pairs of neighbours it remembers, and characters indexed together.
-CACHE, PAIRS, INDEXED = 150_000, 600_000, 1 << 21
+CACHE, PAIRS, INDEXED = 120_000, 400_000, 1 << 21
 #: Stretches are found by their first bytes; longer pieces are compared in full.
 HEAD = 16
 

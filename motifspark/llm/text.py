@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache before it starts anew; bounds memory, never results.
-CACHE = 400_000
+CACHE = 250_000
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
