@@ -1,5 +1,8 @@
 """Licence texts found by the digest of their canonical form."""
 
+import re
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 #: Spellings that count as equal, the second standing for the first.
@@ -62,6 +65,61 @@ OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org>"""),
 ]
 
+#: Lines that stand above whole texts, or not.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"],
+    "Unlicense": ["The Unlicense"],
+}
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+#: Whole texts in the folder `licenses`, by the number of title lines they begin with.
+FILES = {"Apache-2.0": 3, "CC0-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-2.0": 1}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+APPENDIX_FIELDS = "Copyright [yyyy] [name of copyright owner]"
+
+
+def whole_texts():
+    """(licence, kind, text) of every form in which a whole text is known: with and without titles and what may follow."""
+    texts = [(name, text) for name, kind, text in KNOWN if kind == "text"]
+    texts += [("ISC", text.replace("and/or distribute", "and distribute")) for name, text in texts if name == "ISC"]
+    for name, text in (("BSD-2-Clause", BSD + BSD_END), ("BSD-3-Clause", BSD + BSD_THIRD + BSD_END)):
+        for body in (text, re.sub(r"(?m)^[123]\. ", "", text)):
+            texts += [(name, body), (name, "All rights reserved.\n\n" + body)]
+    texts += [(name, f"{title}\n\n{text}") for name, text in texts for title in TITLES[name]]
+    for name, titles in FILES.items():
+        text = (Path(__file__).parent / "licenses" / f"{name}.txt").read_text()
+        bodies = [text, text.replace(APPENDIX_FIELDS, "")]
+        if TERMS_END in text:
+            bodies.append(text[: text.index(TERMS_END)])
+            bodies.append(bodies[-1] + TERMS_END)
+        for body in bodies:
+            lines = [line for line in body.split("\n") if re.search("[A-Za-z0-9]", line)]
+            texts += [(name, "\n".join(lines[k:])) for k in range(titles + 1)]
+    return [(name, "text", text) for name, text in dict.fromkeys(texts)]
+
+
+KNOWN += [row for row in whole_texts() if row not in KNOWN]
+
 #: A line that holds a copyright statement and no more is dropped.
 COPYRIGHT = r"^[ \t]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$"
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10ffff}]+"

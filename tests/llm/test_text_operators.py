@@ -1,6 +1,8 @@
 """Licences, languages, secrets, benchmark passages, resampling and encoding against plain versions."""
 
 import hashlib
+import io
+import os
 import random
 import re
 import zlib
@@ -66,6 +68,21 @@ def test_whole_unlicense_and_no_fragment(spark):
     assert got == {1: "Unlicense", 2: None, 3: "Unlicense"}
 
 
+def test_whole_texts_with_and_without_titles(spark):
+    mit = next(t for name, kind, t in license_scan.KNOWN if (name, kind) == ("MIT", "text"))
+    rows = [("MIT", f"{title}\n\nCopyright (c) 2020 Someone\n\n{mit}") for title in ("MIT License", "The MIT License (MIT)")]
+    folder = "/usr/share/common-licenses"
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}") as f:
+                rows.append((name, f.read()))
+    with open(f"{folder}/BSD") if os.path.exists(f"{folder}/BSD") else io.StringIO() as f:
+        bsd = f.read().replace("(c) The", "(c) 1999 The").replace("the University", "the copyright holder").replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS OR", "COPYRIGHT HOLDER OR")
+    rows += [("BSD-3-Clause", bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd)] if bsd else []
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
 def test_licence_edges(docs, none):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).count() == 0
 
