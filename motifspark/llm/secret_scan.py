@@ -89,15 +89,22 @@ def judge(token, ratio):
 
 
 def scan_text(text, random):
-    """All spans of a text in order: base spans, and tokens that `random` accepts and no base span overlaps."""
+    """All spans of a text in order: base spans, and the parts that no base span covers of tokens that `random` accepts."""
     spans = base_spans(text)
     free, at = [], 0
     for m in TOKEN.finditer(text):
         if random(m[0]):
             while at < len(spans) and spans[at][2] <= m.start():
                 at += 1
-            if not any(s < m.end() and m.start() < e for s, _, e in spans[at:]):
-                free.append((m.start(), 3, m.end()))
+            last = m.start()
+            for s, _, e in spans[at:]:
+                if s >= m.end():
+                    break
+                if s > last:
+                    free.append((last, 3, s))
+                last = max(last, e)
+            if last < m.end():
+                free.append((last, 3, m.end()))
     return sorted(spans + free)
 
 

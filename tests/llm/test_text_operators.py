@@ -208,6 +208,11 @@ def test_unlabelled_secrets_are_added(spark, sf):
     assert sum(r.n_markov for r in S.digest(S.scan(docs, ratio)).collect()) == 0
 
 
+def test_rest_of_a_token_beside_a_base_span_is_a_span():
+    text = "key QmFzZTY0/" + "0123456789abcdef01234567" + "/Zx81QpWvRt end 0123456789abcdef01234567 end"
+    assert S.scan_text(text, lambda token: True) == [(4, 3, 13), (13, 2, 37), (37, 3, 48), (53, 2, 77)]
+
+
 def test_secret_edges(docs, none):
     ratio = S.train(none)
     assert S.scan(none, ratio).count() == 0 and S.scan(docs, ratio).count() == docs.count()
