@@ -14,9 +14,9 @@ def without_version(accession):
     return F.substring_index(accession, ".", 1)
 
 
-def attach_sequences(base, fasta, key):
-    """Sequence by id without its version, the last record of the file first; null where there is none."""
-    seqs = fasta.groupBy(without_version(F.col("id")).alias(key)).agg(F.max_by("sequence", "input_ord").alias("sequence"))
+def attach_sequences(base, fasta, key, order="input_ord"):
+    """Sequence by id without its version, the last record by ``order``; null where there is none."""
+    seqs = fasta.groupBy(without_version(F.col("id")).alias(key)).agg(F.max_by("sequence", order).alias("sequence"))
     return base.join(seqs, key, "left")
 
 

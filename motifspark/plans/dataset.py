@@ -8,7 +8,8 @@ from motifspark.operators import assembly as D
 def protein_dataset(proteins, accessions, fasta, homologene, sequences, reference, targets):
     """(protein table, homologs in long form).
 
-    ``proteins`` has protein_id, refseq_peptide and refseq_peptide_predicted; ``sequences`` accession and sequence.
+    ``proteins`` has protein_id, refseq_peptide and refseq_peptide_predicted; ``sequences`` accession and sequence;
+    ``fasta`` id, sequence and ``input_ord``, the order of its records.
     """
     base = D.merge_accessions(proteins, accessions, "protein_id", ["uniprot", "trembl"])
     base = D.attach_sequences(base, fasta, "protein_id")

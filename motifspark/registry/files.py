@@ -22,7 +22,7 @@ def s01(spark, sf):
     lines = F.regexp_replace("seq", "(.{60})", "$1\n")
     path = scratch_path(spark, "proteins.fa")
     p.select(F.concat(head, F.lit("\n"), lines).alias("value")).write.text(path)
-    return readers.fasta(spark, path)
+    return readers.fasta(spark, path).drop("input_ord")
 
 
 @register("s02_homologene", f"""WITH {fx.PROTEIN_SQL} SELECT hid, CASE lang {" ".join(f"WHEN '{k}' THEN {v}" for k, v in TAX.items())} END::BIGINT AS taxid, gene_id,

@@ -107,7 +107,7 @@ LEFT JOIN (SELECT event_id // 10 AS pid, 'P' || user_id AS uniprot, 'T' || event
   row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id DESC) AS k FROM events) e ON e.pid = n.protein_id AND k = 1""")
 def protein_dataset(spark, sf):
     g = RD.homologene(spark, sf)
-    fasta = fx.proteins(spark, sf).select(F.col("protein_id").cast("string").alias("id"), F.col("seq").alias("sequence"))
+    fasta = fx.proteins(spark, sf).select(F.col("protein_id").cast("string").alias("id"), F.col("seq").alias("sequence"), F.col("protein_id").alias("input_ord"))
     seqs = fx.proteins(spark, sf).select(
         F.concat(F.when(F.col("protein_id") % 3 == 0, "XP_").otherwise("NP_"), "protein_id", F.lit(".1")).alias("accession"), F.col("seq").alias("sequence")
     )

@@ -14,8 +14,13 @@ def _strings(*names):
 
 
 def fasta(spark, path):
-    """One row per record: id, transcript, gene, gene symbol, sequence, and its place in the file."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    """One row per record: id, transcript, gene, gene symbol, sequence, and its place in the file.
+
+    A record begins where a line begins with ``>``; the sign may stand anywhere else in a header. Spark's text reader
+    cuts at that mark itself, so a large file is read in splits. Lines may end in CRLF. An id does not begin with ``>``.
+    """
+    records = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", r"^[\s\x{feff}]*>", ""))
+    records = records.filter(F.trim("value") != "")
     head = F.regexp_replace(F.substring_index("value", "\n", 1), r"\s+$", "")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
 

@@ -386,6 +386,28 @@ def test_fasta_tags_and_wrapped_sequence(spark, tmp_path):
     assert (got["E2"]["gene"], got["E2"]["sequence"]) == ("", "AA*")
 
 
+def test_fasta_marks_inside_headers_line_ends_and_splits(spark, tmp_path):
+    rng = random.Random(8)
+    want = []
+    for end in ("\n", "\r\n"):
+        name = "unix" if end == "\n" else "dos"
+        rows = [(f"{name}{i}.{i % 3}", f"G{i}", "".join(rng.choices("ACDEFGHIKL", k=rng.randint(0, 300)))) for i in range(400)]
+        want += [(i, g, seq) for i, g, seq in rows]
+        records = [f">{i} a->b > c gene:{g} >{end}" + end.join(seq[k:k + 60] for k in range(0, len(seq), 60)) for i, g, seq in rows]
+        (tmp_path / f"{name}.fa").write_bytes((end.join(records) + end).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "977")
+    try:
+        frame = readers.fasta(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 20
+        got = frame.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.id, r.gene, r.sequence) for r in got) == sorted(want)
+    order = [r.id for r in sorted(got, key=lambda r: r.input_ord)]
+    assert [i for i in order if i.startswith("unix")] == [w[0] for w in want if w[0].startswith("unix")]
+
+
 def test_streaming_scan_equals_batch_scan(spark, peptides, tmp_path):
     from motifspark.streaming.scan import best_hits_per_batch, scored_windows
 
