@@ -50,7 +50,7 @@ def fit(docs, labels):
     """
     good = labels.where("quality = 1").select("doc_id").where("doc_id is not null").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).withColumn("good", F.lit(True))
-    rows = docs.join(F.broadcast(good), "doc_id", "left").select(F.col("text").cast("string").cast("binary").alias("text"), "good")
+    rows = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select(F.col("text").cast("string").cast("binary").alias("text"), "good")
     table = np.zeros((2, FEATURES))
     for r in rows.mapInArrow(count, "label int, feature long, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).collect():
         table[r.label, r.feature] = r.n
