@@ -2,6 +2,8 @@
 
 from motifspark.llm import fm_decontaminate as fm
 from motifspark.llm import (
+    byte_bpe,
+    fill_middle,
     hilbert_shards,
     importance_resampling,
     language_id,
@@ -9,6 +11,7 @@ from motifspark.llm import (
     media_columns,
     secret_scan,
     sentencepiece_array,
+    spelling_variants,
     warc_zip,
 )
 from motifspark.llm import ngram_jaccard as jaccard
@@ -158,3 +161,71 @@ def op9(spark, sf):
 @query("op3_importance_resampling")
 def op3(spark, sf):
     return importance_resampling.sample(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op11_byte_bpe")
+def op11(spark, sf):
+    return byte_bpe.digest(byte_bpe.encode(read(spark, sf, "documents")))
+
+
+DRAWS = ", ".join(f"('0x' || substr(hx, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls, sha256('7:' || coalesce(doc_id::varchar, '')) AS hx
+  FROM documents
+), h AS (SELECT *, len(ls) AS n, {DRAWS} FROM d
+), c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h
+), p AS (
+  SELECT doc_id, t, n, array_to_string(ls[:a], '') AS pre, array_to_string(ls[a + 1:b], '') AS mid, array_to_string(ls[b + 1:], '') AS suf,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+         WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op12_fill_middle", OP12_SQL)
+def op12(spark, sf):
+    return fill_middle.digest(fill_middle.transform(read(spark, sf, "documents")))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc
+), r AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL
+), b AS (
+  SELECT run, k, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM r
+), h AS (
+  SELECT run, k, xor(4294967295, list_reduce([4294967295] || bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) AS h FROM b, tab
+), s AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM h
+), w AS (SELECT word, sum(k)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cut AS (
+  SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), edge AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cut a JOIN w b ON b.word = a.rest
+  UNION SELECT b.word, a.word FROM cut a JOIN w b ON b.word = a.rest
+), e AS (
+  SELECT e.word, near, x.n AS near_n, row_number() OVER (PARTITION BY e.word ORDER BY x.n DESC, encode(near)) AS rank, count(*) OVER (PARTITION BY e.word) AS n_near
+  FROM edge e JOIN w x ON x.word = e.near
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN e ON e.word = w.word AND rank = 1
+), way AS (SELECT word, word AS last FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.last WHERE f.form IS NOT NULL
+)
+SELECT f.word, n, n_near, form, form_n, last AS root FROM f JOIN way ON way.word = f.word JOIN (SELECT word FROM f WHERE form IS NULL) l ON l.word = way.last
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark, sf):
+    return spelling_variants.group(read(spark, sf, "documents"))
