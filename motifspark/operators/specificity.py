@@ -185,3 +185,22 @@ def plus_minus(plus_scored, minus_scored, key="peptide_id"):
     return plus_scored.select(key, F.col("score").alias("plus_score")).join(
         minus_scored.select(key, F.col("score").alias("minus_score")), key, "full"
     )
+
+
+def search_weights(rows, metric, side, trials, n=K.MOTIF_LENGTH, plus=1.0, minus=-1.0, low=0.0, high=4.0, seed=1, forced=None):
+    """Position weights by random search on the ``upper`` side, the ``lower`` side or the ratio-weighted ``mean`` of both.
+
+    ``rows`` has points (matrix value per position) and value (fold change). One histogram of the scores is swept from
+    both ends. A mean needs rows above and below; without them it is of the side that has rows.
+    """
+    from motifspark.operators.search import Search, Side
+
+    counted = rows.select("points", F.lit(1).alias("rows"), (F.col("value") >= plus).cast("int").alias("above"), (F.col("value") <= minus).cast("int").alias("below"))
+    shares = {"upper": (1.0, 0.0), "lower": (0.0, 1.0)}.get(side)
+    if shares is None:
+        n_above, n_below = counted.agg(F.coalesce(F.sum("above"), F.lit(0)), F.coalesce(F.sum("below"), F.lit(0))).first()
+        whole = max(n_above + n_below, 1)
+        shares = n_above / whole, n_below / whole
+    every = [Side("upper", "above", "rows", 1, shares[0]), Side("lower", "below", "rows", -1, shares[1])]
+    best = Search(counted, n, low, high, seed, forced, metric, [s for s in every if s.share > 0] or every[:1]).best(trials)
+    return best.withColumnRenamed("threshold", f"threshold_{side}")

@@ -12,11 +12,13 @@ from motifspark.operators import conditional as C
 from motifspark.operators import specificity as X
 from motifspark.operators import thresholds as H
 from motifspark.operators import training as T
-from motifspark.operators.search import Search
+from motifspark.operators.search import ExponentialSearch, Search
 from motifspark.session import materialize, tune
 from motifspark.sources import sinks
 
 KINDS = ("binding", "positive", "suboptimal", "forbidden")
+#: Rates of the exponential fits, over the range of the scores.
+FIT_RATES = (-4.0, -2.0, -1.0, -0.5, 0.5, 1.0, 2.0, 4.0)
 
 
 @dataclass
@@ -79,17 +81,48 @@ def train_conditional(peptides: DataFrame, weights=None, trials=0, seed=1, metho
     return model, matrices, weights, report
 
 
+def search_points(unweighted, seq, method, binding):
+    """(points, banned): the columns that a method's total is a weighted sum of, and whether a peptide is never called.
+
+    ``ps``: every position of the positive and of the suboptimal matrix; ``wps``: the weighted binding sum, times the motif
+    length so that it weighs as much as the positions do, and the suboptimal positions; ``suboptimal``: these alone;
+    ``binding``: the positive positions.
+    """
+    lack = [-x for x in unweighted.position_scores(seq, "suboptimal")]
+    gain = unweighted.position_scores(seq, "positive")
+    whole = sum((float(w) * x for w, x in zip(binding, gain)), F.lit(0.0))
+    points = {"ps": gain + lack, "wps": [K.MOTIF_LENGTH * whole] + lack, "suboptimal": lack, "binding": gain}[method]
+    return F.array(*points), F.coalesce(unweighted.total_score(seq, unweighted.disqualifying, unweighted.suppressed) > 0, F.lit(False))
+
+
 def search_weights(train, unweighted, weights, trials, seed, method="ps"):
-    """One weight per position for all points that the method's total is made of; disqualified peptides take no part."""
-    m = F.col("motif")
-    lack = unweighted.position_scores(m, "suboptimal")
-    gain = unweighted.position_scores(m, "positive") if method != "suboptimal" else [F.lit(0.0)] * len(lack)
-    points = F.array(*[a - b for a, b in zip(gain, lack)])
-    banned = F.coalesce(unweighted.total_score(m, unweighted.disqualifying, unweighted.suppressed) > 0, F.lit(False))
-    rows = materialize(train.filter(~banned).select(points.alias("points"), F.col("passes").alias("truth")), "search-points")
-    best = Search(rows, K.MOTIF_LENGTH, 0.0, 10.0, seed).best(trials).first()
+    """Weights of a method by random search; disqualified peptides count but are never called.
+
+    Binding weights come first, by the exponential fit of the passing peptides' signals, if there are signals.
+    """
+    m, n = F.col("motif"), K.MOTIF_LENGTH
+    out = dict(weights)
+    if "signal" in train.columns:
+        points, _ = search_points(unweighted, m, "binding", out["binding"])
+        passing = materialize(train.filter("passes").select(points.alias("points"), "signal"), "binding-points")
+        fit = ExponentialSearch(passing, n, FIT_RATES, 0.0, 10.0, seed, value="signal").best(trials).first()
+        if fit is not None:
+            out["binding"] = list(fit["weights"])
+    points, banned = search_points(unweighted, m, method, out["binding"])
+    rows = materialize(train.select(F.when(~banned, points).alias("points"), F.col("passes").alias("truth")), "search-points")
+    size = {"ps": 2 * n, "wps": n + 1, "suboptimal": n}[method]
+    best = Search(rows, size, 0.0, 10.0, seed).best(trials).first()
+    if best is None:
+        return out
     w = list(best["weights"])
-    return {**weights, **({"suboptimal": w} if method == "suboptimal" else {"binding": w, "positive": w, "suboptimal": w})}
+    if method == "ps":
+        out["positive"], out["suboptimal"] = w[:n], w[n:]
+    elif method == "wps":
+        out["binding"] = out["positive"] = [n * w[0] * b for b in out["binding"]]
+        out["suboptimal"] = w[1:]
+    else:
+        out["positive"], out["suboptimal"] = [0.0] * n, w
+    return out
 
 
 def train_specificity(rows, control_id, share=0.3, alpha=0.2, standardize=True, weights=None):

@@ -273,6 +273,115 @@ def test_weight_search_is_exact(spark):
         assert got["value"] == pytest.approx(best)
 
 
+def best_metric(s, truth, counted, metric, midpoint=True):
+    """Best metric over all cuts of the scored rows, by trying each; `counted` rows without a score are never called."""
+    best = -2.0
+    values = np.unique(s)
+    for k, c in enumerate(values):
+        if midpoint and k == 0 and (s == c).sum() < 2:
+            continue
+        up = s >= c
+        tp, fp = (up & truth).sum(), (up & ~truth).sum()
+        fn, tn = counted[0] - tp, counted[1] - fp
+        d = math.sqrt(float(tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+        best = max(best, {"accuracy": (tp + tn) / sum(counted), "f1": 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0, "mcc": (tp * tn - fp * fn) / d if d else 0.0}[metric])
+    return best
+
+
+def search_rows(n, places, seed, banned=0.1):
+    rng = random.Random(seed)
+    rows = [([round(rng.gauss(0, 1), 1) for _ in range(places)], rng.gauss(0, 1)) for _ in range(n)]
+    rows = [(p if rng.random() > banned else None, sum(p[::2]) + e) for p, e in rows]
+    return rows + rows[: n // 4]
+
+
+def test_two_sided_search_is_exact_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 100)
+    monkeypatch.setattr(search, "GROUP", 40)
+    monkeypatch.setattr(search, "CHUNK", 16)
+    rows = [(p, v) for p, v in search_rows(300, 5, 5, banned=0.0)]
+    frame = spark.createDataFrame(rows, "points array<double>, value double")
+    points, value = np.array([p for p, _ in rows]), np.array([v for _, v in rows])
+    w = search.trial_weights(range(90), 5, 0.0, 4.0, 7, {5: 0.0})
+    n = [(value >= 1).sum(), (value <= -1).sum()]
+    for metric in ("accuracy", "mcc", "f1"):
+        up = [best_metric(np.round(points @ x, 9), value >= 1, (n[0], len(rows) - n[0]), metric, metric != "f1") for x in w]
+        down = [best_metric(-np.round(points @ x, 9), value <= -1, (n[1], len(rows) - n[1]), metric, metric != "f1") for x in w]
+        mean = [(a * n[0] + b * n[1]) / sum(n) for a, b in zip(up, down)]
+        for side, want in (("upper", up), ("lower", down), ("mean", mean)):
+            got = X.search_weights(frame, metric, side, 90, 5, seed=7, forced={5: 0.0}).first()
+            assert got["value"] == pytest.approx(max(want)) and want[got["trial"]] == pytest.approx(max(want)), (metric, side)
+            assert got["weights"] == pytest.approx(list(w[got["trial"]]))
+
+
+def test_records_equal_a_plain_loop(spark):
+    """Ten thousand trials, accepted one after the other if the mean rises and the gap does not."""
+    trials = 10_000
+    rows = search_rows(60, 3, 9)
+    test = [k % 3 == 0 for k in range(len(rows))]
+    frame = spark.createDataFrame([(p, int(v > 0 and not t), int(not t), int(v > 0 and t), int(t)) for (p, v), t in zip(rows, test)],
+                                  "points array<double>, p_train int, n_train int, p_test int, n_test int")
+    sides = [search.Side("train", "p_train", "n_train"), search.Side("test", "p_test", "n_test")]
+    got = search.Search(frame, 3, 0.0, 10.0, seed=2, sides=sides).records(trials, bins=64).orderBy("ord").collect()
+    w = search.trial_weights(range(trials), 3, 0.0, 10.0, 2)
+    parts = []
+    for part in (False, True):
+        all_ = [v > 0 for (p, v), t in zip(rows, test) if t == part]
+        known = [(p, v > 0) for (p, v), t in zip(rows, test) if t == part and p is not None]
+        parts.append((np.array([p for p, _ in known]), np.array([x for _, x in known]), (sum(all_), len(all_) - sum(all_))))
+    want, top, gap = [], -1.0, np.inf
+    for k in range(trials):
+        a, b = (best_metric(np.round(p @ w[k], 9), t, c, "accuracy") for p, t, c in parts)
+        mean, apart = round((a + b) / 2, 12), round(abs(a - b) / abs((a + b) / 2), 12)
+        if mean > top and apart <= gap:
+            top, gap = mean, apart
+            want.append((k, pytest.approx(a), pytest.approx(b)))
+    assert [(r["trial"], r["train"], r["test"]) for r in got] == want and len(want) > 2
+
+
+def test_exponential_search_is_exact(spark):
+    rng = random.Random(4)
+    rows = [[round(rng.gauss(0, 1), 2) for _ in range(4)] for _ in range(300)]
+    rows = [(p, math.exp(0.8 * (p[0] + p[1])) + rng.gauss(0, 1)) for p in rows] + [(None, 5.0)]
+    frame = spark.createDataFrame(rows, "points array<double>, value double")
+    rates = (-2.0, -0.5, 0.5, 2.0)
+    points, value = np.array([p for p, _ in rows if p]), np.array([v for p, v in rows if p])
+    w = search.trial_weights(range(200), 4, 0.0, 10.0, 3)
+    lo, hi = points.min(0), points.max(0)
+    want = []
+    for x in w:
+        u = (points @ x - np.minimum(x * lo, x * hi).sum()) / (np.maximum(x * lo, x * hi) - np.minimum(x * lo, x * hi)).sum()
+        want.append(max(np.corrcoef(np.exp(r * u), value)[0, 1] ** 2 for r in rates))
+    run = search.ExponentialSearch(frame, 4, rates, 0.0, 10.0, seed=3)
+    for bins in (4, 64):
+        for r in run.bounds(run.every(200), bins).collect():
+            assert r["low"] - 1e-9 <= want[r["trial"]] <= r["high"] + 1e-9
+    got = run.best(200, bins=(8, 64)).first()
+    assert got["value"] == pytest.approx(max(want)) and got["trial"] == int(np.argmax(want))
+    flat = spark.createDataFrame([([1.0], 2.0)] * 3, "points array<double>, value double")
+    assert search.ExponentialSearch(flat, 1, rates).best(5).count() == 0
+
+
+def test_search_without_any_cut(spark):
+    none = spark.createDataFrame([], "points array<double>, truth boolean")
+    assert search.Search(none, 3).best(10).count() == 0
+    banned = spark.createDataFrame([(None, True), (None, False)], "points array<double>, truth boolean")
+    assert search.Search(banned, 3).best(10).count() == 0
+
+
+def test_methods_learn_weights_of_their_own(spark, peptides):
+    from motifspark.plans import training_plan
+
+    for method in ("ps", "wps", "suboptimal"):
+        model, _, weights, report = training_plan.train_conditional(peptides, trials=40, method=method)
+        assert model.method == method and report.count() == 1
+        assert weights["positive"] != weights["suboptimal"]
+        if method == "wps":
+            assert weights["positive"] == weights["binding"]
+        if method == "suboptimal":
+            assert set(weights["positive"]) == {0.0}
+
+
 # ---- p-values ------------------------------------------------------------------------------------------------
 
 def test_student_p_known_values():
