@@ -347,8 +347,6 @@ def copy_column(target, source, pos, kinds=("positive", "suboptimal", "forbidden
 
 def rule_regressions(peptides, cells, ignore_failed=True):
     """ln(signal + 1) on the members' own points: one slope on the sum, and all positions at once."""
-    import pandas as pd
-
     n = K.MOTIF_LENGTH
     rows = cells.withColumn("_k", (F.col("pos") - 1) * 26 + S.letter_index(F.col("aa")))
     table = rows.groupBy(*RULE).agg(F.map_from_entries(F.collect_list(F.struct("_k", "positive"))).alias("_m"))
@@ -371,23 +369,42 @@ def rule_regressions(peptides, cells, ignore_failed=True):
         F.array(*[F.sum(xs[i] * xs[j]) for i in range(n) for j in range(i, n)]).alias("sxx"),
     )
 
-    @F.pandas_udf("double")
-    def fit(count: pd.Series, ys: pd.Series, sx: pd.Series, sxy: pd.Series, sxx: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        up = np.triu_indices(n)
-        for c, y, a, b, q in zip(count, ys, sx, sxy, sxx):
-            a, b = np.asarray(a), np.asarray(b)
-            s = np.zeros((n, n))
-            s[up] = q
-            s = s + np.triu(s, 1).T - np.outer(a, a) / c
-            v = b - a * y[0] / c
-            sst = y[1] - y[0] ** 2 / c
-            out.append(float(v @ np.linalg.pinv(s, rcond=1e-10) @ v / sst) if sst > 0 else None)
-        return pd.Series(out, dtype="float64")
-
-    return moments.select(*RULE, "n_rows", "slope", "intercept", "sum_r2", fit("n_rows", "ys", "sx", "sxy", "sxx").alias("multi_r2"))
+    return moments.select(*RULE, "n_rows", "slope", "intercept", "sum_r2", explained_share(n, "n_rows", "ys", "sx", "sxy", "sxx").alias("multi_r2"))
+
+
+def explained_share(n, count, ys, sx, sxy, sxx):
+    """R2 of a linear fit on n columns, from their moments, as a column expression; null where y does not vary.
+
+    The centred moments of the columns and of y are one symmetric matrix, kept as a flat array. Eliminating a column takes
+    out of every other what it explains; what is left of y in the end is the residual. The largest remaining pivot goes
+    first, and a column whose remaining square is under 1e-10 of its own is a combination of the others and is passed.
+    """
+    wide, c = n + 1, F.col
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    at = {pair: k for k, pair in enumerate(upper)}
+
+    def cell(i, j):
+        i, j = min(i, j), max(i, j)
+        if j < n:
+            return c(sxx)[at[i, j]] - c(sx)[i] * c(sx)[j] / c(count)
+        return c(ys)[1] - c(ys)[0] * c(ys)[0] / c(count) if i == n else c(sxy)[i] - c(sx)[i] * c(ys)[0] / c(count)
+
+    matrix = F.array(*[cell(i, j) for i in range(wide) for j in range(wide)])
+    places = F.sequence(F.lit(0), F.lit(wide * wide - 1))
+    least = F.array(*[F.greatest(1e-10 * cell(i, i), F.lit(1e-300)) for i in range(n)])
+
+    def eliminate(state):
+        m, left = state["m"], state["left"]
+        best = F.array_max(F.transform(left, lambda i: F.struct(F.get(m, i * wide + i).alias("v"), (-i).alias("i"))))
+        k = -best["i"]
+        pivot = best["v"]
+        cleared = F.transform(places, lambda p: F.get(m, p) - F.get(m, F.floor(p / wide).cast("int") * wide + k) * F.get(m, k * wide + p % wide) / pivot)
+        return F.struct(F.when(pivot > F.get(least, k), cleared).otherwise(m).alias("m"), F.array_remove(left, k).alias("left"))
+
+    start = F.struct(matrix.alias("m"), F.sequence(F.lit(0), F.lit(n - 1)).alias("left"))
+    rest = F.get(F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda state, _: eliminate(state))["m"], F.lit(wide * wide - 1))
+    whole = cell(n, n)
+    return F.when(whole > 0, 1 - F.greatest(rest, F.lit(0.0)) / whole)
 
 
 def exact_forbidden(peptides, alpha=0.2, threshold=K.FORBIDDEN_THRESHOLD):

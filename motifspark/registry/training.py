@@ -150,11 +150,29 @@ def m16(spark, sf):
     return out.select(*RULE, "n_rows", *[(F.round(c, 5) + 0.0).alias(c) for c in ("slope", "intercept", "sum_r2")])
 
 
-@register("m16_rule_regressions_multivariate")
+MULTIVARIATE_SQL = f"""WITH RECURSIVE {PWM},
+x AS (SELECT m.rule_class, m.rule_pos, m.peptide_id, list(c.positive ORDER BY m.pos) || [ln(any_value(m.signal) + 1)] AS v
+  FROM (SELECT *, unnest(range(1, 16)) AS pos FROM mem WHERE passes) m
+  JOIN rulem_cell c ON c.rule_class = m.rule_class AND c.rule_pos = m.rule_pos AND c.pos = m.pos AND c.aa = substr(m.seq, m.pos, 1)
+  GROUP BY 1, 2, 3),
+mom AS (SELECT rule_class, rule_pos, i, j, count(*) AS n, sum(v[i] * v[j]) - sum(v[i]) * sum(v[j]) / count(*) AS s
+  FROM x, range(1, 17) a(i), range(1, 17) b(j) GROUP BY 1, 2, 3, 4),
+start AS (SELECT rule_class, rule_pos, any_value(n) AS n_rows, list(s ORDER BY i, j) AS m, list(greatest(1e-10 * s, 1e-300) ORDER BY i) FILTER (WHERE i = j) AS least FROM mom GROUP BY 1, 2),
+el AS (SELECT rule_class, rule_pos, n_rows, m, least, range(1, 16) AS rest, list_aggregate([{", ".join(f"{{'v': m[{17 * i - 16}], 'i': {-i}}}" for i in range(1, 16))}], 'max') AS best FROM start
+  UNION ALL
+  SELECT rule_class, rule_pos, n_rows, m, least, rest, list_aggregate(list_transform(rest, lambda i: {{'v': m[17 * i - 16], 'i': -i}}), 'max') FROM (
+    SELECT rule_class, rule_pos, n_rows, least, list_filter(rest, lambda i: i <> -best.i) AS rest,
+      CASE WHEN best.v > least[-best.i] THEN list_transform(range(0, 256), lambda p: m[p + 1] - m[(p // 16) * 16 - best.i] * m[(-best.i - 1) * 16 + p % 16 + 1] / best.v) ELSE m END AS m
+    FROM el WHERE len(rest) > 0))
+SELECT rule_class, rule_pos, n_rows, CASE WHEN s.m[256] > 0 THEN round(1 - greatest(el.m[256], 0) / s.m[256], 6) + 0.0 END AS multi_r2
+FROM el JOIN start s USING (rule_class, rule_pos, n_rows) WHERE len(rest) = 0"""
+
+
+@register("m16_rule_regressions_multivariate", MULTIVARIATE_SQL)
 def m16_multi(spark, sf):
     p = fx.peptides(spark, sf)
     t = T.Training(p)
-    return T.rule_regressions(p, t.cells(t.baseline)).select(*RULE, "n_rows", r9(F.col("multi_r2")).alias("multi_r2"))
+    return T.rule_regressions(p, t.cells(t.baseline)).select(*RULE, "n_rows", (F.round("multi_r2", 6) + 0.0).alias("multi_r2"))
 
 
 @register("m17_column_copy", f"""
