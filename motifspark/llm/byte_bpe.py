@@ -17,9 +17,11 @@ import sys
 import unicodedata
 from itertools import accumulate
 from operator import eq
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motifspark.llm.fill_middle import slices
-from motifspark.llm.text import STEP, mix, raw_column
+from motifspark.llm.text import STEP, mix
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Bytes of text whose pre-tokens are resolved together; merged pre-tokens and their bytes that a task remembers.
-SLICE, CACHE, REMEMBERED = 4 << 20, 200_000, 64
+#: Bytes of text whose pre-tokens are resolved together; ids that are decoded together.
+SLICE, DECODED = 2 << 20, 1 << 20
+#: Merged pre-tokens that a worker remembers in each of two generations, and the longest of them in bytes.
+CACHE, REMEMBERED = 250_000, 64
 #: Keys per bucket of the perfect hash, and displacements tried at once.
 BUCKET, TRIES = 4, 128
 
@@ -116,19 +120,28 @@ class Vocabulary:
         for token, slot in zip(ranks, self.hash.slots(list(ranks)).tolist()):
             self.tokens[slot] = token
 
+    def encoder(self):
+        """The worker's encoder; a broadcast vocabulary keeps it, with what it has merged, from task to task."""
+        if not hasattr(self, "kept"):
+            self.kept = Encoder(self)
+        return self.kept
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
 
 class Encoder:
-    """Encoder of a task."""
+    """Encoder of a worker."""
 
     def __init__(self, vocabulary):
         self.vocabulary = vocabulary
         self.ranks, self.tokens = vocabulary.ranks, vocabulary.tokens
-        self.longest = max(map(len, self.tokens))
+        self.first = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.cut = regex.compile(vocabulary.pattern).findall
         newer = vocabulary.newer
         self.late = re.compile(f"[{min(newer)}-{max(newer)}]").search if newer else lambda text: None
         self.signs = dict.fromkeys(map(ord, newer), "\ue000")
-        self.merged = {}
+        self.merged, self.older = {}, {}
 
     def pieces(self, text):
         """Pre-tokens of a text; letters that the library does not know yet are cut as the signs they are to it."""
@@ -139,35 +152,33 @@ class Encoder:
 
     def merge(self, raw):
         """Ids of a pre-token that is no token itself."""
-        rank, longest, n = self.ranks.get, self.longest, len(raw)
+        rank, n = self.ranks.get, len(raw)
+        pop, push = heapq.heappop, heapq.heappush
         end = list(range(1, n + 1))  # of the part that begins here
         before = list(range(-1, n))  # begin of the part that ends here, at the begin of the next
-        current = [rank(raw[i : i + 2], -1) for i in range(n - 1)] + [-1]  # of a part and the next one
+        current = [self.first[a << 8 | b] for a, b in zip(raw, raw[1:])]  # rank of a part and the next one
+        current.append(-1)
         heap = [r << 40 | i for i, r in enumerate(current) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            top = heapq.heappop(heap)
-            r, i = top >> 40, top & (1 << 40) - 1
-            if current[i] != r:
+            top = pop(heap)
+            i = top & 0xFFFFFFFFFF
+            if current[i] != top >> 40:
                 continue  # its parts have grown since
             j = end[i]
             end[i] = after = end[j]
-            current[j] = -1
-            new = -1
+            current[j] = new = -1
             if after < n:
                 before[after] = i
-                far = end[after]
-                if far - i <= longest:
-                    new = rank(raw[i:far], -1)
-                    if new >= 0:
-                        heapq.heappush(heap, new << 40 | i)
+                new = rank(raw[i : end[after]], -1)
+                if new >= 0:
+                    push(heap, new << 40 | i)
             current[i] = new
             p = before[i]
             if p >= 0:
-                new = rank(raw[p:after], -1) if after - p <= longest else -1
-                current[p] = new
+                current[p] = new = rank(raw[p:after], -1)
                 if new >= 0:
-                    heapq.heappush(heap, new << 40 | p)
+                    push(heap, new << 40 | p)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[raw[i : end[i]]])
@@ -179,19 +190,22 @@ class Encoder:
         pieces = list(pieces)
         raws = [p.encode() for p in pieces]
         slots = self.vocabulary.hash.slots(raws).tolist()
-        out, kept = {}, self.merged
+        out, kept, older = {}, self.merged, self.older.get
         for piece, raw, whole in zip(pieces, raws, map(eq, raws, map(self.tokens.__getitem__, slots))):
             if whole:
                 out[piece] = self.ranks[raw].to_bytes(4, "little")
                 continue
-            ids = kept.get(raw)
+            ids = kept.get(piece)
             if ids is None:
-                ids = np.array(self.merge(raw), "<i4").tobytes()
+                ids = older(piece)
+                if ids is None:
+                    merged = self.merge(raw)
+                    ids = pack(f"<{len(merged)}i", *merged)
                 if len(raw) <= REMEMBERED:
-                    if len(kept) >= CACHE:
-                        kept.clear()
-                    kept[raw] = ids
+                    kept[piece] = ids
             out[piece] = ids
+        if len(kept) > CACHE:  # what is still used comes back from the older generation
+            self.merged, self.older = {}, kept
         return out
 
     def encode(self, texts):
@@ -212,7 +226,7 @@ def encode(docs, ranks=RANKS, pattern=public_tokenizers.PATTERN, keep=("doc_id",
     vocabulary, keep = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks), pattern)), list(keep)
 
     def run(batches):
-        encoder = Encoder(vocabulary.value)
+        encoder = vocabulary.value.encoder()
         for batch in batches:
             text = batch.column(len(keep))
             for at, to in slices(text, SLICE):
@@ -224,19 +238,51 @@ def encode(docs, ranks=RANKS, pattern=public_tokenizers.PATTERN, keep=("doc_id",
     return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+class Tokens:
+    """The bytes of all tokens as one array, found by id."""
+
+    def __init__(self, ranks):
+        self.start = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
+        self.length = np.zeros(len(self.start), np.int64)
+        self.flat = np.frombuffer(b"".join(ranks), np.uint8)
+        at = np.cumsum([0, *map(len, ranks)])
+        ids = np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.start[ids], self.length[ids] = at[:-1], np.diff(at)
+
+    def text(self, ids):
+        """The bytes of an array of ids, and where each id begins and ends in them."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.start) or (self.start[ids] < 0).any()):
+            raise ValueError("an id is not in the vocabulary")
+        length = self.length[ids]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends[:-1], length)], ends
+
+
 def decode(rows, ranks=RANKS, keep=("doc_id",)):
     """`keep` columns of every row with the bytes of its `ids` as `decoded`; null ids give null, no ids no bytes.
 
-    An id that is not in the vocabulary is an error.
+    An id that is not in the vocabulary, or null within a row, is an error.
     """
-    tokens = {rank: token for token, rank in read_ranks(ranks).items()}
-    shared, keep = rows.sparkSession.sparkContext.broadcast(tokens), list(keep)
+    shared, keep = rows.sparkSession.sparkContext.broadcast(Tokens(read_ranks(ranks))), list(keep)
 
     def run(batches):
-        text = shared.value.__getitem__
+        tokens = shared.value
         for batch in batches:
-            out = [None if ids is None else b"".join(map(text, ids)) for ids in raw_column(batch, "ids")]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(out, pa.binary())], names=[*keep, "decoded"])
+            column = batch.column(len(keep))
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, at = np.cumsum(size), 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
+                some = column.slice(at, to - at)
+                flat, ids = some.flatten(), np.concatenate([[0], np.cumsum(size[at:to])])
+                if flat.null_count:
+                    raise ValueError("an id is null")
+                text, places = tokens.text(flat.to_numpy(zero_copy_only=False))
+                bounds = places[ids].astype(np.int32)
+                whole = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(bounds), pa.py_buffer(text)])
+                decoded = pc.if_else(some.is_null(), pa.scalar(None, pa.binary()), whole) if some.null_count else whole
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, to - at) for i in range(len(keep))] + [decoded], names=[*keep, "decoded"])
+                at = to
 
     picked = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "ids")
     return picked.mapInArrow(run, T.StructType([rows.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())]))
