@@ -31,35 +31,55 @@ def score_table(scores):
     return [scores.get((chr(65 + i), chr(65 + j)), 0.0) for i in range(26) for j in range(26)]
 
 
+#: Windows that are scored together.
+WINDOWS = 1 << 20
+
+
 def _align(table, weights, n):
-    """Arrow-batched alignment of one motif with one target: windows are sums of shifted table rows."""
+    """Arrow-batched alignment of motifs with targets: all windows of a batch at once, position by position."""
     w = np.asarray(weights, dtype=float)
     rows = np.zeros((27, 27))
     rows[:26, :26] = np.asarray(table, dtype=float).reshape(26, 26)
     code = np.full(256, 26)
     code[65:91] = np.arange(26)
 
-    def letters(text):
-        return code[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
+    def letters(texts):
+        return code[np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8)]
+
+    def best(motifs, targets, sizes):
+        """First best window of each pair and its score; every target has a window."""
+        m, t = letters(motifs).reshape(-1, n), letters(targets)
+        windows = sizes - n + 1
+        pair = np.repeat(np.arange(len(sizes)), windows)
+        ends = np.cumsum(windows)
+        start = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
+        at = start + np.repeat(np.cumsum(sizes) - sizes, windows)
+        total = np.zeros(len(at))
+        for j in range(n):
+            total += rows[m[pair, j], t[at + j]] * w[j]
+        total = np.round(total / w.sum(), 9)
+        top = np.maximum.reduceat(total, ends - windows)
+        first = np.flatnonzero(total == top[pair])
+        return start[first[np.searchsorted(pair[first], np.arange(len(sizes)))]], top
 
     @F.pandas_udf(MATCH)
     def align(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
-        starts, best = [], []
-        for m, t in zip(motif, target):
-            if not m or not t or len(m) != n or len(t) < n:
-                starts.append(0)
-                best.append(0.0)
-                continue
-            ms, ts = letters(m), letters(t)
-            size = len(ts) - n + 1
-            total = np.zeros(size)
-            for j in range(n):
-                total += rows[ms[j]][ts[j:j + size]] * w[j]
-            total = np.round(total / w.sum(), 9)
-            at = int(np.argmax(total))
-            starts.append(at + 1)
-            best.append(float(total[at]))
-        return pd.DataFrame({"start": starts, "similarity": best})
+        # a batch scores equal pairs once
+        pairs = pd.DataFrame({"motif": motif.fillna("").to_numpy(), "target": target.fillna("").to_numpy()})
+        number, found = pairs.groupby(["motif", "target"], sort=False).ngroup().to_numpy(), pairs.drop_duplicates()
+        motifs, targets = found["motif"].to_numpy(), found["target"].to_numpy()
+        sizes = np.array([len(t) for t in targets], np.int64)
+        known = np.flatnonzero((np.array([len(m) for m in motifs], np.int64) == n) & (sizes >= n))
+        starts, scores = np.zeros(len(found), np.int64), np.zeros(len(found))
+        ends = np.cumsum(sizes[known])
+        at = 0
+        while at < len(known):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WINDOWS, "right")))
+            some = known[at:to]
+            begin, score = best(motifs[some], targets[some], sizes[some])
+            starts[some], scores[some] = begin + 1, score
+            at = to
+        return pd.DataFrame({"start": starts[number].astype(np.int32), "similarity": scores[number]})
 
     return align
 

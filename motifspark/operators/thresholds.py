@@ -1,15 +1,17 @@
 """Threshold statistics: sweeps over every score, rates at fixed thresholds, confusion reports."""
 
-import itertools
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motifspark.operators.running import running_totals
 
 ALL = "_all"
+#: Weight combinations of a block of the grid.
+GRID = 1 << 14
 
 
 def sweep(df, score, truth, keys=()):
@@ -155,31 +157,59 @@ def rate_pair(rate_rows, divergence=0.2, or_none=True):
     return best.select("b.*")
 
 
-def grid_hits(rows, choices, values, cut, truth="truth", times="n", block=4096):
+def gray_digits(numbers, radices):
+    """Digits of numbers in reflected Gray order, first place slowest: from one number to the next one digit moves by one."""
+    numbers = np.asarray(numbers, np.int64)
+    digits = np.empty((len(numbers), len(radices)), np.int64)
+    for k, radix in enumerate(radices):
+        size = math.prod(radices[k + 1 :])
+        digit, before = numbers // size % radix, numbers // (size * radix)
+        digits[:, k] = np.where(before % 2, radix - 1 - digit, digit)
+    return digits
+
+
+def grid_hits(rows, choices, values, cut, truth="truth", times="n", block=None):
     """(w1, w2, ..., hits) of every weight combination: rows whose weighted sum of `values` reaches `cut` as their truth says.
 
-    Rows should be combined before, with their count in `times`. The grid is made in blocks within the tasks and only its
-    hits leave them, so neither the grid nor rows times grid are ever tables.
+    Equal rows are combined, with their count in `times`, and packed into blocks; every block meets every block of the
+    grid as a row. A block of the grid is walked in Gray order, where one weight changes from one combination to the next:
+    the sums are changed by that weight's step, not computed anew. Counts leave a task once per combination and block of rows;
+    a block of the grid has `block` combinations at most.
     """
-    names = [f"w{i}" for i in range(1, len(choices) + 1)]
+    from motifspark.operators.search import STRIP, packed, unpacked
+
+    radices, n = [len(c) for c in choices], len(choices)
+    total = math.prod(radices)
+    names = [f"w{i}" for i in range(1, n + 1)]
+    n_pos, n_neg = F.when(F.col(truth), F.col(times)).otherwise(0).alias("pos"), F.when(~F.col(truth), F.col(times)).otherwise(0).alias("neg")
+    blocks, n_blocks, _ = packed(rows.select(F.array(*[F.col(v).cast("double") for v in values]).alias("points"), n_pos, n_neg), ["pos", "neg"], n)
+    spark = rows.sparkSession
+    step = max(1, min(block or GRID, -(-total * n_blocks // (2 * spark.sparkContext.defaultParallelism))))
+    met = blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(step)))).repartition(2 * spark.sparkContext.defaultParallelism)
 
     def sweep(batches):
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        x = np.concatenate([b[list(values)].to_numpy(dtype=float) for b in parts])
-        good = np.concatenate([b[truth].to_numpy(dtype=bool) for b in parts])
-        n = np.concatenate([b[times].to_numpy(dtype=np.int64) for b in parts])
-        grid = itertools.product(*choices)
-        while some := list(itertools.islice(grid, block)):
-            w = np.array(some, dtype=float)
-            hits = np.zeros(len(w), np.int64)
-            for at in range(0, len(x), 512):
-                called = np.round(x[at:at + 512] @ w.T, 9) >= cut
-                hits += ((called == good[at:at + 512, None]) * n[at:at + 512, None]).sum(axis=0)
-            yield pd.DataFrame({**{name: w[:, i] for i, name in enumerate(names)}, "hits": hits})
-
-    found = rows.select(*values, truth, times).mapInPandas(sweep, ", ".join(f"{n} double" for n in names) + ", hits long")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                points, (pos, neg) = unpacked(batch.column(0).slice(k, 1), n, 2)
+                first = batch.column(1)[k].as_py()
+                digits = gray_digits(np.arange(first, min(first + step, total)), radices)
+                weights = np.stack([np.asarray(c, float)[digits[:, i]] for i, c in enumerate(choices)], axis=1)
+                change = np.diff(weights, axis=0)
+                moved = np.argmax(np.diff(digits, axis=0) != 0, axis=1) if len(digits) > 1 else np.empty(0, np.int64)
+                by = change[np.arange(len(moved)), moved]
+                hits = np.full(len(weights), neg.sum())
+                for at in range(0, len(points), STRIP):
+                    column = np.ascontiguousarray(points[at : at + STRIP].T)
+                    gain = (pos - neg)[at : at + STRIP]
+                    # nine digits decide, so that sums in another order are equal sums
+                    score = weights[0] @ column - (cut - 5e-10)
+                    hits[0] += gain[score >= 0].sum()
+                    for c, (place, d) in enumerate(zip(moved.tolist(), by.tolist()), start=1):
+                        score += d * column[place]
+                        hits[c] += gain @ (score >= 0)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(x)) for x in weights.T], pa.array(np.rint(hits).astype(np.int64))], names=[*names, "hits"])
+
+    found = met.select("rows", "first").mapInArrow(sweep, ", ".join(f"{x} double" for x in names) + ", hits long")
     return found.groupBy(*names).agg(F.sum("hits").alias("hits"))
 
 

@@ -1,5 +1,8 @@
 """Program 1: from measured cells to a saved model."""
 
+import hashlib
+import inspect
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -81,6 +84,28 @@ def train_conditional(peptides: DataFrame, weights=None, trials=0, seed=1, metho
     return model, matrices, weights, report
 
 
+def model_key(peptides, settings):
+    """Digest of the training rows and of all settings, given or by default."""
+    names = inspect.signature(train_conditional).parameters
+    known = {k: p.default for k, p in names.items() if p.default is not inspect.Parameter.empty} | settings
+    text = json.dumps([sinks.table_digest(peptides), known], sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def train_or_load(folder, peptides, **settings):
+    """(model, whether it was there): the stored model of equal rows and settings, else one trained, saved and listed now."""
+    spark, key = peptides.sparkSession, model_key(peptides, settings)
+    path = sinks.published(spark, folder, key)
+    if path is not None:
+        return load(spark, path), True
+
+    def write(path):
+        model, matrices, weights, _ = train_conditional(peptides, **settings)
+        save(path, matrices, weights, model)
+
+    return load(spark, sinks.publish(spark, folder, key, write)), False
+
+
 def search_points(unweighted, seq, method, binding):
     """(points, banned): the columns that a method's total is a weighted sum of, and whether a peptide is never called.
 

@@ -123,6 +123,23 @@ def s11(spark, sf):
     return model.score(p).select("peptide_id", r9(F.col("total")).alias("total"))
 
 
+@register("s11_reused_model", f"""WITH {fx.PEPTIDE_SQL}, p AS (SELECT count(*) AS n FROM peptide)
+SELECT unnest(['first', 'again', 'one row more']) AS training, unnest([false, true, false]) AS reused, unnest([n, n, n + 1]) AS n, 0 AS differing FROM p""")
+def s11_reused(spark, sf):
+    """The second training with equal rows reads the first one's model; a further row trains anew."""
+    p, folder = materialize(fx.peptides(spark, sf), "peptides"), scratch_path(spark, "models")
+    more = p.unionByName(p.orderBy("peptide_id").limit(1))
+    out, first = None, None
+    for no, (name, rows) in enumerate((("first", p), ("again", p.repartition(3)), ("one row more", more))):
+        model, reused = training_plan.train_or_load(folder, rows, test_share=0.0)
+        scores = model.score(p.withColumn("motif", S.plain(F.col("seq")))).select("peptide_id", "total")
+        first = scores if first is None else first
+        other = F.lit(0) if no != 1 else scores.exceptAll(first).agg(F.count("*").cast("int")).scalar()
+        row = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("training"), F.lit(reused).alias("reused"), "n", other.alias("differing"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("p02_total_score", f"WITH {SCORES} SELECT peptide_id, {', '.join(f'{q9(k)} AS {k}' for k in ('ps', 'wps', 'sub'))} FROM scored")
 def p02(spark, sf):
     p = peptides_plain(spark, sf)

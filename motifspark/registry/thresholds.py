@@ -71,10 +71,27 @@ CHOICES = [[0.0, 1.0, 2.0], [0.5, 1.0], [0.0, 3.0]]
 x AS (SELECT passes, length(replace(motif, 'S', '')) AS s, length(replace(motif, 'L', '')) AS l, length(replace(motif, 'K', '')) AS k FROM pl)
 SELECT w1, w2, w3, count(*) FILTER (WHERE (w1 * s + w2 * l + w3 * k >= 50) = passes) AS hits FROM x, g1, g2, g3 GROUP BY 1, 2, 3""")
 def t06(spark, sf):
+    return grid_rows(spark, sf, CHOICES)
+
+
+def grid_rows(spark, sf, choices):
     m = S.plain(F.col("seq"))
     lengths = [F.length(F.replace(m, F.lit(a), F.lit(""))).alias(n) for n, a in (("s", "S"), ("l", "L"), ("k", "K"))]
     x = fx.peptides(spark, sf).select("passes", *lengths).groupBy("passes", "s", "l", "k").agg(F.count("*").alias("n"))
-    return H.grid_hits(x, CHOICES, ("s", "l", "k"), 50, "passes")
+    return H.grid_hits(x, choices, ("s", "l", "k"), 50, "passes")
+
+
+FINE = [[round(0.07 * i, 2) for i in range(100)], [round(0.5 + 0.03 * i, 2) for i in range(100)], [round(3 - 0.05 * i, 2) for i in range(100)]]
+
+
+@register("t06_fine_weight_grid", f"""WITH {ROWS}, {", ".join(f"g{i} AS (SELECT unnest({c}::DOUBLE[]) AS w{i})" for i, c in enumerate(FINE, 1))},
+x AS (SELECT passes, length(replace(motif, 'S', '')) AS s, length(replace(motif, 'L', '')) AS l, length(replace(motif, 'K', '')) AS k, count(*) AS n FROM pl GROUP BY ALL),
+h AS (SELECT w1, w2, w3, sum(n) FILTER (WHERE (round(w1 * s + w2 * l + w3 * k, 9) >= 50) = passes)::BIGINT AS hits FROM x, g1, g2, g3 GROUP BY 1, 2, 3)
+SELECT hits, count(*) AS combinations, min(w1) AS w1, max(w2) AS w2, min(w3) AS w3 FROM h GROUP BY 1""")
+def t06_fine(spark, sf):
+    """How many of a million combinations have so many hits, and how far their weights reach."""
+    hits = grid_rows(spark, sf, FINE)
+    return hits.groupBy("hits").agg(F.count("*").alias("combinations"), F.min("w1").alias("w1"), F.max("w2").alias("w2"), F.min("w3").alias("w3"))
 
 
 @register("r01_class_signals", f"""WITH {CALLS} SELECT call_type, count(signal) AS n, {q6("avg(signal)")} AS mean, {q6("stddev_samp(signal)")} AS std

@@ -1,5 +1,8 @@
 """File sinks. Every write is a distributed write into a folder."""
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from motifspark import constants as K
@@ -57,3 +60,30 @@ def load_model(spark, path):
         weights.setdefault(r["kind"], []).append(r["w"])
     params = {r["name"]: r["value"] if r["text"] is None else r["text"] for r in spark.read.parquet(f"{path}/model_param").collect()}
     return spark.read.parquet(f"{path}/pwm"), weights, params
+
+
+def table_digest(df):
+    """Text that stands for the rows of a table, whatever their order and partitions; equal rows count each time."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    whole = [F.sum(F.xxhash64(row, F.lit(k)).cast("decimal(20,0)")).cast("string") for k in (1, 2)]
+    kinds = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema, key=lambda f: f.name))
+    return "|".join([kinds, *map(str, df.agg(F.count("*"), *whole).first())])
+
+
+def published(spark, folder, key):
+    """Where the model of a key is, or null. A manifest is written after its model, so a listed model is whole."""
+    try:
+        found = spark.read.schema("key string, model string").json(f"{folder}/manifests/{key}").filter(F.col("key") == key).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return found[0]["model"] if found else None
+
+
+def publish(spark, folder, key, write):
+    """Calls ``write`` with a folder of its own for a new model and lists it under the key when it is written."""
+    model = f"{folder}/models/{uuid.uuid4().hex}"
+    write(model)
+    spark.createDataFrame([(key, model)], "key string, model string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifests/{key}")
+    return model

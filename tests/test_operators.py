@@ -362,6 +362,61 @@ def test_exponential_search_is_exact(spark):
     assert search.ExponentialSearch(flat, 1, rates).best(5).count() == 0
 
 
+def test_gray_order_changes_one_digit():
+    for radices in ([3, 2, 2], [2, 5, 1, 3], [4], [1, 1]):
+        total = math.prod(radices)
+        digits = H.gray_digits(np.arange(total), radices)
+        assert len({tuple(d) for d in digits}) == total and (digits < radices).all() and (digits >= 0).all()
+        assert (np.abs(np.diff(digits, axis=0)).sum(axis=1) == 1).all()
+        assert (H.gray_digits(np.arange(total // 2, total), radices) == digits[total // 2 :]).all()
+
+
+def test_grid_in_blocks_equals_every_combination(spark, monkeypatch):
+    monkeypatch.setattr(H, "GRID", 7)
+    monkeypatch.setattr(search, "ROWS", 20)
+    monkeypatch.setattr(search, "STRIP", 9)
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 9), rng.randint(0, 9), rng.random() < 0.4, rng.randint(1, 3)) for _ in range(120)]
+    choices = [[0.0, 0.7, 1.1, 2.0], [0.1, 0.2, 0.3], [1.0]]
+    frame = spark.createDataFrame(rows, "a int, b int, truth boolean, n int").withColumn("c", F.lit(0.3))
+    got = {(r.w1, r.w2, r.w3): r.hits for r in H.grid_hits(frame, choices, ("a", "b", "c"), 4.0).collect()}
+    want = {(x, y, z): sum(n for a, b, t, n in rows if (round(x * a + y * b + z * 0.3, 9) >= 4.0) == t) for x in choices[0] for y in choices[1] for z in choices[2]}
+    assert got == want
+    assert H.grid_hits(frame.filter("false"), choices, ("a", "b", "c"), 4.0).count() == 0
+
+
+def test_a_model_is_trained_once_for_equal_rows_and_settings(spark, peptides, monkeypatch):
+    from motifspark.plans import training_plan
+
+    folder, trained = scratch_path(spark, "models"), []
+    real = training_plan.train_conditional
+
+    def counted(*a, **k):
+        trained.append(1)
+        return real(*a, **k)
+
+    counted.__signature__ = __import__("inspect").signature(real)
+    monkeypatch.setattr(training_plan, "train_conditional", counted)
+    first, was = training_plan.train_or_load(folder, peptides)
+    again, now = training_plan.train_or_load(folder, peptides.repartition(5).select(*reversed(peptides.columns)))
+    assert (was, now, len(trained)) == (False, True, 1) and again.threshold == first.threshold
+    assert all((again.matrices[k] == first.matrices[k]).all() for k in first.matrices)
+    assert training_plan.train_or_load(folder, peptides, method="suboptimal")[1] is False
+    assert training_plan.train_or_load(folder, peptides.unionByName(peptides.limit(1)))[1] is False
+    assert len(trained) == 3
+    key = training_plan.model_key(peptides, {"seed": 9})
+    with pytest.raises(RuntimeError):  # a training that breaks off lists nothing
+        sinks.publish(spark, folder, key, lambda path: (_ for _ in ()).throw(RuntimeError()))
+    assert sinks.published(spark, folder, key) is None
+
+
+def test_table_digest_sees_rows_and_places_of_nulls(spark):
+    schema = "a string, b string"
+    digest = lambda rows: sinks.table_digest(spark.createDataFrame(rows, schema))
+    assert digest([("x", None), ("y", "z")]) == digest([("y", "z"), ("x", None)])
+    assert len({digest(r) for r in ([("x", None)], [(None, "x")], [("x", None)] * 2, [("x", "x")], [])}) == 5
+
+
 def test_search_without_any_cut(spark):
     none = spark.createDataFrame([], "points array<double>, truth boolean")
     assert search.Search(none, 3).best(10).count() == 0
