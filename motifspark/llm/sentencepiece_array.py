@@ -25,7 +25,9 @@ from motifspark.llm.text import as_batch, raw_column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches a worker remembers in each of two generations, pairs of neighbours it remembers, and characters indexed together.
-CACHE, PAIRS, INDEXED = 120_000, 400_000, 1 << 21
+CACHE, PAIRS, INDEXED = 120_000, 400_000, 1 << 18
+#: Stretches of at most so many bytes are relaxed together.
+TOGETHER = 256
 #: Stretches are found by their first bytes; longer pieces are compared in full.
 HEAD = 16
 
@@ -180,6 +182,36 @@ class Encoder:
             at = before[at]
         return out[::-1]
 
+    def stand(self, keys):
+        """Whether the pairs of pieces stand next to each other; each distinct pair is looked up once."""
+        distinct, where = np.unique(keys, return_inverse=True)
+        known, good = self.pairs, np.empty(len(distinct), bool)
+        for k, key in enumerate(distinct.tolist()):
+            found = known.get(key)
+            good[k] = self.neighbours(key >> 32, key & 0xFFFFFFFF) if found is None else found
+        return good[where]
+
+    def relax_together(self, size, starts, lengths, ids, local):
+        """(last, before) of every place of a text of `size` bytes, from the edges of all its stretches.
+
+        Stretches do not touch each other, and the edges of one start end at different places. So the edges with the same
+        place in their stretch are relaxed at once; an edge with the id -1 passes a character without a piece.
+        """
+        last, before = np.full(size + 1, -1, np.int64), np.full(size + 1, -1, np.int64)
+        before[starts[local == 0]] = starts[local == 0]
+        order = np.argsort(local, kind="stable")
+        starts, ends, ids = starts[order], (starts + lengths)[order], ids[order]
+        cut = np.searchsorted(local[order], np.arange(local.max(initial=-1) + 2))
+        for a, b in zip(cut, cut[1:]):
+            open_ = np.flatnonzero((before[starts[a:b]] >= 0) & (before[ends[a:b]] < 0)) + a
+            previous = last[starts[open_]]
+            pair = np.flatnonzero((previous >= 0) & (ids[open_] >= 0))
+            good = np.ones(len(open_), bool)
+            good[pair] = self.stand(previous[pair] << 32 | ids[open_[pair]])
+            open_ = open_[good]
+            last[ends[open_]], before[ends[open_]] = ids[open_], starts[open_]
+        return last, before
+
     def learn(self, stretches):
         """Encodes new stretches together."""
         raws = [s.encode() for s in stretches]
@@ -195,19 +227,36 @@ class Encoder:
         single = np.zeros(len(text), bool)
         single[starts[lengths == size[starts]]] = True
         missing = character[~single[character]]
-        cut, hole = np.searchsorted(starts, base), np.searchsorted(missing, base)
+        long = np.diff(base) > TOGETHER + 1
         of = np.searchsorted(base, starts, "right") - 1
-        starts, lengths, ids = (starts - base[of]).tolist(), lengths.tolist(), ids.tolist()
+        hole = np.searchsorted(base, missing, "right") - 1
+        edge, gap = ~long[of], ~long[hole]
+        every = [np.concatenate(x) for x in ((starts[edge], missing[gap]), (lengths[edge], size[missing[gap]]), (ids[edge], np.full(gap.sum(), -1)), (of[edge], hole[gap]))]
+        last, before = self.relax_together(len(text), *every[:3], every[0] - base[every[3]])
+        at, begin = base[1:][~long] - 1, base[:-1][~long]
+        ends = np.zeros(len(text) + 1, bool)
+        while len(at):  # back from the end of each stretch
+            ends[at] = True
+            at = before[at]
+            at, begin = at[at > begin], begin[at > begin]
+        ends = np.flatnonzero(ends)
+        pieces = last[ends]
+        cut = np.searchsorted(ends, base)
+        packed, unknown = pieces.astype(np.int32).tobytes(), set((np.searchsorted(cut, np.flatnonzero(pieces < 0), "right") - 1).tolist())
+        edges = np.searchsorted(starts, base)
         for k, (stretch, raw) in enumerate(zip(stretches, raws)):
-            a, b = cut[k], cut[k + 1]
-            gaps = [(int(g - base[k]), int(size[g])) for g in missing[hole[k] : hole[k + 1]]] if hole[k] < hole[k + 1] else ()
-            found = self.relax(len(raw), starts[a:b], lengths[a:b], ids[a:b], gaps)
-            if gaps:
-                ends = [s for s, _ in found[1:]] + [len(raw)]
-                pieces = [i for (s, p), e in zip(found, ends) for i in ([p] if p >= 0 else self.vocabulary.fallback(raw[s:e].decode()))]
+            if long[k]:
+                holes = missing[hole == k]
+                found = self.relax(len(raw), *[x[edges[k] : edges[k + 1]].tolist() for x in (starts - base[k], lengths, ids)],
+                                   [(int(g - base[k]), int(size[g])) for g in holes])
+            elif k in unknown:
+                here = ends[cut[k] : cut[k + 1]] - base[k]
+                found = list(zip([0, *here[:-1].tolist()], pieces[cut[k] : cut[k + 1]].tolist()))
             else:
-                pieces = [p for _, p in found]
-            self.known[stretch] = array("i", pieces).tobytes()
+                self.known[stretch] = packed[4 * cut[k] : 4 * cut[k + 1]]
+                continue
+            stops = [s for s, _ in found[1:]] + [len(raw)]
+            self.known[stretch] = array("i", [i for (s, p), e in zip(found, stops) for i in ([p] if p >= 0 else self.vocabulary.fallback(raw[s:e].decode()))]).tobytes()
 
     def encode(self, texts):
         """Ids of all texts as one array, and the bounds of each text in it."""
