@@ -39,6 +39,11 @@ PICKED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def lettered(words):
+    """Whether any word has a letter; one letter beside other signs, as in m², is enough."""
+    return any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
+
+
 def words_of(text):
     """Runs of letters in lower case."""
     return WORD.findall(text.lower()) if text else []
@@ -182,7 +187,7 @@ class Scores(dict):
 def decide(text, scores, languages, default):
     """(language, share of the likelihood that it has among all languages)."""
     words = words_of(text)
-    if not languages or not any(map(str.isalpha, words)):
+    if not languages or not lettered(words):
         return "und", 0.0
     if len(scores) > CACHE:
         scores.start()
@@ -263,7 +268,7 @@ def split(shared, width):
                     continue
                 done.add(k)
                 words = words_of(text)
-                if not any(map(str.isalpha, words)):
+                if not lettered(words):
                     words = []
                 elif max(map(len, words)) > NAMED:
                     words = list(map(name_of, words))
