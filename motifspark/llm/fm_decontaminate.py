@@ -45,7 +45,7 @@ class Phrases:
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window][::-1]), set()).add(item)
+                owners.setdefault(tuple(ids[i : i + window][::-1]), set()).update(() if item is None else (item,))
         self.shortest = min(map(len, owners), default=window)
         self.owners = [sorted(x) for x in owners.values()]
         layers = [({}, []) for _ in range(window)]
@@ -211,12 +211,12 @@ def cut(batches):
         for item, raw in zip(raw_column(batch, "item_id"), raw_column(batch, "text")):
             words = words_of(raw)
             for i in range(0, max(1, len(words) - WINDOW + 1), PIECE - WINDOW + 1):
-                if item is not None and words[i:]:
+                if words[i:]:
                     piece = b" ".join(words[i : i + PIECE])
                     out.append((item, piece, len(piece)))
         if out:
             item, piece, size = zip(*out)
-            yield as_batch(item_id=list(item), piece=list(piece), size=list(size))
+            yield as_batch(item_id=pa.array(item, pa.string()), piece=list(piece), size=list(size))
 
 
 def decontaminate(docs, benchmark, keep=("doc_id",)):
@@ -224,7 +224,7 @@ def decontaminate(docs, benchmark, keep=("doc_id",)):
 
     Spans are [start, end) word ranges, merged where they overlap or touch, of words inside any occurrence of ten
     consecutive words of an item, or of all words of a shorter item. Null and empty texts have no words. Items without
-    words or with a null id find nothing; items with equal texts are all reported. Repeated rows are answered one by
+    words find nothing, the words of items with a null id are found but no id reported; items with equal texts are all reported. Repeated rows are answered one by
     one, an empty benchmark finds nothing, and extra columns are neither read nor changed.
     """
     spark = docs.sparkSession
