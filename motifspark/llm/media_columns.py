@@ -16,6 +16,8 @@ from motifspark.session import scratch_path
 #: Payloads are padded to a multiple of this: frames of 24 x 24 samples.
 FRAME = 576
 SIDE = 24
+#: Bytes at the end of a payload that its checksum is of.
+TAIL = 32
 
 TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!?[^a-zA-Z/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -156,7 +158,7 @@ def describe(batches):
         out = []
         for stored in raw_column(batch, "media"):
             n, data = samples(stored)
-            out.append((hashlib.sha256(data).hexdigest(), n, len(data), zlib.crc32(data[-FRAME:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(data)))
+            out.append((hashlib.sha256(data).hexdigest(), n, len(data), zlib.crc32(data[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(data)))
         if out:
             ref, *rest = zip(*out)
             yield as_batch(**{k: pa.array(v) for k, v in zip(("ref", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"), (ref, *rest))})

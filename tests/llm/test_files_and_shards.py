@@ -115,7 +115,7 @@ def test_media_values(spark, docs, texts):
         payload = raw + b"\xff" * ((-len(raw)) % 576 or (576 if not raw else 0))
         r = got[i]
         stored = M.image(raw)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-576:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), M.feature(payload)) and M.samples(stored) == (len(raw), payload)
 
 
@@ -205,7 +205,7 @@ def test_pipeline_equals_a_plain_version(spark, sf, tmp_path):
                 merged.append({"start": s, "end": e})
         clean[i] = fm_decontaminate.strip_words(t, merged)
     ratio = secret_scan.train(spark.createDataFrame(list(clean.items()), "doc_id long, text string"))
-    random_ = lambda x: any(map(str.isdigit, x)) and any(map(str.isalpha, x)) and (lambda t, e: t >= secret_scan.TOTAL and e >= secret_scan.EACH)(*secret_scan.judge(x, ratio))
+    random_ = lambda x: (lambda t, e: t >= secret_scan.TOTAL and e >= secret_scan.EACH)(*secret_scan.judge(x, ratio))
     with open(sentencepiece_array.MODEL, "rb") as file:
         encoder = sentencepiece_array.Encoder(sentencepiece_array.Vocabulary(file.read()))
     want = {}
