@@ -20,7 +20,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: Runs are maximal, so asking for the length here finds the same as dropping shorter matches.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Tokens that the models judge: long, and with letters and digits mixed as prose has them rarely.
+#: Tokens that the models judge: runs of sixteen characters at least, of letters, digits or both.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Symbol of each byte; 0 is whatever stands between tokens.
@@ -122,8 +122,6 @@ def scan(docs, ratio, keep=("doc_id",)):
     def run(batches):
         @lru_cache(100_000)
         def random(token):
-            if not (any(map(str.isdigit, token)) and any(map(str.isalpha, token))):
-                return False
             total, each = judge(token, ratio)
             return total >= TOTAL and each >= EACH
 
