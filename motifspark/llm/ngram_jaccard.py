@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from motifspark.llm.graph import components
-from motifspark.llm.text import MIX, as_batch, binary, mix, raw_column, shingle_set
+from motifspark.llm.text import MIX, as_batch, binary, mix, raw_column, shingle_sets
 from motifspark.session import materialize
 
 #: From so many sets on a slot content weighs nothing in each walk; the most frequent `COMMON` contents at most are known to the tasks.
@@ -135,8 +135,7 @@ def signed(values):
 def sets_of(batch):
     """(row, set, identity) of each row; few sets are held at a time."""
     for at in range(0, batch.num_rows, SLICE):
-        for k, raw in enumerate(raw_column(batch.slice(at, SLICE), "text")):
-            shingles = shingle_set(raw)
+        for k, shingles in enumerate(shingle_sets(raw_column(batch.slice(at, SLICE), "text"))):
             yield at + k, shingles, identity(shingles)
 
 
@@ -213,11 +212,11 @@ def compare(batches):
     star = pivot = None
     for batch in batches:
         out = []
-        for p, salt, member, raw in zip(*(raw_column(batch, c) for c in ("p", "salt", "a", "text"))):
+        sets = (s for at in range(0, batch.num_rows, SLICE) for s in shingle_sets(raw_column(batch.slice(at, SLICE), "text")))
+        for p, salt, member, mine in zip(*(raw_column(batch, c) for c in ("p", "salt", "a")), sets):
             if member is None:
-                star, pivot = (p, salt), shingle_set(raw)
+                star, pivot = (p, salt), mine
             elif (p, salt) == star:
-                mine = shingle_set(raw)
                 shared = len(pivot) + len(mine) - len(np.union1d(pivot, mine))
                 out.append((member, p, shared, len(pivot) + len(mine) - shared))
         if out:

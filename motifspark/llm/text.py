@@ -40,12 +40,72 @@ def words_of(raw):
     return raw.lower().split() if raw else []
 
 
-def shingle_set(raw, width=5):
+#: Whether a byte stands between words.
+BETWEEN = np.zeros(256, bool)
+BETWEEN[[0x20, *range(0x09, 0x0E)]] = True
+#: Base of the word hash, its inverse, bytes that are hashed together, and the longest word that is hashed with others.
+BASE, PIECE, SHORT = 0x9E3779B97F4A7C15, 1 << 18, 64
+UNDO = pow(BASE, -1, 1 << 64)
+
+
+def powers(base, n):
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Powers:
+    """Powers of the base and of its inverse, made when a worker first needs them."""
+
+    up = down = None
+
+    @classmethod
+    def get(cls):
+        if cls.up is None:
+            cls.up, cls.down = powers(BASE, PIECE + 1), powers(UNDO, PIECE + 1)
+        return cls.up, cls.down
+
+
+def word_hashes(raws):
+    """Hashes of the words of all texts, one after the other, and the bounds of each text among them.
+
+    A word is a polynomial of its bytes. Running sums over the bytes of many texts give all of them at once; a word over
+    `SHORT` bytes is hashed by itself.
+    """
+    text = b"\n".join([raw or b"" for raw in raws]).lower()
+    buffer = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(buffer) + 2, np.int8)
+    inside[1:-1] = ~BETWEEN[buffer]
+    change = np.diff(inside)
+    start, end = np.flatnonzero(change > 0), np.flatnonzero(change < 0)
+    out = np.empty(len(start), np.uint64)
+    up, down = Powers.get()
+    at = 0
+    while at < len(start):
+        first = start[at]
+        to = max(at + 1, int(np.searchsorted(end, first + PIECE, "right")))
+        if to == at + 1 and end[at] - first > PIECE:
+            out[at], at = 0, to  # a long word
+            continue
+        part = buffer[first : end[to - 1]].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: len(part)]
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(part, out=total[1:])
+        s = start[at:to] - first
+        out[at:to] = mix((total[end[at:to] - first] - total[s]) * down[s])
+        at = to
+    for k in np.flatnonzero(end - start > SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(text[start[k] : end[k]])
+    begin = np.cumsum([0] + [len(raw or b"") + 1 for raw in raws])
+    return out, np.searchsorted(start, begin)
+
+
+def shingles_of(h, width=5):
     """Sorted distinct hashes of `width`-word shingles; fewer words make one shingle of all, no words the empty set."""
-    words = words_of(raw)
-    if not words:
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = hashes(words)
     n = max(1, len(h) - width + 1)
     out = np.full(n, np.uint64(min(len(h), width)), np.uint64)
     for k in range(min(len(h), width)):
@@ -58,6 +118,17 @@ def shingle_set(raw, width=5):
     return out[keep]
 
 
+def shingle_sets(raws, width=5):
+    """The shingle set of each text, in order."""
+    h, bounds = word_hashes(raws)
+    for a, b in zip(bounds, bounds[1:]):
+        yield shingles_of(h[a:b], width)
+
+
+def shingle_set(raw, width=5):
+    return next(shingle_sets([raw], width))
+
+
 def raw_column(batch, name):
     """A binary column of an Arrow batch as a list of bytes or None."""
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from motifspark.llm import graph, ngram_jaccard as J
+from motifspark.llm import text as X
 from motifspark.llm.text import shingle_set
 
 
@@ -119,3 +120,20 @@ def test_components_of_graphs(spark, shape):
             expected[x] = 0 if shape == "both" or x < 1000 else 1000
     assert got == dict(expected)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("piece,short", [(1 << 18, 64), (40, 8)])
+def test_words_of_many_texts_are_hashed_as_one_by_one(texts, piece, short, monkeypatch):
+    monkeypatch.setattr(X, "PIECE", piece)
+    monkeypatch.setattr(X, "SHORT", short)
+    monkeypatch.setattr(X.Powers, "up", None)
+    raws = [t.encode() if t is not None else None for _, t in texts] + [b"A b  a B\tc\x0b\x0c\x1c", b"w" * 70 + b" " + b"W" * 70 + b" " + b"w" * 71, b" ", b""]
+    hashes, bounds = X.word_hashes(raws)
+    words = [w for r in raws for w in (r or b"").lower().split()]
+    assert list(np.diff(bounds)) == [len((r or b"").lower().split()) for r in raws]
+    known = {}
+    for word, h in zip(words, hashes.tolist()):
+        assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+    assert all((a == shingle_set(r)).all() for a, r in zip(X.shingle_sets(raws), raws))
+    assert len(X.word_hashes([])[0]) == 0 and len(X.word_hashes([None, b""])[0]) == 0
