@@ -5,11 +5,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 
-def linearize(pixels, base=1):
-    """Negative values to zero; images with a maximum between 1 and 2 are scaled by it; powers of ``base`` undone."""
+def linearize(pixels, base=1, bright="error"):
+    """Negative values to zero; images with a maximum between 1 and 2 are scaled by it; powers of ``base`` undone.
+
+    A maximum of 2 or more is an error, as such values are no encoding from 0 to 1; with ``bright="scale"`` it scales too.
+    """
     top = pixels.groupBy("image").agg(F.max("v").alias("_top"))
     joined = pixels.join(top, "image")
-    scale = F.when(F.col("_top") >= 2, F.raise_error(F.lit("pixel values are not in the 0 to 1 range"))).when(
+    wrong = F.col("_top") >= 2 if bright == "error" else F.lit(False)
+    scale = F.when(wrong, F.raise_error(F.lit("pixel values are not in the 0 to 1 range"))).when(
         F.col("_top") > 1, F.col("_top")).otherwise(F.lit(1.0)).cast("double")
     v = F.greatest(F.col("v"), F.lit(0.0)) / scale
     return joined.withColumn("v", v if base == 1 else F.pow(F.lit(float(base)), v)).drop("_top")

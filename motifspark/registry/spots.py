@@ -64,4 +64,4 @@ WITH {fx.PIXEL_SQL}, p AS (SELECT image, y, x, v * 1.5 - 0.1 AS v FROM pixel), t
 SELECT image, y, x, {q6("pow(2, greatest(v, 0) / CASE WHEN top > 1 THEN top ELSE 1 END)")} AS v FROM p JOIN t USING (image)""")
 def a23(spark, sf):
     px = fx.pixels(spark, sf).withColumn("v", F.col("v") * 1.5 - 0.1)
-    return P.linearize(px, base=2).select("image", "y", "x", r6(F.col("v")).alias("v"))
+    return P.linearize(px, base=2, bright="scale").select("image", "y", "x", r6(F.col("v")).alias("v"))

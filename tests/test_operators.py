@@ -530,6 +530,19 @@ def test_bright_images_are_rejected(spark):
         P.linearize(px).collect()
 
 
+def test_bright_images_can_be_scaled(spark):
+    px = spark.createDataFrame([("i", 0, 0, 3.0), ("i", 0, 1, -1.0), ("j", 0, 0, 0.5)], "image string, y int, x int, v double")
+    got = {(r["image"], r["x"]): r["v"] for r in P.linearize(px, base=2, bright="scale").collect()}
+    assert got == {("i", 0): 2.0, ("i", 1): 1.0, ("j", 0): pytest.approx(2 ** 0.5)}
+
+
+def test_every_event_table_is_linearized(spark, tmp_path):
+    spark.createDataFrame([(k, 900.0 * k) for k in range(3)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    from motifspark.registry.spots import a23
+
+    assert [r["v"] for r in a23(spark, str(tmp_path)).orderBy("x").collect()] == [1.0, pytest.approx(2 ** (2.6 / 5.3), abs=1e-6), 2.0]
+
+
 def test_specificity_is_null_for_unknown_residues(spark):
     tables = [{aa: 1.0 for aa in K.RESIDUES}] * 15
     df = spark.createDataFrame([("A" * 15,), ("A" * 14 + "X",), ("",)], "s string")
