@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from motifspark import constants as K
 from motifspark.functions import sequence as S
 from motifspark.functions.classical import classical_score
+from motifspark.sources.tables import fan_out
 
 
 def mask_transmembrane(proteins, ranges, id_col="protein_id", start_tolerance=0, end_tolerance=0):
@@ -19,8 +20,14 @@ def valid_sequences(proteins, n=K.MOTIF_LENGTH):
     return proteins.withColumn("seq", S.scan_text(F.col("seq"), n)).filter(F.col("seq").isNotNull())
 
 
-def all_windows(proteins, n=K.MOTIF_LENGTH, keep=("protein_id",)):
-    """Every padded window of every valid protein with its 1-based position."""
+def all_windows(proteins, n=K.MOTIF_LENGTH, keep=("protein_id",), together=()):
+    """Every padded window of every valid protein with its 1-based position.
+
+    With ``together`` the proteins are dealt by these keys before they are cut. Grouping the windows by them then moves no
+    window between tasks.
+    """
+    if together:
+        proteins = fan_out(proteins.select(*dict.fromkeys((*keep, *together, "seq"))), *together, pieces=4)
     text = S.padded(S.scan_text(F.col("seq"), n))
     return proteins.select(*keep, F.posexplode(S.windows(text, n)).alias("pos", "motif")).withColumn(
         "pos", F.col("pos") + 1

@@ -42,7 +42,7 @@ def g02(spark, sf):
 WITH {WINDOWS} SELECT protein_id, count(*) AS n, max(pos) AS last_pos, min(motif) AS least, max(motif) AS greatest,
   count(DISTINCT motif) AS kinds FROM wnd GROUP BY 1""")
 def g03(spark, sf):
-    return scan.all_windows(fx.proteins(spark, sf)).groupBy("protein_id").agg(
+    return scan.all_windows(fx.proteins(spark, sf), together=("protein_id",)).groupBy("protein_id").agg(
         F.count("*").alias("n"), F.max("pos").alias("last_pos"), F.min("motif").alias("least"),
         F.max("motif").alias("greatest"), F.countDistinct("motif").alias("kinds"),
     )

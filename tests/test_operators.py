@@ -124,6 +124,15 @@ def test_every_protein_has_exactly_k_rows(spark):
     assert all(r["score"] is None for r in got if r["protein_id"] == 3)
 
 
+def test_windows_dealt_by_protein_move_no_window(spark):
+    df = spark.createDataFrame([(i % 7, w) for i, w in enumerate(words(20, 60))], "protein_id int, seq string")
+    dealt = scan.all_windows(df, together=("protein_id",))
+    found = dealt.groupBy("protein_id").agg(F.min("motif").alias("least"), F.countDistinct("motif").alias("kinds"))
+    assert str(found._jdf.queryExecution().executedPlan()).count("Exchange") == 1
+    plain = scan.all_windows(df).groupBy("protein_id").agg(F.min("motif").alias("least"), F.countDistinct("motif").alias("kinds"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_masking_goes_from_last_to_first(spark):
     df = spark.createDataFrame([(1, "ABCDEFGHIJ"), (2, "KLM")], "protein_id int, seq string")
     tm = spark.createDataFrame([(1, 2, 3), (1, 6, 8)], "protein_id int, begin int, `end` int")
