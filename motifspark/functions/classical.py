@@ -13,6 +13,13 @@ def core_matrix(text=K.CLASSICAL_MATRIX):
     return {p: {row[0]: float(row[i + 1]) for row in rows} for i, p in enumerate(positions)}
 
 
+def tract_table():
+    """(charge of each letter in halves, points by charge): negative charges count from the end of the points."""
+    charges = [int(2 * K.TRACT_CHARGES.get(chr(65 + i), 0.0)) for i in range(26)]
+    points = [next((v for limit, v in K.TRACT_POINTS if c / 2 <= limit), K.TRACT_POINTS_ELSE) for c in (*range(0, 13), *range(-12, 0))]
+    return charges, points
+
+
 def tract_points(window):
     """Charges are multiples of a half, so the points of every possible sum fit one small table."""
     charges = letter_table(K.TRACT_CHARGES, 0.0)

@@ -1,11 +1,13 @@
 """Proteome scan: windows, rules, scores and the best motifs of each protein."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motifspark import constants as K
 from motifspark.functions import sequence as S
-from motifspark.functions.classical import classical_score
+from motifspark.functions.classical import classical_score, core_matrix, tract_table
 from motifspark.sources.tables import fan_out
 
 
@@ -69,9 +71,82 @@ def rule_hits(proteins, k=3, rules=None, n=K.MOTIF_LENGTH):
     return top_k(scored, [F.round("score", 9), F.col("ord")], k)
 
 
+#: Characters that are scored together, and the line ends that no window reaches over.
+TOGETHER = 1 << 20
+LINE_ENDS = (0x0A, 0x0D, 0x85, 0x2028, 0x2029)
+
+
+def lowest_windows(proteins, k=3, n=K.MOTIF_LENGTH):
+    """Of every protein row the windows of :func:`all_windows` that can be among its k lowest by the classical score.
+
+    All windows of a strip of rows are scored at once, position by position; k of each row leave the task. Windows with
+    signs other than A to Z go first, so that scoring them fails as it does elsewhere.
+    """
+    charges, points = tract_table()
+    core = {}
+    for pos, column in sorted(core_matrix().items()):
+        core[pos] = np.zeros(27)
+        core[pos][:26] = [column.get(chr(65 + i), np.inf) for i in range(26)]
+    charge = np.zeros(27, np.int8)
+    charge[:26] = charges
+    points = np.asarray(points)
+
+    def scores(codes):
+        """Score of the window at each place of a strip of codes."""
+        places = len(codes) - n + 1
+        held = charge[codes]
+        tract = sum((held[i : i + places] for i in range(1, 6)), held[:places])
+        total = np.zeros(places)
+        for pos, column in core.items():
+            total += column[codes[pos - 1 : pos - 1 + places]]
+        total = np.round(points[tract] + total, 9)
+        odd = np.flatnonzero(codes == 26)
+        for i in range(max(core)):
+            total[odd[(odd >= i) & (odd - i < places)] - i] = -np.inf
+        return total
+
+    def lowest(texts):
+        """(text, place) of the chosen windows of some texts; every text has a window."""
+        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        codes = np.minimum(letters - np.uint32(65), np.uint32(26)).astype(np.intp)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        total, begin = scores(codes), np.cumsum(sizes) - sizes
+        broken = np.isin(letters, LINE_ENDS)
+        if broken.any():
+            past = np.concatenate([[0], np.cumsum(broken)])
+            total[past[n:] > past[:-n]] = np.nan
+        for number, (a, m) in enumerate(zip(begin.tolist(), (sizes - n + 1).tolist())):
+            own = total[a : a + m]
+            limit = np.partition(own, k - 1)[k - 1] if m > k else np.nan
+            place = np.flatnonzero(own <= limit if limit == limit else own == own)  # nan sorts last
+            for at in place[np.argsort(own[place], kind="stable")][:k].tolist():
+                yield number, at
+
+    def choose(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= TOGETHER):
+                    size += len(texts[to])
+                    to += 1
+                found = list(lowest(texts[at:to]))
+                own = pa.array([at + number for number, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(own), pa.array([place + 1 for _, place in found], pa.int32()),
+                    pa.array([texts[at + number][place : place + n] for number, place in found], pa.string()),
+                ], names=["protein_id", "pos", "motif"])
+                at = to
+
+    text = S.padded(S.scan_text(F.col("seq"), n))
+    kind = proteins.schema["protein_id"].dataType.simpleString()
+    return proteins.select("protein_id", text.alias("_text")).filter(F.length("_text") >= n).mapInArrow(choose, f"protein_id {kind}, pos int, motif string")
+
+
 def classical_hits(proteins, k=3, n=K.MOTIF_LENGTH):
     """Classical best motifs without position rules; padded with a blank motif and +infinity."""
-    scored = all_windows(proteins, n).withColumn("score", classical_score(F.col("motif"), n))
+    scored = lowest_windows(proteins, k, n).withColumn("score", classical_score(F.col("motif"), n))
     hits = top_k(scored, [F.round("score", 9), F.col("pos")], k).select("protein_id", "rank", "motif", "score")
     slots = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank")
     grid = proteins.select("protein_id", F.col("seq").isNotNull().alias("_text"), slots)

@@ -133,6 +133,23 @@ def test_windows_dealt_by_protein_move_no_window(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_classical_hits_equal_scoring_every_window(spark, monkeypatch):
+    monkeypatch.setattr(scan, "TOGETHER", 200)
+    seqs = words(30, 90, K.RESIDUES + "UXBJO") + ["X" * 30, "A" * 15, "A" * 10 + "\n" + "DEFYDE" * 6, "DEDEDEFYDEW" * 3 + "*"]
+    df = spark.createDataFrame([(i // 2, s) for i, s in enumerate(seqs)], "protein_id int, seq string")
+    got = scan.classical_hits(df).filter("motif <> ''")
+    scored = scan.all_windows(df).withColumn("score", classical_score(F.col("motif")))
+    want = scan.top_k(scored, [F.round("score", 9), F.col("pos")], 3)
+    rows = [sorted((r["protein_id"], r["rank"], r["score"]) for r in x.collect()) for x in (got, want)]
+    assert sorted(set(rows[0])) == rows[1]
+    own = [r for r in got.filter("protein_id = 16").collect()]  # a line end inside, and a stop behind
+    assert own and not any("\n" in r["motif"] or "*" in r["motif"] for r in own)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
+    with pytest.raises(Exception, match="(?i)index"):
+        scan.classical_hits(one(spark, protein_id=1, seq="DEDEDEFYDEWaaaaa" * 2)).collect()
+
+
 def test_masking_goes_from_last_to_first(spark):
     df = spark.createDataFrame([(1, "ABCDEFGHIJ"), (2, "KLM")], "protein_id int, seq string")
     tm = spark.createDataFrame([(1, 2, 3), (1, 6, 8)], "protein_id int, begin int, `end` int")
