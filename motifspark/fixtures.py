@@ -21,13 +21,20 @@ def _letters(text):
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
+def _replaced(text, old, new):
+    """As translate does, for whole texts in passes that skip over what stays; no new letter is among the old."""
+    for a, b in zip(old, new):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def proteins(spark, sf):
     return texts(spark, sf, "lang").select(
         F.col("doc_id").alias("protein_id"),
         F.expr("doc_id div 3").alias("gene_id"),
         F.expr("doc_id div 8").alias("hid"),
         "lang",
-        F.translate(_letters(F.col("text")), "BJOZ", "STYQ").alias("seq"),
+        _replaced(_letters(F.col("text")), "BJOZ", "STYQ").alias("seq"),
     )
 
 
@@ -39,16 +46,14 @@ PROTEIN_SQL = """protein AS (
 
 def peptides(spark, sf):
     """Ten measured 15-mers per protein, spread over its whole text."""
-    letters = texts(spark, sf).select(
-        "doc_id", F.translate(_letters(F.col("text")), "ZUX", "QCG").alias("letters")
-    )
+    letters = texts(spark, sf).select("doc_id", _letters(F.col("text")).alias("letters"))
     events = table(spark, sf, "events").select("event_id", F.expr("event_id div 10").alias("doc_id"), "value")
     # Too short texts are dropped by the length of what was cut, which keeps the letters off the file scan.
     start = (F.col("event_id") * 7919) % F.greatest(F.length("letters") - 14, F.lit(1)) + 1
     return events.join(letters, "doc_id").select(
         F.col("event_id").alias("peptide_id"),
         F.col("doc_id").alias("protein_id"),
-        F.substring("letters", start, 15).alias("seq"),
+        F.translate(F.substring("letters", start, 15), "ZUX", "QCG").alias("seq"),
         F.col("value").alias("signal"),
         (F.col("value") >= 50).alias("passes"),
     ).filter(F.length("seq") == 15)

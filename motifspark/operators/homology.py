@@ -31,55 +31,56 @@ def score_table(scores):
     return [scores.get((chr(65 + i), chr(65 + j)), 0.0) for i in range(26) for j in range(26)]
 
 
-#: Windows that are scored together.
-WINDOWS = 1 << 20
-
-
 def _align(table, weights, n):
-    """Arrow-batched alignment of motifs with targets: all windows of a batch at once, position by position."""
+    """Arrow-batched alignment of motifs with targets: all windows of a target at once, two positions at a time."""
     w = np.asarray(weights, dtype=float)
     rows = np.zeros((27, 27))
     rows[:26, :26] = np.asarray(table, dtype=float).reshape(26, 26)
-    code = np.full(256, 26)
+    code = np.full(256, 26, np.intp)
     code[65:91] = np.arange(26)
-
-    def letters(texts):
-        return code[np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8)]
-
-    def best(motifs, targets, sizes):
-        """First best window of each pair and its score; every target has a window."""
-        m, t = letters(motifs).reshape(-1, n), letters(targets)
-        windows = sizes - n + 1
-        pair = np.repeat(np.arange(len(sizes)), windows)
-        ends = np.cumsum(windows)
-        start = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
-        at = start + np.repeat(np.cumsum(sizes) - sizes, windows)
-        total = np.zeros(len(at))
-        for j in range(n):
-            total += rows[m[pair, j], t[at + j]] * w[j]
-        total = np.round(total / w.sum(), 9)
-        top = np.maximum.reduceat(total, ends - windows)
-        first = np.flatnonzero(total == top[pair])
-        return start[first[np.searchsorted(pair[first], np.arange(len(sizes)))]], top
+    pair = [(j, j + 1) for j in range(0, n - 1, 2)]
+
+    def letters(text):
+        return code[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
+
+    def tables(motif):
+        """Scores of a motif by two neighbouring letters of a target, for each two positions of the motif, and of the last one."""
+        own = rows[letters(motif)] * w[:, None]
+        return [(own[i][:, None] + own[j][None, :]).ravel() for i, j in pair], own[n - 1] if n % 2 else None
+
+    def best(points, target, doubles):
+        """First best window of a target, from 1, and its score."""
+        places = len(target) - n + 1
+        both, last = points
+        total, held = np.zeros(places), np.empty(places)
+        for (i, _), values in zip(pair, both):
+            total += np.take(values, doubles[i : i + places], out=held, mode="clip")
+        if last is not None:
+            total += np.take(last, target[n - 1 :], out=held, mode="clip")
+        if w.sum() > 0:  # only windows that may round to the highest are rounded
+            near = np.flatnonzero(total >= total.max() - 2e-9 * w.sum())
+        else:
+            near = np.arange(places)
+        scores = np.round(total[near] / w.sum(), 9)
+        first = int(np.argmax(scores))
+        return near[first] + 1, scores[first]
 
     @F.pandas_udf(MATCH)
     def align(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
-        # a batch scores equal pairs once
-        pairs = pd.DataFrame({"motif": motif.fillna("").to_numpy(), "target": target.fillna("").to_numpy()})
-        number, found = pairs.groupby(["motif", "target"], sort=False).ngroup().to_numpy(), pairs.drop_duplicates()
-        motifs, targets = found["motif"].to_numpy(), found["target"].to_numpy()
-        sizes = np.array([len(t) for t in targets], np.int64)
-        known = np.flatnonzero((np.array([len(m) for m in motifs], np.int64) == n) & (sizes >= n))
-        starts, scores = np.zeros(len(found), np.int64), np.zeros(len(found))
-        ends = np.cumsum(sizes[known])
-        at = 0
-        while at < len(known):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WINDOWS, "right")))
-            some = known[at:to]
-            begin, score = best(motifs[some], targets[some], sizes[some])
-            starts[some], scores[some] = begin + 1, score
-            at = to
-        return pd.DataFrame({"start": starts[number].astype(np.int32), "similarity": scores[number]})
+        motifs, targets = motif.fillna("").tolist(), target.fillna("").tolist()
+        by_target = {}
+        for k, (m, t) in enumerate(zip(motifs, targets)):
+            if len(m) == n and len(t) >= n:
+                by_target.setdefault(t, {}).setdefault(m, []).append(k)
+        starts, scores, known = np.zeros(len(motifs), np.int32), np.zeros(len(motifs)), {}
+        for t, asked in by_target.items():  # a batch scores equal pairs once
+            text = letters(t.replace("U", "C"))
+            doubles = text[:-1] * 27 + text[1:]
+            for m, where in asked.items():
+                if m not in known:
+                    known[m] = tables(m)
+                starts[where], scores[where] = best(known[m], text, doubles)
+        return pd.DataFrame({"start": starts, "similarity": scores})
 
     return align
 
@@ -90,15 +91,15 @@ def best_match(pairs, motif="motif", target="target", weights=None, scores=None,
     One row in, one row out: the windows of a target never leave its row, so nothing is shuffled for them.
     """
     align = _align(score_table(scores or substitution_scores()), list(weights or [1.0] * n), n)
-    m, t = F.translate(F.col(motif), "U", "C"), F.translate(F.col(target), "U", "C")
-    found = pairs.withColumns({"_t": t, "_best": align(m, t)}).withColumn(
-        "match", F.when(F.col("_best.start") > 0, F.substring(F.col("_t"), F.col("_best.start"), F.lit(n))).otherwise("")
+    m, t = F.translate(F.col(motif), "U", "C"), F.col(target)
+    found = pairs.withColumn("_best", align(m, t)).withColumn(
+        "match", F.when(F.col("_best.start") > 0, F.translate(F.substring(t, F.col("_best.start"), F.lit(n)), "U", "C")).otherwise("")
     )
     same = sum((F.when(S.residue_at(F.col("match"), j) == S.residue_at(m, j), 1).otherwise(0) for j in range(1, n + 1)), F.lit(0))
     return found.withColumns({
         "similarity": F.col("_best.similarity"),
         "identity": F.when(F.col("_best.start") == 0, 0.0).otherwise(same / float(n)),
-    }).drop("_t", "_best")
+    }).drop("_best")
 
 
 def motif_homolog_pairs(hits, homologs):

@@ -494,6 +494,20 @@ def test_best_match_equals_brute_force(spark):
         assert r["identity"] == pytest.approx(sum(a == b for a, b in zip(m, t[at:at + 15])) / 15)
 
 
+@pytest.mark.parametrize("weights", [None, [1.0, 0.0, 2.5] * 5, [-1.0] * 15])
+def test_best_match_of_many_motifs_of_one_target(spark, weights):
+    scores, targets = M.substitution_scores(), words(3, 300, K.RESIDUES + "UX")
+    rows = [(m, t) for t in targets for m in words(6)] * 2
+    w = weights or [1.0] * 15
+    found = M.best_match(spark.createDataFrame(rows, "motif string, target string").coalesce(1), weights=weights)
+    for r in found.collect():
+        t = r["target"].replace("U", "C")
+        sims = [round(sum(scores.get((a, b), 0.0) * x for a, b, x in zip(r["motif"], t[i:i + 15], w)) / sum(w), 9) for i in range(len(t) - 14)]
+        assert r["similarity"] == pytest.approx(max(sims), abs=1e-9) and r["match"] == t[sims.index(max(sims)):][:15]
+    whole = found.select("match", "similarity")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(target" not in whole  # whole targets are not rewritten once per motif
+
+
 def test_substitution_table_is_symmetric_with_known_diagonal():
     raw = M.substitution_scores(normalize=False)
     assert all(raw[a, b] == raw[b, a] for a, b in raw)
