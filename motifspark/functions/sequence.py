@@ -1,5 +1,7 @@
 """Column expressions on residue sequences."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from motifspark import constants as K
@@ -133,15 +135,31 @@ def residue_scales(scaled=True):
 
 def encode(seq, scaled=True, stacked=False):
     """Chemical features of a sequence: one array per scale, or all scales in one flat array."""
-    def lookup(values):
-        table = letter_table(values, "NaN")
-        unknown = F.raise_error(F.concat(F.lit("residue without chemical scale in "), seq))
-
-        def value(aa):
-            found = F.get(table, letter_index(aa))
-            return F.when(found.isNull() | F.isnan(found), unknown.cast("double")).otherwise(found)
-
-        return F.transform(residues(seq), value)
-
-    parts = F.array(*[lookup(values) for values in residue_scales(scaled).values()])
-    return parts if stacked else F.flatten(parts)
+    scales = list(residue_scales(scaled).values())
+    table = np.full((len(scales), 27), np.nan)
+    for row, values in zip(table, scales):
+        row[:26] = [values.get(chr(65 + i), np.nan) for i in range(26)]
+    known = ~np.isnan(table).any(axis=0)
+
+    def features(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        sizes = np.array([len(t or "") for t in texts], np.int64)
+        letters = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32)
+        letters = np.minimum(letters - np.uint32(65), np.uint32(26)).astype(np.intp)
+        begin = np.cumsum(sizes) - sizes
+        blank = [k for k, t in enumerate(texts) if t == ""]
+        unknown = np.flatnonzero(~known[letters])
+        if blank or len(unknown):
+            row = blank[0] if blank else int(np.searchsorted(begin + sizes, unknown[0], "right"))
+            raise ValueError(f"residue without chemical scale in {texts[row]}")
+        width = np.repeat(sizes, len(scales))  # row by row the scales stand one after the other
+        ends = np.concatenate([[0], np.cumsum(width)])
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], width) + np.repeat(np.repeat(begin, len(scales)), width)
+        values = pa.array(table[np.repeat(np.tile(np.arange(len(scales)), len(texts)), width), letters[place]])
+        null = np.array([t is None for t in texts], bool)
+        if stacked:
+            inner = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(np.repeat(null, len(scales)), False)), values)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(scales)), inner)
+        return pa.ListArray.from_arrays(pa.array(ends[:: len(scales)].astype(np.int32), mask=np.append(null, False)), values)
+
+    return F.arrow_udf(features, "array<array<double>>" if stacked else "array<double>")(seq)

@@ -90,11 +90,9 @@ SELECT peptide_id, CAST(240 AS BIGINT) AS width, {", ".join(f"{q6(f'sum(pos * {k
 FROM u, tabs GROUP BY 1""")
 def q08(spark, sf):
     enc = fx.peptides(spark, sf).select("peptide_id", S.encode(F.col("seq")).alias("f"))
-    places = F.sequence(F.lit(1), F.lit(15))
 
     def weighted(j):
-        part = F.zip_with(places, F.slice("f", 15 * j + 1, 15), lambda i, x: i * x)
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+        return sum((i * F.col("f")[15 * j + i - 1] for i in range(1, 16)), F.lit(0.0))
 
     return enc.select("peptide_id", F.size("f").cast("long").alias("width"),
                       *[r6(weighted(j)).alias(name) for j, name in enumerate(SCALES)])

@@ -174,6 +174,18 @@ def test_feature_encoding_shape_and_error(spark):
         one(spark, seq="XX").select(S.encode(F.col("seq"))).collect()
 
 
+def test_feature_encoding_equals_a_plain_loop(spark):
+    scales = list(S.residue_scales().values())
+    seqs = [*words(20, 15, K.RESIDUES_PHOSPHO), "ACD", None, "W"]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string").coalesce(1)
+    flat, stacked = (df.select("seq", S.encode(F.col("seq"), stacked=k).alias("f")) for k in (False, True))
+    assert "transform" not in flat._jdf.queryExecution().optimizedPlan().toString()
+    for r in flat.collect():
+        assert r["f"] == (None if r["seq"] is None else [v[a] for v in scales for a in r["seq"]])
+    for r in stacked.collect():
+        assert r["f"] == [None if r["seq"] is None else [v[a] for a in r["seq"]] for v in scales]
+
+
 def test_classical_score_by_hand(spark):
     m = core_matrix()
     seq = "DDEEKSFFYDEAGGG"
