@@ -4,6 +4,9 @@ Peptides have seq, signal and passes. One distributed pass reduces them to count
 (rule, position, residue); everything after that works on this bounded table.
 """
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motifspark import constants as K
@@ -91,30 +94,193 @@ def _with_fallback(spark, counts, min_members):
     return out.withColumn("all_rows", F.col("n_members") < min_members)
 
 
+#: Rows of a slice that are counted together, and cells by rule, position and letter.
+TOGETHER = 1 << 14
+CELLS = K.MOTIF_LENGTH * 26
+
+
+class RankedCells:
+    """Counts and rank sums per cell of rows that come in the order of their signals; holds cells, not rows.
+
+    Equal signals are ranked as one group, however many rows or batches it spans: of the group that is still open only the
+    rows of each rule and cell are kept.
+    """
+
+    def __init__(self):
+        member = [[i for i, c in enumerate(CLASS_NAMES) if chr(65 + a) in K.CHEMICAL_CLASSES[c]] for a in range(26)]
+        self.first = np.array([m[0] if m else -1 for m in member])
+        self.more = {a: m[1:] for a, m in enumerate(member) if len(m) > 1}
+        self.rules = len(CLASS_NAMES) * K.MOTIF_LENGTH + 1
+        size = self.rules * CELLS
+        self.count, self.rank_sum, self.tie_sum = np.zeros(size, np.int64), np.zeros(size), np.zeros(size, np.int64)
+        self.below = np.zeros(self.rules, np.int64)  # members of each rule so far, open group aside
+        self.open, self.members, self.cells = None, np.zeros(self.rules, np.int64), np.zeros(size, np.int64)
+
+    def entries(self, letters, known):
+        """(row, rule) of every membership in the order of rows, the rule of all rows included."""
+        n = K.MOTIF_LENGTH
+        rows, rules = [np.arange(len(letters))], [np.full(len(letters), self.rules - 1)]
+        found = np.where(known[:, None], self.first[letters], -1)
+        row, place = np.nonzero(found >= 0)
+        rows.append(row)
+        rules.append(found[row, place] * n + place)
+        for a, others in self.more.items():
+            row, place = np.nonzero((letters == a) & known[:, None])
+            for c in others:
+                rows.append(row)
+                rules.append(c * n + place)
+        rows, rules = np.concatenate(rows), np.concatenate(rules)
+        by = np.argsort(rows, kind="stable")
+        return rows[by], rules[by]
+
+    def codes(self, letters, known, rows, rules):
+        """Cells of memberships, and which membership each is of; rows without a sequence have none."""
+        which = np.flatnonzero(known[rows])
+        code = rules[which, None] * CELLS + np.arange(K.MOTIF_LENGTH) * 26 + letters[rows[which]]
+        return code.ravel(), np.repeat(which, K.MOTIF_LENGTH)
+
+    def add(self, signal, letters, known):
+        """Takes the next rows, in order of their signals."""
+        if not len(signal):
+            return
+        if self.open is not None and signal[0] != self.open:
+            self.close()
+        last = np.searchsorted(signal, signal[-1])
+        head = np.searchsorted(signal, self.open, "right") if self.open is not None else 0
+        if head:
+            self.keep(letters[:head], known[:head])
+            if head == len(signal):
+                return
+            self.close()
+        self.rank(signal[head:last], letters[head:last], known[head:last])
+        self.open = signal[-1]
+        self.keep(letters[last:], known[last:])
+
+    def keep(self, letters, known):
+        """Rows of the open group."""
+        rows, rules = self.entries(letters, known)
+        self.members += np.bincount(rules, minlength=self.rules)
+        self.cells += np.bincount(self.codes(letters, known, rows, rules)[0], minlength=len(self.cells))
+
+    def close(self):
+        """Ranks the open group."""
+        if self.open is None:
+            return
+        at = np.flatnonzero(self.cells)
+        of, held = at // CELLS, self.cells[at]
+        self.count[at] += held
+        self.rank_sum[at] += held * (self.below + (self.members + 1) / 2)[of]
+        self.tie_sum[at] += held * (self.members * self.members - 1)[of]
+        self.below += self.members
+        self.open = None
+        self.members[:], self.cells[:] = 0, 0
+
+    def rank(self, signal, letters, known):
+        """Rows whose groups all end here."""
+        if not len(signal):
+            return
+        rows, rules = self.entries(letters, known)
+        by = np.argsort(rules, kind="stable")
+        rows, rules = rows[by], rules[by]
+        value = signal[rows]
+        begins = np.flatnonzero(np.concatenate([[True], (rules[1:] != rules[:-1]) | (value[1:] != value[:-1])]))
+        ties = np.diff(np.concatenate([begins, [len(rules)]]))
+        place = np.arange(len(rules)) - np.searchsorted(rules, rules)
+        rank = self.below[rules] + place[np.repeat(begins, ties)] + (np.repeat(ties, ties) + 1) / 2
+        spread = np.repeat(ties * ties - 1, ties)
+        code, of = self.codes(letters, known, rows, rules)
+        size = len(self.count)
+        self.count += np.bincount(code, minlength=size)
+        self.rank_sum += np.bincount(code, rank[of], size)
+        if spread.any():
+            tied = np.flatnonzero(spread[of])
+            self.tie_sum += np.bincount(code[tied], spread[of][tied], size).astype(np.int64)
+        self.below += np.bincount(rules, minlength=self.rules)
+
+    def unranked(self, letters, known):
+        """Counts of rows that are not ranked."""
+        rows, rules = self.entries(letters, known)
+        return np.bincount(self.codes(letters, known, rows, rules)[0], minlength=len(self.count))
+
+
+def _letters_of(column):
+    """(letters, known) of sequences: one row of numbers each; a row without a sequence is not known."""
+    texts = column.to_pylist()
+    known = np.array([t is not None for t in texts], bool)
+    raw = np.frombuffer("".join("A" * K.MOTIF_LENGTH if t is None else t for t in texts).encode("utf-32-le"), np.uint32)
+    if len(raw) != len(texts) * K.MOTIF_LENGTH or ((raw < 65) | (raw > 90)).any():
+        raise ValueError(f"training sequences must have at least {K.MOTIF_LENGTH} letters from A to Z")
+    return (raw - 65).astype(np.int64).reshape(-1, K.MOTIF_LENGTH), known
+
+
+SLICE = "first double, code long, n_pass long, n_fail long, n_ranked long, rank_sum double, tie_sum long"
+
+
+def _sliced(first, code, n_pass, n_fail, n_ranked, rank_sum, tie_sum):
+    columns = (np.full(len(code), first), code, n_pass, n_fail, n_ranked, rank_sum, tie_sum)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SLICE.split(", ")])
+
+
 def statistics(peptides, ignore_failed=True):
     """Counts and rank sums per (rule, pos, aa); rule ('All', 0) holds every peptide. At most 136 x 15 x 23 rows.
 
-    Rule, position and residue are one integer while the rows are many; the names come back on the small result.
+    Ranked rows are dealt by ranges of the signal. A slice ranks its rows among themselves, rule by rule, and hands on its
+    cells; the members of the lower slices, added per rule, turn these ranks into ranks among all rows. Rows that are not
+    ranked are counted where they are.
     """
     n = K.MOTIF_LENGTH
-    p = peptides.select("seq", F.greatest("signal", F.lit(0.0)).alias("signal"), "passes")
-    every = p.select(F.lit(len(CLASS_NAMES) * n).alias("rule"), "seq", "signal", "passes")
-    members = _numbered_members(p).unionByName(every)
-    ranked = F.col("passes") if ignore_failed else F.lit(True)
-    t = running_totals(members.filter(ranked), ["rule"], "signal", {"ties": F.lit(1)}, edges_of=p.filter(ranked))
-    ranks = t.select("rule", "signal", "ties", (F.col("cum_ties") - (F.col("ties") - 1) / 2).alias("rank"))
-    used = members.filter(ranked).join(ranks, ["rule", "signal"])
+    signal = F.greatest(F.col("signal"), F.lit(0.0)).cast("double") + 0.0
+    p = peptides.select(F.substring("seq", 1, n).alias("seq"), signal.alias("signal"), "passes")
+    ranked = (F.col("passes") if ignore_failed else F.lit(True)) & ~F.isnan("signal")
+
+    def rank(batches):
+        cells, first = RankedCells(), None
+        passed = np.zeros(len(cells.count), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                (letters, known), value = _letters_of(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+                first = value[0] if first is None else first
+                cells.add(value, letters, known)
+                if not ignore_failed:
+                    good = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
+                    passed += cells.unranked(letters[good], known[good])
+        if first is None:
+            return
+        cells.close()
+        at = np.flatnonzero(cells.count)
+        count = cells.count[at]
+        good = count if ignore_failed else passed[at]
+        yield _sliced(first, at, good, count - good, count, cells.rank_sum[at], cells.tie_sum[at])
+        rule = np.flatnonzero(cells.below)  # the members of a rule, under a number of their own
+        none = np.zeros(len(rule), np.int64)
+        yield _sliced(first, -1 - rule, none, none, cells.below[rule], none.astype(float), none)
+
+    def count(batches):
+        cells = RankedCells()
+        total = np.zeros(len(cells.count), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                total += cells.unranked(*_letters_of(whole.column(0).slice(at, TOGETHER)))
+        at = np.flatnonzero(total)
+        none = np.zeros(len(at), np.int64)
+        yield _sliced(0.0, at, none, total[at], none, none.astype(float), none)
+
+    cuts = 4 * peptides.sparkSession.sparkContext.defaultParallelism
+    parts = p.filter(ranked).repartitionByRange(cuts, "signal").sortWithinPartitions("signal").mapInArrow(rank, SLICE)
     if ignore_failed:
-        rest = members.filter(~ranked).select("rule", "signal", "seq", "passes", F.lit(None).cast("long").alias("ties"), F.lit(None).cast("double").alias("rank"))
-        used = used.select("rule", "signal", "seq", "passes", "ties", "rank").unionByName(rest)
-    cells = used.select("rule", "passes", "rank", "ties", "seq", _positions().alias("_i"))
-    code = (F.col("rule") * n + F.col("_i") - 1) * 26 + S.letter_index(F.substring(F.col("seq"), F.col("_i"), F.lit(1)))
-    one = F.when(F.col("passes"), 1).otherwise(0)
-    summed = cells.select(code.alias("code"), one.alias("_p"), "rank", (F.col("ties") * F.col("ties") - 1).alias("_t")).groupBy("code").agg(
-        F.sum("_p").alias("n_pass"), F.sum(1 - F.col("_p")).alias("n_fail"), F.count("rank").alias("n_ranked"),
-        F.sum("rank").alias("rank_sum"), F.sum("_t").alias("tie_sum"),
+        parts = parts.unionByName(p.filter(~F.col("passes")).select("seq").mapInArrow(count, SLICE))
+    parts = materialize(parts, "rule-slices")
+    lower = Window.partitionBy("_rule").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    members = parts.filter("code < 0").withColumn("_rule", -1 - F.col("code"))
+    below = members.select("_rule", "first", F.coalesce(F.sum("n_ranked").over(lower), F.lit(0)).alias("_below"))
+    cells = parts.filter("code >= 0").withColumn("_rule", F.expr(f"code div {CELLS}")).join(below, ["_rule", "first"], "left")
+    summed = cells.groupBy("code").agg(
+        F.sum("n_pass").alias("n_pass"), F.sum("n_fail").alias("n_fail"), F.sum("n_ranked").alias("n_ranked"),
+        F.sum(F.when(F.col("n_ranked") > 0, F.col("rank_sum") + F.col("_below") * F.col("n_ranked"))).alias("rank_sum"),
+        F.sum(F.when(F.col("n_ranked") > 0, F.col("tie_sum"))).alias("tie_sum"),
     )
-    names = _rule_names((F.col("code") / (26 * n)).cast("int"))
+    names = _rule_names((F.col("code") / CELLS).cast("int"))
     return summed.select(
         *[v.alias(k) for k, v in names.items()], ((F.col("code") / 26).cast("int") % n + 1).alias("pos"),
         F.char(F.col("code") % 26 + 65).alias("aa"), "n_pass", "n_fail", "n_ranked", "rank_sum", "tie_sum",

@@ -221,6 +221,41 @@ def test_rank_biserial_matches_pairs_and_is_antisymmetric(spark, peptides):
             assert -1 <= r["r_alone"] <= 1
 
 
+def test_statistics_equal_counting_by_rule(spark, monkeypatch):
+    monkeypatch.setattr(T, "TOGETHER", 37)
+    signals = [0.0, -1.0, 2.5, *(round(RNG.random() * 9, 1) for _ in range(20))]
+    rows = [(w, RNG.choice(signals) if k % 9 else None, RNG.random() < 0.5) for k, w in enumerate(words(300, letters=K.RESIDUES_PHOSPHO))]
+    rows += [("W" * 15, float("nan"), True)]
+    for ignore_failed in (True, False):
+        want = {}
+        used = [(s, max(v or 0.0, 0.0), p) for s, v, p in rows if v is None or v == v]
+        for c, pos in [("All", 0)] + [(c, i) for c in K.CHEMICAL_CLASSES for i in range(1, 16)]:
+            mine = [r for r in used if not pos or r[0][pos - 1] in K.CHEMICAL_CLASSES[c]]
+            ranked = [v for _, v, p in mine if p or not ignore_failed]
+            for s, v, p in mine:
+                ties = ranked.count(v)
+                rank = sum(x < v for x in ranked) + (ties + 1) / 2
+                for i, aa in enumerate(s, start=1):
+                    n = want.setdefault((c, pos, i, aa), [0, 0, 0, None, None])
+                    n[0 if p else 1] += 1
+                    if p or not ignore_failed:
+                        n[2:] = [n[2] + 1, (n[3] or 0) + rank, (n[4] or 0) + ties * ties - 1]
+        df = spark.createDataFrame(rows, "seq string, signal double, passes boolean")
+        got = {tuple(r)[:4]: list(tuple(r)[4:]) for r in T.statistics(df, ignore_failed).collect()}
+        assert got == want
+
+
+def test_the_ranks_of_a_signal_that_most_rows_share_hold_no_rows():
+    cells = T.RankedCells()
+    letters = np.zeros((500, 15), np.int64)
+    for _ in range(40):
+        cells.add(np.full(500, 3.0), letters, np.ones(500, bool))
+    assert cells.open == 3.0 and not cells.count.any()
+    cells.close()
+    at = (cells.rules - 1) * T.CELLS
+    assert cells.count[at] == 20_000 and cells.rank_sum[at] == 20_000 * 10_000.5 and cells.tie_sum[at] == 20_000 * (20_000**2 - 1)
+
+
 def test_yule_q_is_antisymmetric(spark):
     df = one(spark, a=3, b=5, p=10, f=20)
     c = F.col
