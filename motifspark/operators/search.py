@@ -20,6 +20,8 @@ from motifspark.session import materialize
 
 #: Rows of a block, trials of a group, and trials and rows that are scored together.
 ROWS, GROUP, CHUNK, STRIP = 65_536, 65_536, 256, 4096
+#: Cells of trials, bins and measures that are counted together.
+HELD = 1 << 21
 ROUNDS = (32, 1024, 16_384)
 EPS = 1e-12
 
@@ -129,14 +131,15 @@ class Blocks:
     def _tallied(self, trials, bins):
         """(trial, bin, measures): how much of each measure the trial's scores have in each bin."""
         n, space, ends, names = self.n, self.space, self.ends, self.measures
+        together = max(1, min(CHUNK, HELD // (bins * len(names))))
 
         def count(batches):
             for batch in batches:
                 for k in range(batch.num_rows):
                     points, measures = unpacked(batch.column(0).slice(k, 1), n, len(names))
                     every = batch.column(1).slice(k, 1).flatten().flatten()[0].to_numpy(zero_copy_only=False)
-                    for at in range(0, len(every), CHUNK):
-                        trial = every[at : at + CHUNK]
+                    for at in range(0, len(every), together):
+                        trial = every[at : at + together]
                         weights = trial_weights(trial, *space)
                         lo, step = _scale(ends, weights, bins)
                         held = np.zeros((len(names), len(trial) * bins))

@@ -490,6 +490,15 @@ def test_table_digest_sees_rows_and_places_of_nulls(spark):
     assert len({digest(r) for r in ([("x", None)], [(None, "x")], [("x", None)] * 2, [("x", "x")], [])}) == 5
 
 
+def test_bins_are_counted_in_bounded_pieces(spark, monkeypatch):
+    data = [([RNG.random() for _ in range(3)], RNG.random() < 0.5) for _ in range(50)]
+    rows = spark.createDataFrame(data, "points array<double>, truth boolean")
+    want = sorted(map(tuple, search.Search(rows, 3)._tallied(spark.range(40).withColumnRenamed("id", "trial"), 64).collect()))
+    monkeypatch.setattr(search, "HELD", 1024)
+    small = search.Search(rows, 3)
+    assert sorted(map(tuple, small._tallied(spark.range(40).withColumnRenamed("id", "trial"), 64).collect())) == want
+
+
 def test_search_without_any_cut(spark):
     none = spark.createDataFrame([], "points array<double>, truth boolean")
     assert search.Search(none, 3).best(10).count() == 0
