@@ -25,7 +25,7 @@ from motifspark.llm.text import as_batch, raw_column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches a worker remembers in each of two generations, pairs of neighbours it remembers, and characters indexed together.
-CACHE, PAIRS, INDEXED = 120_000, 400_000, 1 << 18
+CACHE, PAIRS, INDEXED = 120_000, 400_000, 1 << 17
 #: Stretches of at most so many bytes are relaxed together.
 TOGETHER = 256
 #: Stretches are found by their first bytes; longer pieces are compared in full.
@@ -298,9 +298,8 @@ def encode(docs, model=MODEL, keep=("doc_id",)):
     def run(batches):
         encoder = shared.value.encoder()
         for batch in batches:
-            texts = raw_column(batch, "text")
-            for at in range(0, len(texts), 1000):
-                some = texts[at : at + 1000]
+            for at in range(0, batch.num_rows, 1000):  # only so many texts leave the batch at once
+                some = raw_column(batch.slice(at, 1000), "text")
                 ids, bounds = encoder.encode(some)
                 yield as_batch(**{c: batch.column(i).slice(at, len(some)) for i, c in enumerate(keep)}, n_tokens=np.diff(bounds),
                                ids=pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)))

@@ -407,3 +407,19 @@ def test_query_equals_sql(spark, sf, name):
     want = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in result.fetchall()), key=str)
     assert sorted(names) == sorted(got.columns)
     assert sorted((tuple(r[c] for c in sorted(names)) for r in got.collect()), key=str) == want
+
+
+def test_encoding_holds_little_at_once():
+    import tracemalloc
+
+    from motifspark.llm import sentencepiece_array as A
+
+    rng = random.Random(1)
+    with open(A.MODEL, "rb") as file:
+        encoder = A.Encoder(A.Vocabulary(file.read()))
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(60_000))
+    tracemalloc.start()
+    encoder.encode([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 65 << 20
