@@ -9,6 +9,7 @@ from motifspark.registry.training import WEIGHTS
 from motifspark.registry.training_sql import BASE, PWM, STATS
 from motifspark.session import scratch_path
 from motifspark.sources import readers, sinks
+from motifspark.sources.tables import piece_count
 
 TAX = {"en": 9606, "de": 3702, "fr": 7227, "es": 6239}
 
@@ -83,7 +84,8 @@ def s06(spark, sf):
     line = fx.table(spark, sf, "lineitem").select(F.concat(F.lit("A"), "l_partkey").alias("coord"), F.concat(F.lit("pep"), "l_suppkey").alias("name"),
                                                   "l_orderkey", "l_linenumber")
     path = scratch_path(spark, "names")
-    line.orderBy("l_orderkey", "l_linenumber").select("coord", "name").write.csv(path)
+    order = ["l_orderkey", "l_linenumber"]
+    line.repartitionByRange(piece_count(spark), *order).sortWithinPartitions(*order).select("coord", "name").write.csv(path)
     return readers.coordinate_names(spark, path)
 
 

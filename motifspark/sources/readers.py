@@ -1,8 +1,11 @@
 """File sources. Each reader gives a typed table; where later rows win, ``input_ord`` keeps the file order."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from motifspark.sources.tables import fan_out
+
 
 def _file_order():
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -96,9 +99,19 @@ def uniprot_topology(spark, path):
 
 
 def coordinate_names(spark, path, columns=("name",)):
-    """Headerless lookup by the first column; the last row of a key counts."""
-    rows = spark.read.csv(path, schema=_strings("coord", *columns)).select("*", _file_order().alias("_o"))
-    last = rows.groupBy("coord").agg(F.max_by(F.struct(*columns), "_o").alias("_l"))
+    """Headerless lookup by the first column; the last row of a key counts.
+
+    Files are numbered by path, so that a row carries its place as numbers and not as the path of its file. Each split is
+    dealt by key into many small tasks before its rows are sorted for combining; a frequent key stays spread over splits.
+    """
+    source = spark.read.csv(path, schema=_strings("coord", *columns))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file")).distinct()  # lists, reads no content
+    files = files.select("_file", F.shiftleft(F.row_number().over(Window.orderBy("_file")).cast("long"), 40).alias("_n"))
+    rows = source.select("*", _file_order().alias("_o")).select("coord", *columns, F.col("_o.file").alias("_file"), F.col("_o.block").alias("_block"),
+                                                                F.col("_o.line").alias("_line"))
+    rows = rows.join(F.broadcast(files), "_file").select("coord", *columns, (F.col("_n") + F.col("_block")).alias("_block"), "_line")
+    rows = fan_out(rows.withColumn("_split", F.shiftright("_line", 33)), "coord", "_split")
+    last = rows.groupBy("coord").agg(F.max_by(F.struct(*columns), F.struct("_block", "_line")).alias("_l"))
     return last.select("coord", "_l.*")
 
 

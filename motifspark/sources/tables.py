@@ -16,8 +16,11 @@ def read_parquet(spark, path, key=None, columns=None):
     return spread(df, key) if key else df
 
 
+def piece_count(spark):
+    """Pieces that a table is cut into where size-based coalescing would make too few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def fan_out(df, *keys, pieces=1):
     """Hash-partition rows that are cheap to move but costly to process, past any size-based coalescing."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n * pieces, *keys)
+    return df.repartition(piece_count(df.sparkSession) * pieces, *keys)

@@ -838,3 +838,16 @@ def test_sum_mode_is_twice_the_mean(spark):
     mean, total = (C.ConditionalModel.from_pwm(matrices, mode=m) for m in ("mean", "sum"))
     for r in peptides.select(mean.total_score(F.col("seq"), "positive").alias("a"), total.total_score(F.col("seq"), "positive").alias("b")).collect():
         assert r.b == pytest.approx(2 * r.a)
+
+
+def test_coordinate_names_carry_no_paths(spark, tmp_path):
+    from motifspark.sources import readers
+
+    folder = tmp_path / "names of 50%"
+    folder.mkdir()
+    (folder / "b.csv").write_text("A1,last\nA2,only\n")
+    (folder / "a.csv").write_text("A1,first\nA3,x\n" + "A1,second\n" * 500 + "A3,y\n")
+    names = readers.coordinate_names(spark, str(folder))
+    assert {(r["coord"], r["name"]) for r in names.collect()} == {("A1", "last"), ("A2", "only"), ("A3", "y")}
+    combined = names._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "RepartitionByExpression" in combined and "file_path" not in combined  # small tasks sort places in numbers
