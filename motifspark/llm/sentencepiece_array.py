@@ -20,12 +20,14 @@ import sentencepiece
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifspark.llm.text import as_batch, raw_column
+from motifspark.llm.text import as_batch, give_back, raw_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches a worker remembers in each of two generations, pairs of neighbours it remembers, and characters indexed together.
 CACHE, PAIRS, INDEXED = 120_000, 400_000, 1 << 17
+#: Texts that leave an Arrow batch at once.
+TEXTS = 500
 #: Stretches of at most so many bytes are relaxed together.
 TOGETHER = 256
 #: Stretches are found by their first bytes; longer pieces are compared in full.
@@ -296,13 +298,15 @@ def encode(docs, model=MODEL, keep=("doc_id",)):
     keep = list(keep)
 
     def run(batches):
+        give_back()  # a worker that served another step before still holds what that step freed
         encoder = shared.value.encoder()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):  # only so many texts leave the batch at once
-                some = raw_column(batch.slice(at, 1000), "text")
+            for at in range(0, batch.num_rows, TEXTS):
+                some = raw_column(batch.slice(at, TEXTS), "text")
                 ids, bounds = encoder.encode(some)
                 yield as_batch(**{c: batch.column(i).slice(at, len(some)) for i, c in enumerate(keep)}, n_tokens=np.diff(bounds),
                                ids=pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)))
+            give_back()
 
     text = [F.col("text").cast("string").alias("text")] * ("text" not in keep)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]

@@ -1,5 +1,8 @@
 """Words of a text as 64-bit hashes, and the Arrow plumbing around them."""
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -138,6 +141,15 @@ def as_batch(**columns):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def give_back():
+    """Hands memory that this worker has freed back to the system, where the C library can do so."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def binary(column="text"):
     return F.col(column).cast("binary").alias(column)
 

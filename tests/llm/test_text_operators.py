@@ -423,3 +423,26 @@ def test_encoding_holds_little_at_once():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 65 << 20
+
+
+def test_freed_memory_goes_back_to_the_system():
+    import subprocess
+    import sys
+
+    code = """
+import re
+from motifspark.llm.text import give_back
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1])
+
+before, kept = held(), []
+texts = [bytes([i % 250]) * 2000 for i in range(100_000)]
+kept = texts[::1000]
+full = held() - before
+del texts
+give_back()
+after = held() - before
+assert full > 150_000 and after < 40_000, (full, after)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
