@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifspark.llm.text import as_batch, binary, raw_column
+from motifspark.llm.text import as_batch, binary, raw_column, tidy
 
 WINDOW = 10
 #: Every so many text positions a suffix keeps its position.
@@ -165,6 +165,7 @@ def joined(flags):
 
 
 def search_shards(broadcast, keep):
+    @tidy
     def run(batches):
         phrases = broadcast.value
         get = phrases.vocabulary.get
@@ -205,6 +206,11 @@ def search_shards(broadcast, keep):
     return run
 
 
+def chained(one, other):
+    return lambda batches: other(one(batches))
+
+
+@tidy
 def cut(batches):
     for batch in batches:
         out = []
@@ -219,13 +225,14 @@ def cut(batches):
             yield as_batch(item_id=pa.array(item, pa.string()), piece=list(piece), size=list(size))
 
 
-def decontaminate(docs, benchmark, keep=("doc_id",)):
+def decontaminate(docs, benchmark, keep=("doc_id",), then=None):
     """`keep` columns of every row with n_words, items (ids of benchmark items found, as sorted strings) and spans.
 
     Spans are [start, end) word ranges, merged where they overlap or touch, of words inside any occurrence of ten
     consecutive words of an item, or of all words of a shorter item. Null and empty texts have no words. Items without
     words find nothing, the words of items with a null id are found but no id reported; items with equal texts are all reported. Repeated rows are answered one by
-    one, an empty benchmark finds nothing, and extra columns are neither read nor changed.
+    one, an empty benchmark finds nothing, and extra columns are neither read nor changed. `then`, an Arrow map of these rows
+    and the schema of its own, is run by the worker that searches, so a task needs no second one for it.
     """
     spark = docs.sparkSession
     pieces = benchmark.select(F.col("item_id").cast("string").alias("item_id"), binary()).mapInArrow(cut, "item_id string, piece binary, size long")
@@ -237,7 +244,10 @@ def decontaminate(docs, benchmark, keep=("doc_id",)):
         mine = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(1, blocks))) == b).select("item_id", "piece").collect()
         phrases = spark.sparkContext.broadcast(Phrases((r.item_id, bytes(r.piece).split()) for r in mine))
         passed = keep if b >= blocks - 1 or "text" in keep else [*keep, "text"]
-        found = found.mapInArrow(search_shards(phrases, passed), T.StructType([found.schema[c] for c in passed] + SCHEMA.fields))
+        search, schema = search_shards(phrases, passed), T.StructType([found.schema[c] for c in passed] + SCHEMA.fields)
+        if then and b >= blocks - 1:
+            search, schema = chained(search, then[0]), then[1]
+        found = found.mapInArrow(search, schema)
     return found
 
 
@@ -271,15 +281,16 @@ def removed(docs, benchmark):
     texts = docs.withColumn("text", F.col("text").cast("string"))
     other = [c for c in columns if c not in ("text", "n_words", "items", "spans")]
     packed = texts.select(F.struct(*[c for c in columns if c != "text"]).alias("row"), "text")
-    found = decontaminate(packed, benchmark, keep=("row", "text"))
-    kept = found.where("size(spans) = 0 or n_words > aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
 
     def strip(batches):
         for batch in batches:
-            texts, spans = (raw_column(batch, c) for c in ("text", "spans"))
-            yield as_batch(row=batch.column(0), text=pa.array([t and strip_words(t, s) for t, s in zip(texts, spans)], pa.string()), changed=[bool(s) for s in spans])
+            texts, spans, sizes = (raw_column(batch, c) for c in ("text", "spans", "n_words"))
+            stay = [not s or n > sum(x["end"] - x["start"] for x in s) for s, n in zip(spans, sizes)]
+            out = [t and strip_words(t, s) for t, s, k in zip(texts, spans, stay) if k]
+            yield as_batch(row=batch.column(0).filter(pa.array(stay, pa.bool_())), text=pa.array(out, pa.string()), changed=[bool(s) for s, k in zip(spans, stay) if k])
 
-    done = kept.select("row", "text", "spans").mapInArrow(strip, T.StructType([kept.schema["row"], kept.schema["text"], T.StructField("changed", T.BooleanType())]))
+    schema = T.StructType([packed.schema["row"], packed.schema["text"], T.StructField("changed", T.BooleanType())])
+    done = decontaminate(packed, benchmark, keep=("row", "text"), then=(strip, schema))
     count = F.when(F.col("changed"), F.char_length("text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in other else None
     value = {"text": F.col("text"), **({"n_chars": count.cast(docs.schema["n_chars"].dataType)} if count is not None else {})}
     return done.select(*[value[c].alias(c) if c in value else F.col("row")[c].alias(c) for c in columns])

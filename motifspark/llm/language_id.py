@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from motifspark.llm.text import as_batch, raw_column
+from motifspark.llm.text import as_batch, raw_column, tidy
 from motifspark.session import materialize
 
 LONGEST = 4
@@ -69,6 +69,7 @@ def flush(counts):
     return as_batch(lang=pa.array(lang, pa.string()), gram=pa.array(gram, pa.string()), n=pa.array(n, pa.int64()))
 
 
+@tidy
 def count_words(batches):
     counts = {}
     for batch in batches:
@@ -80,6 +81,7 @@ def count_words(batches):
         yield flush(counts)
 
 
+@tidy
 def count_grams(batches):
     counts = {}
     for batch in batches:
@@ -207,6 +209,7 @@ def name_of(word):
 def asking(sizes):
     """N-grams of words that nobody knows."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             rows = [(name_of(w), total, g, times) for w, total in zip(raw_column(batch, "gram"), raw_column(batch, "n"))
@@ -256,6 +259,7 @@ def split(shared, width):
     The id that these share is that of the row in its task, so the result must be written before it is used twice.
     """
 
+    @tidy
     def run(batches):
         index, table = shared.value
         get = index.get

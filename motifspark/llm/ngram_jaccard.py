@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from motifspark.llm.graph import components
-from motifspark.llm.text import MIX, as_batch, binary, mix, raw_column, shingle_sets
+from motifspark.llm.text import MIX, as_batch, binary, mix, raw_column, shingle_sets, tidy
 from motifspark.session import materialize
 
 #: From so many sets on a slot content weighs nothing in each walk; the most frequent `COMMON` contents at most are known to the tasks.
@@ -139,6 +139,7 @@ def sets_of(batch):
             yield at + k, shingles, identity(shingles)
 
 
+@tidy
 def survey(batches):
     """Sizes, identities and sketches of sets (`band` -1), and slot contents that occur more than once in a batch (`band` >= 0)."""
     for batch in batches:
@@ -184,6 +185,7 @@ def allocate(costs, sizes):
 
 
 def emit(broadcast):
+    @tidy
     def run(batches):
         common, doubled = broadcast.value
         for batch in batches:
@@ -207,6 +209,7 @@ def emit(broadcast):
     return run
 
 
+@tidy
 def compare(batches):
     """Shared shingles of each member with the pivot that precedes it in its star."""
     star = pivot = None
@@ -338,6 +341,7 @@ def compare_block(rows):
     return out
 
 
+@tidy
 def compare_blocks(batches):
     """`compare_block` of every bucket of a task."""
     out, size = [], 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifspark.llm.text import as_batch, raw_column
+from motifspark.llm.text import as_batch, raw_column, tidy
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -51,6 +51,7 @@ def transitions(raw):
     return np.bincount(codes[:-1] * SYMBOLS + codes[1:], minlength=SYMBOLS * SYMBOLS)
 
 
+@tidy
 def count_transitions(batches):
     """Pair counts of a task: of the secrets, and of everything."""
     total = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
@@ -111,14 +112,10 @@ def scan_text(text, random):
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def scan(docs, ratio, keep=("doc_id",)):
-    """`keep` columns of every row and `spans`: kind, start and end in code points, end exclusive, by start, then kind.
-
-    Spans of the base patterns are all there; spans that the models add have kind `markov`. Null and empty texts have none.
-    Every row is answered for itself, so repeated rows are too.
-    """
-    keep = list(keep)
+def scanner(ratio, answer):
+    """An Arrow map that finds the spans of each text, (start, kind, end), and gives `answer(batch, spans)`."""
 
+    @tidy
     def run(batches):
         @lru_cache(100_000)
         def random(token):
@@ -126,15 +123,28 @@ def scan(docs, ratio, keep=("doc_id",)):
             return total >= TOTAL and each >= EACH
 
         for batch in batches:
-            found = [scan_text(t, random) if t else [] for t in raw_column(batch, "text")]
-            flat = [s for x in found for s in x]
-            spans = pa.StructArray.from_arrays([pa.array([KINDS[k] for _, k, _ in flat], pa.string()), pa.array([s for s, _, _ in flat], pa.int64()),
-                                                pa.array([e for _, _, e in flat], pa.int64())], ["kind", "start", "end"])
-            ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
-            yield as_batch(**{c: batch.column(i) for i, c in enumerate(keep)}, spans=pa.ListArray.from_arrays(ends, spans))
+            yield answer(batch, [scan_text(t, random) if t else [] for t in raw_column(batch, "text")])
+
+    return run
+
+
+def scan(docs, ratio, keep=("doc_id",)):
+    """`keep` columns of every row and `spans`: kind, start and end in code points, end exclusive, by start, then kind.
+
+    Spans of the base patterns are all there; spans that the models add have kind `markov`. Null and empty texts have none.
+    Every row is answered for itself, so repeated rows are too.
+    """
+    keep = list(keep)
+
+    def answer(batch, found):
+        flat = [s for x in found for s in x]
+        spans = pa.StructArray.from_arrays([pa.array([KINDS[k] for _, k, _ in flat], pa.string()), pa.array([s for s, _, _ in flat], pa.int64()),
+                                            pa.array([e for _, _, e in flat], pa.int64())], ["kind", "start", "end"])
+        ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
+        return as_batch(**{c: batch.column(i) for i, c in enumerate(keep)}, spans=pa.ListArray.from_arrays(ends, spans))
 
     text = [F.col("text").cast("string").alias("text")] * ("text" not in keep)
-    return docs.select(*keep, *text).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("spans", SPANS)]))
+    return docs.select(*keep, *text).mapInArrow(scanner(ratio, answer), T.StructType([docs.schema[c] for c in keep] + [T.StructField("spans", SPANS)]))
 
 
 def joined(spans):
@@ -148,26 +158,28 @@ def digest(found):
     return found.select("doc_id", *count[:3], F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), count[3])
 
 
+def mask(text, spans):
+    pieces, last = [], 0
+    for start, _, end in spans:
+        if end > last:
+            pieces += [text[last:start], "[SECRET]"] if start >= last else []
+            last = end
+    return text if not spans else "".join(pieces) + text[last:]
+
+
 def masked(docs, ratio):
-    """All rows and columns of `docs` with every span of `text` replaced by `[SECRET]`; `n_chars` is counted anew where text changed."""
+    """All rows and columns of `docs` with every span of `text` replaced by `[SECRET]`; `n_chars` is counted anew where text changed.
+
+    Texts are masked by the worker that scans them, so a task has one.
+    """
     columns = docs.columns
     other = [c for c in columns if c != "text"]
     packed = docs.select(F.struct(*other).alias("row") if other else F.lit(0).alias("row"), F.col("text").cast("string").alias("text"))
-    found = scan(packed, ratio, ("row", "text"))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text, spans in zip(raw_column(batch, "text"), raw_column(batch, "spans")):
-                pieces, last = [], 0
-                for s in spans:
-                    if s["end"] > last:
-                        pieces += [text[last : s["start"]], "[SECRET]"] if s["start"] >= last else []
-                        last = s["end"]
-                out.append(text if not spans else "".join(pieces) + text[last:])
-            yield as_batch(row=batch.column(0), text=pa.array(out, pa.string()), changed=[bool(s) for s in raw_column(batch, "spans")])
-
-    done = found.mapInArrow(run, T.StructType([found.schema["row"], found.schema["text"], T.StructField("changed", T.BooleanType())]))
+    def answer(batch, found):
+        return as_batch(row=batch.column(0), text=pa.array(map(mask, raw_column(batch, "text"), found), pa.string()), changed=[bool(s) for s in found])
+
+    done = packed.mapInArrow(scanner(ratio, answer), T.StructType([packed.schema["row"], packed.schema["text"], T.StructField("changed", T.BooleanType())]))
     value = {"text": F.col("text")}
     if "n_chars" in other:
         value["n_chars"] = F.when(F.col("changed"), F.char_length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifspark.llm.text import as_batch, give_back, raw_column
+from motifspark.llm.text import as_batch, raw_column, tidy, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -363,8 +363,8 @@ def encode(docs, model=MODEL, keep=("doc_id",)):
         shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(file.read()))
     keep = list(keep)
 
+    @tidy
     def run(batches):
-        give_back()  # a worker that served another step before still holds what that step freed
         encoder = shared.value.encoder()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -372,7 +372,7 @@ def encode(docs, model=MODEL, keep=("doc_id",)):
                 ids, bounds = encoder.encode(some)
                 yield as_batch(**{c: batch.column(i).slice(at, len(some)) for i, c in enumerate(keep)}, n_tokens=np.diff(bounds),
                                ids=pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)))
-            give_back()
+            trim()
 
     text = [F.col("text").cast("string").alias("text")] * ("text" not in keep)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]

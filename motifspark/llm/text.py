@@ -1,6 +1,7 @@
 """Words of a text as 64-bit hashes, and the Arrow plumbing around them."""
 
 import ctypes
+import functools
 import gc
 
 import numpy as np
@@ -141,13 +142,30 @@ def as_batch(**columns):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def give_back():
+def trim():
     """Hands memory that this worker has freed back to the system, where the C library can do so."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
+def give_back():
+    """Frees what is no longer used, such as the tables of a step that this worker served before, and hands it back."""
+    gc.collect()
+    trim()
+
+
+def tidy(run):
+    """An Arrow map that gives memory back before its task and after it; other steps of a job run beside idle workers."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        give_back()
+        yield from run(batches)
+        trim()
+
+    return tidied
 
 
 def binary(column="text"):

@@ -470,3 +470,20 @@ def test_pairs_are_checked_together(monkeypatch):
     ids, _ = encoder.encode([text])
     assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=P.MODEL).encode(text)
     assert len(calls) < 50
+
+
+def test_texts_are_changed_by_the_worker_that_searches_them(docs, benchmark):
+    for done in (S.masked(docs, S.train(docs)), FM.removed(docs, benchmark[0])):
+        assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_workers_give_memory_back_around_each_task(monkeypatch):
+    from motifspark.llm import ngram_jaccard as J
+    from motifspark.llm import text
+
+    calls = []
+    monkeypatch.setattr(text, "give_back", lambda: calls.append("before"))
+    monkeypatch.setattr(text, "trim", lambda: calls.append("after"))
+    for run in (L.count_words, L.count_grams, L.asking([1]), J.survey, J.compare_blocks, S.count_transitions, FM.cut):
+        calls.clear()
+        assert list(run(iter([]))) == [] and calls == ["before", "after"]
